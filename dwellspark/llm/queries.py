@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package
 from .decontaminate import find_contamination, is_contaminated
+from .packing import pack_documents
+from .rans import documents_of, encode_corpus, read_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,7 +34,19 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = pack_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = encode_corpus(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return documents_of(read_tokens(spark, path)).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 QUERIES: dict[str, Query] = {
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
+    "op1_best_fit_packing": op1_best_fit_packing,
+    "op3_token_output": op3_token_output,
 }
 ORACLES: dict[str, str] = {}
