@@ -11,6 +11,7 @@ from ..session import ship_package
 from .decontaminate import find_contamination, is_contaminated
 from .packing import pack_documents
 from .rans import documents_of, encode_corpus, read_tokens
+from .simhash import simhash_components
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,9 +45,14 @@ def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents_of(read_tokens(spark, path)).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_token_output": op3_token_output,
+    "op5_simhash_near_dedup": op5_simhash_near_dedup,
 }
 ORACLES: dict[str, str] = {}
