@@ -12,6 +12,8 @@ from .decontaminate import find_contamination, is_contaminated
 from .packing import pack_documents
 from .rans import documents_of, encode_corpus, read_tokens
 from .simhash import simhash_components
+from .sharding import shard
+from .topk import top_k
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -49,10 +51,36 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return top_k(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_token_output": op3_token_output,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op6_sharding": op6_sharding,
+    "op9_exact_top_k": op9_exact_top_k,
+}
+ORACLES: dict[str, str] = {
+    "op9_exact_top_k": """
+        with v as (
+            select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as q
+            from embeddings
+            where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        ),
+        s as (
+            select a.vec_id as query_id, b.vec_id as vec_id,
+                   cast(list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2])) as bigint) as score
+            from v a join v b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id
+        ),
+        r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+        select query_id, cast(rank as int) as rank, vec_id, score from r where rank <= 5
+    """,
 }
-ORACLES: dict[str, str] = {}
