@@ -14,6 +14,7 @@ from .rans import documents_of, encode_corpus, read_tokens
 from .simhash import simhash_components
 from .sharding import shard
 from .topk import top_k
+from .pii import base_spans, count_of, find_pii, listed
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -60,6 +61,19 @@ def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.filter("vec_id % 50 = 0"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        count_of("email").alias("n_email"),
+        count_of("ip").alias("n_ip"),
+        count_of("card").alias("n_card"),
+        count_of("phone").alias("n_phone"),
+        F.sha2(listed(base_spans()), 256).alias("base_sha256"),
+        listed(F.col("pii")).alias("spans"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op1_best_fit_packing": op1_best_fit_packing,
@@ -67,6 +81,7 @@ QUERIES: dict[str, Query] = {
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_sharding": op6_sharding,
     "op9_exact_top_k": op9_exact_top_k,
+    "op10_pii": op10_pii,
 }
 ORACLES: dict[str, str] = {
     "op9_exact_top_k": """
