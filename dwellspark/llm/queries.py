@@ -15,6 +15,8 @@ from .simhash import simhash_components
 from .sharding import shard
 from .topk import top_k
 from .pii import base_spans, count_of, find_pii, listed
+from .lines import drop_boilerplate
+from .toxicity import score_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -74,6 +76,16 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = drop_boilerplate(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_toxicity(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 QUERIES: dict[str, Query] = {
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op1_best_fit_packing": op1_best_fit_packing,
@@ -82,8 +94,40 @@ QUERIES: dict[str, Query] = {
     "op6_sharding": op6_sharding,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_pii": op10_pii,
+    "op4_line_dedup": op4_line_dedup,
+    "op8_toxicity": op8_toxicity,
 }
 ORACLES: dict[str, str] = {
+    "op4_line_dedup": """
+        with pages as (
+            select row_number() over () as page, doc_id, text, coalesce(source, chr(0)) as host, string_split(text, chr(10)) as lines
+            from documents
+        ),
+        seen as (
+            select distinct page, host, trim(line) as line
+            from (select page, host, unnest(lines) as line from pages)
+            where trim(line) <> ''
+        ),
+        totals as (select host, count(*) as total from pages group by host),
+        often as (
+            select s.host, s.line
+            from (select host, line, count(*) as n from seen group by host, line) s join totals t on s.host = t.host
+            where s.n >= 5 and s.n > 0.1 * t.total
+        ),
+        flagged as (select host, list(line) as bad from often group by host),
+        cut as (
+            select p.*, list_filter(p.lines, lambda x: trim(x) = '' or not list_contains(coalesce(f.bad, []), trim(x))) as left_over
+            from pages p left join flagged f on p.host = f.host
+        ),
+        kept as (
+            select *, case when len(list_filter(left_over, lambda x: trim(x) <> '')) > 0 then left_over else lines end as after
+            from cut
+        )
+        select doc_id, cast(coalesce(len(lines), 0) as bigint) as n_lines,
+               cast(coalesce(len(lines) - len(after), 0) as bigint) as n_dropped,
+               sha256(coalesce(array_to_string(after, chr(10)), '')) as text_sha256
+        from kept
+    """,
     "op9_exact_top_k": """
         with v as (
             select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as q

@@ -98,12 +98,17 @@ def chunks(column: pa.Array, word_bytes: np.ndarray, lower: bool = False, limit:
         i = j
 
 
-def word_hashes(chunk: Chunk, which: int = 0) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
-    base = WORD_BASES[which]
-    up, down = powers(base, len(chunk.data))
+def byte_sums(chunk: Chunk, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """``sums`` and ``down``: (sums[b] - sums[a]) * down[a] depends on bytes a to b alone."""
+    up, down = powers(WORD_BASES[which], len(chunk.data))
     sums = np.zeros(len(chunk.data) + 1, U64)
     np.cumsum((chunk.data.astype(U64) + U64(1)) * up[: len(chunk.data)], out=sums[1:])
+    return sums, down
+
+
+def word_hashes(chunk: Chunk, which: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word's bytes."""
+    sums, down = byte_sums(chunk, which)
     return mix((sums[chunk.ends] - sums[chunk.starts]) * down[chunk.starts])
 
 
