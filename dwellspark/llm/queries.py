@@ -17,6 +17,7 @@ from .topk import top_k
 from .pii import base_spans, count_of, find_pii, listed
 from .lines import drop_boilerplate
 from .toxicity import score_toxicity
+from .substrings import dedup_substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -86,6 +87,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_substrings(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op1_best_fit_packing": op1_best_fit_packing,
@@ -96,6 +101,7 @@ QUERIES: dict[str, Query] = {
     "op10_pii": op10_pii,
     "op4_line_dedup": op4_line_dedup,
     "op8_toxicity": op8_toxicity,
+    "op7_substring_dedup": op7_substring_dedup,
 }
 ORACLES: dict[str, str] = {
     "op4_line_dedup": """
