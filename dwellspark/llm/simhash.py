@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from . import wordhash as W
 from .components import connected_components
+from .idset import maybe_in
 from .shared import write_shared
 
 RADIUS = 3
@@ -232,3 +233,119 @@ def simhash_components(docs: DataFrame, *, n: int = SHINGLE, seed: int = SEED, r
     named, _ = write_shared(placed, "nodes")
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
     return own.join(named.join(names, "root").select("fp", "component_id"), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+#: Near-duplicate groups: words of a shingle, least Jaccard similarity, fingerprints a text, rounds of representatives.
+NEAR_SHINGLE = 5
+NEAR_SIMILARITY = 0.8
+TABLES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
+NEAR_ROUNDS = 3
+
+
+def word_fingerprints(docs: DataFrame) -> DataFrame:
+    """doc, k1, k2 and, for each of TABLES, a fingerprint over the words, weighted by the root of their count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = np.zeros((len(TABLES), batch.num_rows), U64)
+            n = np.zeros(batch.num_rows, np.int64)
+            for c in W.chunks(batch.column("text"), W.ALNUM_BYTES, lower=True, limit=1 << 20):
+                h = W.word_hashes(c)
+                text = W.owner(c.bounds, np.arange(len(h)))
+                order = np.lexsort((h, text))
+                h, text = h[order], text[order]
+                first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (text[1:] != text[:-1])])) if len(h) else np.zeros(0, np.int64)
+                weight = np.sqrt(np.diff(np.append(first, len(h)))).astype(np.float32)
+                count = np.bincount(text[first], minlength=len(c.bounds) - 1)
+                rows = slice(c.first, c.first + len(count))
+                n[rows] = np.diff(c.bounds)
+                for k, odd in enumerate(TABLES):
+                    prints[k, rows] = majority(W.mix(h[first] * U64(odd)), count, weight)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(x) for x in ("doc", "k1", "k2")), pa.array(n), *(pa.array(p.view(np.int64)) for p in prints)], names=["doc", "k1", "k2", "n", *(f"f{k}" for k in range(len(TABLES)))]
+            )
+
+    kind = dict(docs.dtypes)["doc"]
+    keyed = docs.select("doc", "text", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"))
+    return keyed.mapInArrow(run, f"doc {kind}, k1 long, k2 long, n long, " + ", ".join(f"f{k} long" for k in range(len(TABLES))))
+
+
+def _shingle_sets(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Each text's distinct shingles (a shorter text is one shingle), as sorted hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets: list[bytes] = []
+            for c in W.chunks(batch.column("text"), W.ALNUM_BYTES, lower=True):
+                h = W.word_hashes(c)
+                for a, b in zip(c.bounds[:-1], c.bounds[1:], strict=True):
+                    sets.append(np.unique(W.gram_hashes(h[a:b], min(n, b - a))).tobytes() if b > a else b"")
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(sets, pa.binary())], names=["doc", "shingles"])
+
+    return run
+
+
+def _similar(least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for a, b in zip(batch.column("shingles"), batch.column("of_root"), strict=True):
+                x, y = np.frombuffer(a.as_buffer(), U64), np.frombuffer(b.as_buffer(), U64)
+                both = int(W.member(x, y).sum())
+                out.append(both >= least * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(out)], names=["node", "similar"])
+
+    return run
+
+
+def near_duplicate_ids(docs: DataFrame, *, n: int = NEAR_SHINGLE, similarity: float = NEAR_SIMILARITY, rounds: int = NEAR_ROUNDS) -> DataFrame:
+    """Ids (column doc) of ``docs`` (doc, text) that are copies or near copies of a document that stays.
+
+    Candidates are texts within three bits in one of the fingerprints over their words,
+    which near copies share far more often than fingerprints over shingles.  Within each
+    component the smallest id is the representative; members whose n-word shingles have
+    at least ``similarity`` with its own go.  What is left forms components anew, ``rounds`` times;
+    what is still unmatched stays.
+    """
+    prints, _ = write_shared(word_fingerprints(docs), "prints")
+    nodes, _ = write_shared(prints.groupBy("k1", "k2").agg(F.min("doc").alias("id"), F.min("n").alias("n"), *(F.min(f"f{k}").alias(f"f{k}") for k in range(len(TABLES)))), "nodes")
+    edges = None
+    for k in range(len(TABLES)):
+        own = nodes.filter("n > 0").select("id", F.col(f"f{k}").alias("fp"))
+        least = own.groupBy("fp").agg(F.min("id").alias("least"))
+        links, _ = write_shared(fingerprint_links(least.select("fp")), "links")
+        equal = own.join(least, "fp").filter("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
+        near = links.join(least.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(least.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        edges = equal.union(near) if edges is None else edges.union(equal).union(near)
+    edges, _ = write_shared(edges.distinct(), "candidates")
+    members = edges.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+    _, maybe = maybe_in(docs, members)
+    sets, _ = write_shared(maybe.join(members, "doc").select("doc", "text").mapInArrow(_shingle_sets(n), "doc long, shingles binary").dropDuplicates(["doc"]), "shingles")
+    gone = prints.join(nodes.select("k1", "k2", "id"), ["k1", "k2"]).filter("doc <> id").select("doc")
+    for _ in range(rounds):
+        roots = connected_components(edges)
+        of_root = sets.select(F.col("doc").alias("root"), F.col("shingles").alias("of_root"))
+        pairs = roots.filter("node <> root").join(sets.withColumnRenamed("doc", "node"), "node").join(of_root, "root")
+        judged, _ = write_shared(pairs.select("node", "shingles", "of_root").mapInArrow(_similar(similarity), "node long, similar boolean"), "judged")
+        gone = gone.union(judged.filter("similar").select(F.col("node").alias("doc")))
+        open_ = judged.filter("not similar").select("node")
+        left = edges.join(open_.withColumnRenamed("node", "a"), "a", "left_semi").join(open_.withColumnRenamed("node", "b"), "b", "left_semi")
+        edges, _ = write_shared(left.select("a", "b"), "candidates")
+        if edges.isEmpty():
+            break
+    return gone.distinct()
+
+
+def drop_near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``docs`` with one document of each group of copies and near copies.
+
+    Null texts are empty ones.  Rows that share an id stay or go together, as the
+    smallest id of their group does; rows without an id stay.  All columns are kept.
+    """
+    body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    own = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc"), body.alias("text")).filter("doc is not null")
+    gone, _ = write_shared(near_duplicate_ids(own, **options), "gone")
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(-1)).alias("doc"), F.col(f"`{doc_id}`").isNull().alias("nameless"))
+    never, maybe = maybe_in(packed, gone)
+    kept = maybe.filter("not nameless").join(gone, "doc", "left_anti").select("row").union(maybe.filter("nameless").select("row"))
+    return never.select("row").union(kept).select("row.*")

@@ -28,18 +28,16 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as W
+from .idset import maybe_in
 from .recompression import ROUNDS, Symbols, recompress
 from .shared import drop_shared, write_shared
 
 WINDOW = 50
-#: Bits of the bitmap over ids.
-BITS = 1 << 26
 LAST_ID = (1 << 63) - 1
 
 
@@ -135,23 +133,6 @@ def _apply(window: int, with_text: bool):
     return run
 
 
-def _maybe_in(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``docs`` whose ``doc`` is surely not among ``ids``, and the others (nearly all of them among ids)."""
-    spark = docs.sparkSession
-    bit = F.pmod(F.xxhash64("doc"), F.lit(BITS))
-    words = ids.select(bit.alias("bit")).selectExpr("cast(bit div 64 as int) as word", "shiftleft(1L, cast(bit % 64 as int)) as bits").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # at most BITS / 64 rows
-    bitmap = np.zeros(BITS // 64, np.uint64)
-    bitmap[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
-    shared = spark.sparkContext.broadcast(bitmap)
-
-    @F.pandas_udf("boolean")
-    def held(place: pd.Series) -> pd.Series:
-        p = place.to_numpy()
-        return pd.Series((shared.value[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1) == 1)
-
-    return docs.filter(~held(bit)), docs.filter(held(bit))
-
-
 def _copies(docs: DataFrame) -> DataFrame:
     """Ids of texts that are equal to that of a smaller id."""
     keys = docs.filter("text <> ''").select("doc", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"))
@@ -164,7 +145,7 @@ def dedup_substrings(docs: DataFrame, *, window: int = WINDOW, rounds: int = ROU
     own: Column = F.col(f"`{doc_id}`")
     base = docs.select(own.alias("doc_id"), F.coalesce(own.cast("long"), F.lit(LAST_ID)).alias("doc"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     copies, _ = write_shared(_copies(base), "copies")
-    never, maybe = _maybe_in(base.select("doc", "text"), copies)
+    never, maybe = maybe_in(base.select("doc", "text"), copies)
     single = never.union(maybe.join(copies, "doc", "left_anti"))
     named = single.mapInArrow(_names(window, rounds), "name long, doc long, sure boolean")
     spread = named.filter("sure").groupBy("name").agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
@@ -172,14 +153,14 @@ def dedup_substrings(docs: DataFrame, *, window: int = WINDOW, rounds: int = ROU
     touched = named.join(shared.withColumn("found", F.lit(True)), "name", "left").filter("found or not sure")
     touched, touched_path = write_shared(touched.groupBy("doc").agg(F.collect_list("name").alias("names")), "touched")
     drop_shared(docs.sparkSession, shared_path)
-    _, near = _maybe_in(single, touched.select("doc"))
+    _, near = maybe_in(single, touched.select("doc"))
     windows, windows_path = write_shared(near.join(touched, "doc").select("doc", "text", "names").mapInArrow(_candidates(window, rounds), "h1 long, h2 long, doc long"), "windows")
     drop_shared(docs.sparkSession, touched_path)
     first = windows.groupBy("h1", "h2").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most").select("h1", "h2", "least")
     repeated = windows.join(first, ["h1", "h2"]).filter("doc > least").groupBy("doc").agg(F.collect_list("h1").alias("hashes")).withColumn("whole", F.lit(False))
     removals, _ = write_shared(repeated.union(copies.select("doc", F.array().cast("array<long>"), F.lit(True))), "removals")
     drop_shared(docs.sparkSession, windows_path)
-    clean, hit = _maybe_in(base, removals.select("doc"))
+    clean, hit = maybe_in(base, removals.select("doc"))
     clean = clean.select("doc_id", "text", F.lit(None).cast("array<long>").alias("hashes"), F.lit(False).alias("whole"))
     hit = hit.join(removals, "doc", "left").select("doc_id", "text", "hashes", F.coalesce("whole", F.lit(False)).alias("whole"))
     kind = dict(base.dtypes)["doc_id"]
