@@ -1 +1 @@
-""""""
+"""Column functions: text, dates, geography, vectors, signals, fuzzy matching."""

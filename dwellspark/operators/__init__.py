@@ -1 +1 @@
-""""""
+"""Operators over listings: filtering, ranking, matching, retrieval, maintenance."""
