@@ -30,5 +30,5 @@ def age_days(c: Column, as_of: str) -> Column:
     """Days since a listing was added ('added today', 'yesterday', 'added on 05/01/2024'); null if it can't be told."""
     s = F.lower(safe_text(c))
     date = day_first(F.trim(F.regexp_replace(s, r"\b(added|on|reduced)\b", " ")))
-    days = F.greatest(F.datediff(F.lit(as_of).cast("date"), date), F.lit(0))
+    days = F.when(date.isNotNull(), F.greatest(F.datediff(F.lit(as_of).cast("date"), date), F.lit(0)))
     return F.when(s == "", None).when(s.isin("today", "added today"), 0).when(s.isin("yesterday", "added yesterday"), 1).otherwise(days)

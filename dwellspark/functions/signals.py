@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,7 +20,8 @@ def searchable(features: Column, description: Column) -> Column:
 
 
 def any_match(text: Column, patterns: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a | b, [text.rlike(f"(?i){p}") for p in patterns], F.lit(False))
+    """Whether any of the patterns occurs, as one expression."""
+    return text.rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns)) if patterns else F.lit(False)
 
 
 def bool_signal(name: str, columns: Sequence[str]) -> Column:

@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 from . import fixed as X
 
 
+def _whole(values: Sequence[str]) -> str:
+    """A pattern for texts that are one of the values, whatever their case."""
+    return "(?i)^(?:" + "|".join(values) + ")$"
+
+
 def safe_text(c: Column) -> Column:
     """Trimmed text; '' for null and for words that mean unknown."""
-    t = F.trim(F.coalesce(c.cast("string"), F.lit("")))
-    return F.when(F.lower(t).isin(*X.UNKNOWN_TEXT), "").otherwise(t)
+    return F.regexp_replace(F.trim(F.coalesce(c.cast("string"), F.lit(""))), _whole(X.UNKNOWN_TEXT), "")
 
 
 def is_blank(c: Column) -> Column:
@@ -40,16 +44,12 @@ def category(c: Column) -> Column:
 
 
 def furnishing(c: Column) -> Column:
-    s = spaced(c)
-    return (
-        F.when(s == "", "")
-        .when(s.isin(*X.UNKNOWN_CATEGORY), "ask agent")
-        .when(s.contains("furnished or unfurnished") | (s.contains("landlord") & s.contains("flexible")), "flexible")
-        .when(s.contains("unfurn"), "unfurnished")
-        .when(s.contains("part") & s.contains("furnish"), "part-furnished")
-        .when(s.contains("furnish"), "furnished")
-        .otherwise(s)
-    )
+    """ask agent, flexible, unfurnished, part-furnished, furnished, or the text itself; each step refers to the value once."""
+    s = F.regexp_replace(spaced(c), _whole(X.UNKNOWN_CATEGORY), "ask agent")
+    s = F.regexp_replace(s, "^(?:.*furnished or unfurnished.*|(?=.*landlord).*flexible.*)$", "flexible")
+    s = F.regexp_replace(s, "^.*unfurn.*$", "unfurnished")
+    s = F.regexp_replace(s, "^(?!unfurnished$)(?=.*part).*furnish.*$", "part-furnished")
+    return F.regexp_replace(s, "^(?!unfurnished$|part-furnished$).*furnish.*$", "furnished")
 
 
 def property_class(c: Column) -> Column:

@@ -1,4 +1,4 @@
-"""All queries of the engine, by name."""
+"""All queries of the engine, by name, with the SQL that gives the same rows."""
 
 from __future__ import annotations
 
@@ -6,5 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from . import maintenance, ranking, search, texts, vectors
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+for module in (search, ranking, maintenance, texts, vectors):
+    QUERIES |= module.QUERIES
+    ORACLES |= module.ORACLES

@@ -1 +1 @@
-""""""
+"""Reading and writing listings, pages and logs."""

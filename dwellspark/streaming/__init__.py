@@ -1 +1 @@
-""""""
+"""Streaming ingest."""
