@@ -103,7 +103,71 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": op8_toxicity,
     "op7_substring_dedup": op7_substring_dedup,
 }
+#: Text with A-Z in lower case, its words, and words between white space, in the oracles' SQL.
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_PII_SQL = (
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+    ("ip", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "list_max(list_transform(string_split(hit, '.'), lambda x: try_cast(x as double))) <= 255"),
+    (
+        "card",
+        r"[0-9](?:[\x20-]?[0-9])+",
+        """length(digits) between 14 and 19 and list_sum(list_transform(range(1, length(digits) + 1), lambda j:
+              case when j % 2 = 1 then cast(substr(reverse(digits), j, 1) as int)
+              else cast(substr(reverse(digits), j, 1) as int) * 2 % 10 + cast(substr(reverse(digits), j, 1) as int) * 2 // 10 end)) % 10 = 0""",
+    ),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "length(digits) between 10 and 15"),
+)
+_PII_FOUND = " union all ".join(f"select doc_id, {r} as r, '{k}' as kind, string_split_regex(t, '{p}') as gaps, regexp_extract_all(t, '{p}') as hits from docs" for r, (k, p, _) in enumerate(_PII_SQL))
+_PII_VALID = " ".join(f"when '{k}' then {v}" for k, _, v in _PII_SQL)
+
 ORACLES: dict[str, str] = {
+    "op2_benchmark_decontamination": f"""
+        with d as (select doc_id, {_WORDS} as w from documents),
+        i as (select cast(item_id as varchar) as item, {_WORDS} as w from benchmark),
+        iw as (
+            select distinct item, n, array_to_string(w[k : k + n - 1], ' ') as g
+            from (select item, w, least(13, len(w)) as n, unnest(range(1, len(w) - least(13, len(w)) + 2)) as k from i where len(w) > 0)
+        ),
+        dw as (
+            select doc_id, n, k, array_to_string(w[k : k + n - 1], ' ') as g
+            from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as k from d cross join (select distinct n from iw) where len(w) >= n)
+        ),
+        hits as (select doc_id, dw.n, k, item from dw join iw on dw.n = iw.n and dw.g = iw.g),
+        pos as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(k, k + n)) as p from (select distinct doc_id, n, k from hits)) group by 1),
+        its as (select doc_id, count(distinct item) as n_items, string_agg(distinct item, ',' order by item) as s from hits group by 1)
+        select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+               sha256(coalesce(s, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+        from d left join pos on d.doc_id = pos.doc_id left join its on d.doc_id = its.doc_id
+    """,
+    "op7_substring_dedup": r"""
+        with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+        win as (select doc_id, k, md5(array_to_string(w[k : k + 49], ' ')) as g from (select doc_id, w, unnest(range(1, len(w) - 48)) as k from d where len(w) >= 50)),
+        f as (select g, min(doc_id) as m from win group by g),
+        gone as (select distinct doc_id, unnest(range(k, k + 50)) as p from win join f on win.g = f.g where doc_id > m),
+        words as (select doc_id, unnest(w) as x, unnest(range(1, len(w) + 1)) as p from d),
+        kept as (select doc_id, count(*) as n, string_agg(x, ' ' order by p) as s from words anti join gone using (doc_id, p) group by doc_id)
+        select d.doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(s, '')) as kept_sha256
+        from d left join kept on d.doc_id = kept.doc_id
+    """,
+    "op10_pii": f"""
+        with docs as (select doc_id, coalesce(text, '') as t from documents),
+        found as ({_PII_FOUND}),
+        one as (
+            select doc_id, r, kind, hits[i] as hit, regexp_replace(hits[i], '[^0-9]', '', 'g') as digits,
+                   cast(list_sum(list_transform(gaps[1 : i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1 : i - 1], lambda x: length(x))), 0) as bigint) as start
+            from (select *, unnest(range(1, len(hits) + 1)) as i from found)
+        ),
+        good as (select * from one where case kind {_PII_VALID} end),
+        summed as (
+            select doc_id, count(*) filter (where kind = 'email') as e, count(*) filter (where kind = 'ip') as i, count(*) filter (where kind = 'card') as c, count(*) filter (where kind = 'phone') as p,
+                   string_agg(concat(kind, ':', start, ':', start + length(hit)), ',' order by start, r) as s
+            from good group by 1
+        )
+        select docs.doc_id, coalesce(e, 0) as n_email, coalesce(i, 0) as n_ip, coalesce(c, 0) as n_card, coalesce(p, 0) as n_phone,
+               sha256(coalesce(s, '')) as base_sha256, coalesce(s, '') as spans
+        from docs left join summed on docs.doc_id = summed.doc_id
+    """,
     "op4_line_dedup": """
         with pages as (
             select row_number() over () as page, doc_id, text, coalesce(source, chr(0)) as host, string_split(text, chr(10)) as lines
