@@ -119,7 +119,7 @@ class _Probe:
                 yield n, at, W.gram_hashes(h, n)[at], W.gram_hashes(second(), n, 1)[at]
 
 
-def _scan(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _scan(shared, text: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """One scan of documents against broadcast fingerprints and windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +129,7 @@ def _scan(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
             rows = batch.num_rows
             n_words, n_hit = np.zeros(rows, np.int64), np.zeros(rows, np.int64)
             items: list[list[str]] = [[] for _ in range(rows)]
-            for c in W.chunks(batch.column("text"), W.ALNUM_BYTES, lower=True):
+            for c in W.chunks(W.text_of(batch, text), W.ALNUM_BYTES, lower=True):
                 sizes = np.diff(c.bounds)
                 n_words[c.first : c.first + len(sizes)] = sizes
                 h = W.word_hashes(c)
@@ -154,8 +154,7 @@ def _scan(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
                     for d, i in zip(docs, its, strict=True):
                         items[c.first + d].append(names[i])
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(k) for k in range(batch.num_columns - 1)), pa.array(n_words), pa.array(n_hit), pa.array(items, pa.list_(pa.string()))],
-                names=[*batch.schema.names[:-1], "n_words", "n_hit", "items"],
+                [batch.column("row"), pa.array(n_words), pa.array(n_hit), pa.array(items, pa.list_(pa.string()))], names=["row", "n_words", "n_hit", "items"]
             )
 
     return run
@@ -202,12 +201,15 @@ def _candidate_windows(span: int, gram: int) -> Callable[[Iterator[pa.RecordBatc
     return run
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n = np.zeros(batch.num_rows, np.int64)
-        for c in W.chunks(batch.column("text"), W.ALNUM_BYTES):
-            n[c.first : c.first + len(c.bounds) - 1] = np.diff(c.bounds)
-        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(batch.num_columns - 1)), pa.array(n)], names=[*batch.schema.names[:-1], "n_words"])
+def _count_words(text: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = np.zeros(batch.num_rows, np.int64)
+            for c in W.chunks(W.text_of(batch, text), W.ALNUM_BYTES):
+                n[c.first : c.first + len(c.bounds) - 1] = np.diff(c.bounds)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("key"), pa.array(n)], names=["row", "key", "n_words"])
+
+    return run
 
 
 def _covered(runs: Column) -> Column:
@@ -233,7 +235,7 @@ def find_contamination(
     windows, _ = write_shared(source.mapInArrow(_item_windows(span), WINDOWS).distinct(), "windows")
     prints, _ = write_shared(source.select("text").mapInArrow(_item_fingerprints(span, gram), FINGERPRINTS).distinct(), "fingerprints")
     kept = [c for c in docs.columns if c != "contamination"]
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), F.col(f"`{text}`").cast("string").alias("text"))
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"))
     out = lambda df: df.select("row.*", F.struct("n_words", "n_hit", "items").alias("contamination"))
     schema = packed.select("row").schema.simpleString().removeprefix("struct<").removesuffix(">").replace("row:", "row ", 1)
 
@@ -245,11 +247,12 @@ def find_contamination(
         by_n = {n: tuple(x[np.argsort(cols[0], kind="stable")] for x in cols) for n, cols in by_n.items()}
         fps = {n: np.sort(x[0]) for n, x in _by_length(p["n"].to_numpy(), u(p["h1"])).items()}
         shared = spark.sparkContext.broadcast((fps, by_n, [str(x) for x in names], span, gram))
-        return out(packed.mapInArrow(_scan(shared), f"{schema}, n_words long, n_hit long, items array<string>"))
+        return out(packed.mapInArrow(_scan(shared, text), f"{schema}, n_words long, n_hit long, items array<string>"))
 
     lengths = [r["n"] for r in prints.select("n").distinct().collect()]  # at most span values
-    keyed = packed.withColumn("key", F.xxhash64("text"))  # equal texts share their result
-    texts = keyed.select("key", "text")
+    body = F.col("row")[text].cast("string")
+    keyed = packed.withColumn("key", F.xxhash64(body))  # equal texts share their result
+    texts = keyed.select("key", body.alias("text"))
     hits = texts.mapInArrow(_kept_grams(lengths, span, gram), "key long, n int, h1 long").join(prints, ["n", "h1"], "left_semi").distinct()
     shared_prints = hits.groupBy("key").agg(F.collect_list(F.struct("n", "h1")).alias("shared"))
     candidates = texts.groupBy("key").agg(F.first("text").alias("text")).join(shared_prints, "key")
@@ -261,7 +264,7 @@ def find_contamination(
         .agg(F.array_sort(F.collect_set(F.struct("at", "n"))).alias("runs"), F.collect_set("item").alias("items"))
         .select("key", _covered(F.col("runs")).alias("n_hit"), "items")
     )
-    counted = keyed.select("row", "key", "text").mapInArrow(_count_words, f"{schema}, key long, n_words long")
+    counted = keyed.mapInArrow(_count_words(text), f"{schema}, key long, n_words long")
     return out(counted.join(found, "key", "left").withColumns({"n_hit": F.coalesce("n_hit", F.lit(0).cast("long")), "items": F.coalesce("items", F.array().cast("array<string>"))}))
 
 

@@ -2,27 +2,20 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bits of the bitmap (8 MB); with far more ids than bits it lets all rows through to the join.
-BITS = 1 << 26
+from .shared import write_shared
+
+#: Bits of the bitmap, which is broadcast as at most BITS / 64 rows of 16 bytes; with far more ids than bits it lets all rows through to the join.
+BITS = 1 << 25
 
 
 def maybe_in(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``docs`` whose ``doc`` is surely not among ``ids``, and the others (nearly all of them among ids)."""
-    spark = docs.sparkSession
-    bit = F.pmod(F.xxhash64("doc"), F.lit(BITS))
-    words = ids.select(bit.alias("bit")).selectExpr("cast(bit div 64 as int) as word", "shiftleft(1L, cast(bit % 64 as int)) as bits").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # at most BITS / 64 rows
-    bitmap = np.zeros(BITS // 64, np.uint64)
-    bitmap[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
-    shared = spark.sparkContext.broadcast(bitmap)
-
-    @F.pandas_udf("boolean")
-    def held(place: pd.Series) -> pd.Series:
-        p = place.to_numpy()
-        return pd.Series((shared.value[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1) == 1)
-
-    return docs.filter(~held(bit)), docs.filter(held(bit))
+    place = F.pmod(F.xxhash64("doc"), F.lit(BITS))
+    bits = ids.select(place.alias("p")).selectExpr("p div 64 as _word", "shiftleft(1L, cast(p % 64 as int)) as bit").groupBy("_word").agg(F.bit_or("bit").alias("_bits"))
+    bitmap = F.broadcast(write_shared(bits, "bitmap")[0])
+    looked_up = docs.withColumn("_place", place).withColumn("_word", F.expr("_place div 64")).join(bitmap, "_word", "left")
+    held = F.expr("coalesce(shiftright(_bits, cast(_place % 64 as int)) & 1, 0) = 1")
+    return looked_up.filter(~held).select(*docs.columns), looked_up.filter(held).select(*docs.columns)

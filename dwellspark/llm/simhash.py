@@ -216,7 +216,8 @@ def fingerprint_links(fingerprints: DataFrame, *, radius: int = RADIUS, run: int
     """
     if radius != RADIUS:
         raise ValueError("the blocks and balls are for a radius of 3")
-    emitted = fingerprints.mapInArrow(_emit_blocks, "key long, fp long")
+    parts = int(fingerprints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    emitted = fingerprints.repartition(parts, "fp").mapInArrow(_emit_blocks, "key long, fp long")
     hits, _ = write_shared(emitted.repartition("key").sortWithinPartitions("key").mapInArrow(_collide(radius, run), "a long, b long").distinct(), "hits")
     crowded = hits.filter("b is null").select(F.col("a").alias("fp"))
     balls = crowded.mapInArrow(_emit_balls, "key long, outer boolean, fp long")
@@ -249,7 +250,7 @@ def word_fingerprints(docs: DataFrame) -> DataFrame:
         for batch in batches:
             prints = np.zeros((len(TABLES), batch.num_rows), U64)
             n = np.zeros(batch.num_rows, np.int64)
-            for c in W.chunks(batch.column("text"), W.ALNUM_BYTES, lower=True, limit=1 << 20):
+            for c in W.chunks(batch.column("text"), W.ALNUM_BYTES, lower=True):
                 h = W.word_hashes(c)
                 text = W.owner(c.bounds, np.arange(len(h)))
                 order = np.lexsort((h, text))

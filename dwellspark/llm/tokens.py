@@ -2,8 +2,8 @@
 
 The tokenizer drops white space and encodes each word by itself, so a text's ids
 are its words' ids in order.  A batch's distinct words are found by dictionary
-encoding, only words that this worker hasn't met are encoded, and the batch's ids
-are gathered by index.  The memo is bounded by ``MEMO_WORDS``.
+encoding, only words that this worker hasn't met lately are encoded, and the batch's ids
+are gathered by index.  The memo has two generations of ``MEMO_WORDS`` words at most.
 """
 
 from __future__ import annotations
@@ -18,9 +18,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Characters of text (about) that are taken together.
-CHUNK_BYTES = 1 << 23
-#: Words whose ids a worker keeps; beyond, it starts afresh.
-MEMO_WORDS = 1_000_000
+CHUNK_BYTES = 1 << 22
+#: Words after which a worker starts a new generation and forgets the one before the last.
+MEMO_WORDS = 200_000
 #: Words that are encoded in one call.
 JOINED = 256
 
@@ -58,6 +58,7 @@ class WordTokenizer:
             self.ends[i] = token.endswith(WORD_END)
         self.specials = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -92,13 +93,13 @@ class WordTokenizer:
 
     def _table(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the words, and where each word's ids begin (and the end)."""
+        if len(self.memo) > MEMO_WORDS:
+            self.older, self.memo = self.memo, {}
+        memo, older = self.memo, self.older
         parts = [self._split(w) for w in words]
-        memo = self.memo
         new = list({p for pair in parts for p in pair if p not in memo})
-        if len(memo) + len(new) > MEMO_WORDS:
-            memo.clear()
-            new = list({p for pair in parts for p in pair})
-        self._learn(new)
+        memo.update((w, older[w]) for w in new if w in older)
+        self._learn([w for w in new if w not in older])
         raw = [memo[a] + memo[b] for a, b in parts]
         sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // self.dtype.itemsize
         return np.frombuffer(b"".join(raw), self.dtype), np.concatenate([[0], np.cumsum(sizes)])

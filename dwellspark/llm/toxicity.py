@@ -100,7 +100,7 @@ def _slot(h: np.ndarray, n: int) -> np.ndarray:
 
 def _count_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A task's counts by slot, and their sums by length of expression (numbered -1, -2, ...)."""
-    counts = np.zeros((2, SLOTS), np.int64)
+    counts = np.zeros((2, SLOTS), np.int32)
     totals = np.zeros((2, len(PREFIXES) + 1), np.int64)
     for batch in batches:
         label = batch.column("label").to_numpy().astype(np.int64)
@@ -117,7 +117,7 @@ def _count_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     totals[k, level] += len(some)
     slots = np.flatnonzero(counts.any(axis=0))
     yield pa.RecordBatch.from_arrays(
-        [pa.array(np.concatenate([slots, -1 - np.arange(totals.shape[1])]).astype(np.int32)), *(pa.array(np.concatenate([counts[k][slots], totals[k]])) for k in (0, 1))], names=["slot", "n0", "n1"]
+        [pa.array(np.concatenate([slots, -1 - np.arange(totals.shape[1])]).astype(np.int32)), *(pa.array(np.concatenate([counts[k][slots].astype(np.int64), totals[k]])) for k in (0, 1))], names=["slot", "n0", "n1"]
     )
 
 
@@ -167,13 +167,13 @@ def fit_curve(bins: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tupl
     return float(beta[0] / scale), float(beta[1])
 
 
-def _score(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _score(shared, text: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, slope, intercept = shared.value
         for batch in batches:
             out = np.zeros(batch.num_rows)
             if model is not None:
-                for c in W.chunks(batch.column("text"), W.ALNUM_BYTES, lower=True):
+                for c in W.chunks(W.text_of(batch, text), W.ALNUM_BYTES, lower=True):
                     out[c.first : c.first + len(c.bounds) - 1] = _text_ratios(model, c)
                 out = 1 / (1 + np.exp(-np.clip(slope * out + intercept, -500, 500)))
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out)], names=["row", "score"])
@@ -213,7 +213,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id"
     texts = docs.select(F.col(f"`{doc_id}`").alias("key"), body.alias("text")).join(known, "key").select("text", "label")
     shared = spark.sparkContext.broadcast(train(texts))
     kept = [c for c in docs.columns if c not in ("held_out", "score", "predicted")]
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), body.alias("text"))
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"))
     schema = packed.select("row").schema
-    scored = packed.mapInArrow(_score(shared), StructType([*schema.fields, StructField("score", DoubleType())]))
+    scored = packed.mapInArrow(_score(shared, text), StructType([*schema.fields, StructField("score", DoubleType())]))
     return scored.select("row.*", "score").withColumns({"held_out": fold(F.col(f"`{doc_id}`")) == 0, "predicted": (F.col("score") >= 0.5).cast("int")})

@@ -11,9 +11,10 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 
 #: Texts are taken together until they hold so many bytes; bounds a task's memory.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 
 U64 = np.uint64
 #: Odd multipliers of the polynomial hashes and constants of the final mixing (fixed, arbitrary).
@@ -46,11 +47,10 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i up to n at least."""
     have = _powers.get(base)
     if have is None or len(have[0]) <= n:
-        size = max(n + 1, 1 << 16)
-        size = 1 << (size - 1).bit_length()
+        size = max(n + 1, CHUNK_BYTES + (1 << 12))
         inverse = pow(base, -1, 1 << 64)
         have = tuple(np.cumprod(np.concatenate([np.ones(1, U64), np.full(size - 1, b, U64)])) for b in (base, inverse))
-        if size <= 1 << 23:
+        if size <= 4 * CHUNK_BYTES:
             _powers[base] = have
     return have
 
@@ -65,6 +65,11 @@ class Chunk(NamedTuple):
     bounds: np.ndarray
 
 
+def text_of(batch: pa.RecordBatch, name: str) -> pa.Array:
+    """A field of the column ``row``, which holds whole rows."""
+    return pa.compute.struct_field(batch.column("row"), name)
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Offsets (from 0) and bytes of a string column; nulls become empty."""
     column = column.cast(pa.large_string()).fill_null("")
