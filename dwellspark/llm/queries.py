@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..session import ship_package
 from .decontaminate import find_contamination, is_contaminated
 from .packing import pack_documents
-from .rans import documents_of, encode_corpus, read_tokens
+from .rans import encode_corpus, read_documents
 from .simhash import simhash_components
 from .sharding import shard
 from .topk import top_k
@@ -48,7 +48,7 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = encode_corpus(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return documents_of(read_tokens(spark, path)).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return read_documents(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

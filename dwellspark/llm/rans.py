@@ -36,11 +36,13 @@ from .tokens import default_tokenizer, worker_tokenizer
 
 END_ID = 1
 SCALE_BITS = 20
-LANES = 128
+LANES = 512
 STEPS_PER_CHECKPOINT = 64
 BLOCK_IDS = 1 << 17
 #: Ids (about) of a file.
 FILE_IDS = 1 << 23
+#: The most files, beyond which they grow; bounds the broadcast of their sizes.
+MOST_FILES = 1 << 20
 #: Lower bound of a coder's state.
 LOW = np.uint64(1 << 31)
 U64 = np.uint64
@@ -224,7 +226,7 @@ def write_tokens(tokens: DataFrame, path: str) -> None:
         table[r["symbol"]] = r["count"]
     frequencies = scaled_frequencies(table)
     spark.createDataFrame([(int(i), int(frequencies[i])) for i in np.flatnonzero(frequencies)], "symbol long, frequency long").coalesce(1).write.parquet(f"{path}/frequencies")
-    files = max(1, int(table.sum()) // FILE_IDS)
+    files = max(1, min(MOST_FILES, int(table.sum()) // FILE_IDS))
     kind = dict(tokens.dtypes)["doc_id"]
     ordered = tokens.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "n", "ids")
     ordered.select("doc_id", "width", "ids").mapInArrow(_encode_blocks(spark.sparkContext.broadcast(frequencies)), BLOCKS.format(kind=kind)).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
@@ -284,8 +286,11 @@ def crc32_of_joined(parts: list[tuple[int, int]]) -> int:
     return total
 
 
-def read_tokens(spark: SparkSession, path: str, *, with_ids: bool = False) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of each document, and ids (array of int) if asked for."""
+def read_tokens(spark: SparkSession, path: str, *, with_ids: bool = False, only: str = "true") -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32, part of each document or part of one, and ids (array of int) if asked for.
+
+    ``only``: a condition on blocks, of which others aren't decoded.
+    """
     rows = spark.read.parquet(f"{path}/frequencies").collect()  # at most the vocabulary
     frequencies = np.zeros(max([r["symbol"] for r in rows], default=-1) + 1, np.int64)
     for r in rows:
@@ -296,19 +301,27 @@ def read_tokens(spark: SparkSession, path: str, *, with_ids: bool = False) -> Da
     base = files.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     kind = dict(blocks.dtypes)["doc_ids"].removeprefix("array<").removesuffix(">")
     schema = f"doc_id {kind}, start long, n_tokens long, ids_crc32 long, part int" + (", ids array<int>" if with_ids else "")
-    parts = blocks.join(base, "file").mapInArrow(_read_blocks(spark.sparkContext.broadcast(frequencies), with_ids), schema)
+    parts = blocks.filter(only).join(F.broadcast(base), "file").mapInArrow(_read_blocks(spark.sparkContext.broadcast(frequencies), with_ids), schema)
     return parts
 
 
 def documents_of(parts: DataFrame) -> DataFrame:
     """One row a document: parts of documents that several blocks share are joined."""
+    return parts.filter("part < 0").drop("part").unionByName(_joined(parts.filter("part >= 0")))
+
+
+def read_documents(spark: SparkSession, path: str, *, with_ids: bool = False) -> DataFrame:
+    """The same from the files; each block is decoded once."""
+    whole = read_tokens(spark, path, with_ids=with_ids, only="part < 0").drop("part")
+    return whole.unionByName(_joined(read_tokens(spark, path, with_ids=with_ids, only="part >= 0")))
+
+
+def _joined(parts: DataFrame) -> DataFrame:
     names = parts.columns
-    whole = parts.filter("part < 0").drop("part")
-    joined = F.udf(lambda x: crc32_of_joined([(p["ids_crc32"], 4 * p["n_tokens"]) for p in x]), "long")
+    crc = F.udf(lambda x: crc32_of_joined([(p["ids_crc32"], 4 * p["n_tokens"]) for p in x]), "long")
     first = F.col("start") - F.col("part") * F.lit(BLOCK_IDS)
-    split = parts.filter("part >= 0").groupBy("doc_id", first.alias("start")).agg(F.array_sort(F.collect_list(F.struct("part", *(c for c in names if c not in ("doc_id", "part", "start"))))).alias("p"))
-    split = split.select("doc_id", "start", F.aggregate("p.n_tokens", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_tokens"), joined("p").alias("ids_crc32"), *([F.flatten("p.ids").alias("ids")] if "ids" in names else []))
-    return whole.unionByName(split)
+    split = parts.groupBy("doc_id", first.alias("start")).agg(F.array_sort(F.collect_list(F.struct("part", *(c for c in names if c not in ("doc_id", "part", "start"))))).alias("p"))
+    return split.select("doc_id", "start", F.aggregate("p.n_tokens", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_tokens"), crc("p").alias("ids_crc32"), *([F.flatten("p.ids").alias("ids")] if "ids" in names else []))
 
 
 def encode_corpus(docs: DataFrame, tokenizer: str | None = None, *, path: str | None = None, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text") -> str:

@@ -27,6 +27,19 @@ def test_encoding_is_the_tokenizers(parts):
     assert ids == [e.ids for e in whole]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.sampled_from("stSTrelHJ'’\"-_. 19é×÷ÉÀ\u0331\u0308\u030c\r\x0b\x00½²—🙂"), max_size=40), max_size=5))
+def test_cuts_are_the_tokenizers(parts):
+    encoder = worker_tokenizer(default_tokenizer())
+    assert encoder.known
+    whole = [e.ids for e in Tokenizer.from_file(default_tokenizer()).encode_batch(parts, add_special_tokens=False)]
+    for known in (True, False):
+        encoder.known = known
+        got = [c.ids[a:b].tolist() for c in encoder.encode(pa.array(parts, pa.string())) for a, b in zip(c.bounds[:-1], c.bounds[1:], strict=True)]
+        encoder.known = True
+        assert got == whole
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.dictionaries(st.integers(1, 60), st.integers(1, 40), min_size=1), st.just(60))
 def test_plan_places_every_piece_once(histogram, capacity):
@@ -101,7 +114,9 @@ def test_token_output(docs, texts, reference, spark):
 def test_documents_longer_than_a_block(spark, reference):
     long = "ha re on " * 60_000
     rows = spark.createDataFrame([(2, "b"), (1, long), (3, None), (1, "again")], "doc_id long, text string")
-    got = {(r["doc_id"], r["n_tokens"]): r for r in rans.documents_of(rans.read_tokens(spark, rans.encode_corpus(rows), with_ids=True)).collect()}
+    path = rans.encode_corpus(rows)
+    got = {(r["doc_id"], r["n_tokens"]): r for r in rans.documents_of(rans.read_tokens(spark, path, with_ids=True)).collect()}
+    assert {(r["doc_id"], r["n_tokens"]): r for r in rans.read_documents(spark, path, with_ids=True).collect()} == got
     ids = [*reference.encode(long, add_special_tokens=False).ids, 1]
     assert len(ids) > rans.BLOCK_IDS
     r = got[1, len(ids)]
