@@ -169,3 +169,23 @@ FIELD_WEIGHTS = {"schools": 1.00, "stations": 1.00, "features": 0.80, "descripti
 INTENT_TOP_K, INTENT_HIT = 4, 0.45
 #: The namespace of listing ids.
 UUID_NAMESPACE = "a3b2c1d0e5f67890abcdef1234567890"
+
+# Fields of high risk in arbitration, and what reviews look for.
+HIGH_RISK_FIELDS = ("max_rent_pcm", "available_from", "let_type", "layout_options", "min_tenancy_months", "min_size_sqm")
+ACROSS_PATTERN = r"\bwhich\s+(one|listing|property|of)\b"
+UNSTATED_FEATURE = ("ask agent", "n/a", "none")
+GOOD_NO_PATTERN = r"^no\s+((agent|admin|application|reference)\s+fee|deposit)"
+FORBIDS_PATTERN = r"^no\s+|not\s+accepted|not\s+allowed"
+DEPOSIT_PATTERN = r"deposit|upfront"
+POINT_WEIGHTS = {
+    "bedrooms": 4,
+    "bathrooms": 4,
+    "available_from": 3,
+    "min_tenancy": 3,
+    "deposit": 3,
+    "council_tax": 2,
+    "furnish_type": 2,
+    "size": 1,
+    "property_type": 1,
+}
+UNKNOWN_POINT = ("", "ask agent", "unknown", "n/a", "na", "not provided", "not known")

@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import maintenance, ranking, search, texts, vectors
+from . import maintenance, ranking, review, search, texts, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-for module in (search, ranking, maintenance, texts, vectors):
+for module in (search, ranking, maintenance, texts, vectors, review):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES
