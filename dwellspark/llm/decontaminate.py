@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from . import wordhash as W
 from .shared import write_shared
+from .workers import map_batches
 
 SPAN = 13
 GRAM = 5
@@ -232,8 +233,8 @@ def find_contamination(
     """
     spark = docs.sparkSession
     source = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("item"), F.col(item_text).cast("string").alias("text"))
-    windows, _ = write_shared(source.mapInArrow(_item_windows(span), WINDOWS).distinct(), "windows")
-    prints, _ = write_shared(source.select("text").mapInArrow(_item_fingerprints(span, gram), FINGERPRINTS).distinct(), "fingerprints")
+    windows, _ = write_shared(map_batches(source, _item_windows(span), WINDOWS).distinct(), "windows")
+    prints, _ = write_shared(map_batches(source.select("text"), _item_fingerprints(span, gram), FINGERPRINTS).distinct(), "fingerprints")
     kept = [c for c in docs.columns if c != "contamination"]
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"))
     out = lambda df: df.select("row.*", F.struct("n_words", "n_hit", "items").alias("contamination"))
@@ -247,24 +248,23 @@ def find_contamination(
         by_n = {n: tuple(x[np.argsort(cols[0], kind="stable")] for x in cols) for n, cols in by_n.items()}
         fps = {n: np.sort(x[0]) for n, x in _by_length(p["n"].to_numpy(), u(p["h1"])).items()}
         shared = spark.sparkContext.broadcast((fps, by_n, [str(x) for x in names], span, gram))
-        return out(packed.mapInArrow(_scan(shared, text), f"{schema}, n_words long, n_hit long, items array<string>"))
+        return out(map_batches(packed, _scan(shared, text), f"{schema}, n_words long, n_hit long, items array<string>"))
 
     lengths = [r["n"] for r in prints.select("n").distinct().collect()]  # at most span values
     body = F.col("row")[text].cast("string")
     keyed = packed.withColumn("key", F.xxhash64(body))  # equal texts share their result
     texts = keyed.select("key", body.alias("text"))
-    hits = texts.mapInArrow(_kept_grams(lengths, span, gram), "key long, n int, h1 long").join(prints, ["n", "h1"], "left_semi").distinct()
+    hits = map_batches(texts, _kept_grams(lengths, span, gram), "key long, n int, h1 long").join(prints, ["n", "h1"], "left_semi").distinct()
     shared_prints = hits.groupBy("key").agg(F.collect_list(F.struct("n", "h1")).alias("shared"))
     candidates = texts.groupBy("key").agg(F.first("text").alias("text")).join(shared_prints, "key")
     found = (
-        candidates.select("key", "text", "shared")
-        .mapInArrow(_candidate_windows(span, gram), "key long, n int, h1 long, h2 long, at long")
+        map_batches(candidates.select("key", "text", "shared"), _candidate_windows(span, gram), "key long, n int, h1 long, h2 long, at long")
         .join(windows, ["n", "h1", "h2"])
         .groupBy("key")
         .agg(F.array_sort(F.collect_set(F.struct("at", "n"))).alias("runs"), F.collect_set("item").alias("items"))
         .select("key", _covered(F.col("runs")).alias("n_hit"), "items")
     )
-    counted = keyed.mapInArrow(_count_words(text), f"{schema}, key long, n_words long")
+    counted = map_batches(keyed, _count_words(text), f"{schema}, key long, n_words long")
     return out(counted.join(found, "key", "left").withColumns({"n_hit": F.coalesce("n_hit", F.lit(0).cast("long")), "items": F.coalesce("items", F.array().cast("array<string>"))}))
 
 

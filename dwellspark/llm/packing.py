@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from .shared import write_shared
 from .tokens import default_tokenizer, worker_tokenizer
+from .workers import map_batches
 
 CAPACITY = 2048
 END_ID = 0
@@ -103,7 +104,8 @@ def document_pieces(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY
 
     kind = dict(docs.dtypes)[doc_id]
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
-    return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(run, schema)
+    texts = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    return map_batches(texts, run, schema)
 
 
 def _take_slots(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -145,7 +147,7 @@ def pack(pieces: DataFrame, *, capacity: int = CAPACITY, keys: tuple[str, ...] =
     ranked = salted.withColumn("place", F.row_number().over(within) - 1).join(base, ["length", "salt"])
     ranked = ranked.select(*pieces.columns, (F.col("place") + F.col("base")).alias("rank"))
     schema = ", ".join(f"`{c}` {t}" for c, t in pieces.dtypes) + ", sequence_id long, offset long"
-    return ranked.mapInArrow(_take_slots(spark.sparkContext.broadcast(plan)), schema)
+    return map_batches(ranked, _take_slots(spark.sparkContext.broadcast(plan)), schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, *, capacity: int = CAPACITY, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

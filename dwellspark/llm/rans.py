@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from .shared import drop_shared, new_shared_path
 from .tokens import default_tokenizer, worker_tokenizer
+from .workers import map_batches
 
 END_ID = 1
 SCALE_BITS = 20
@@ -161,7 +162,8 @@ def token_table(docs: DataFrame, tokenizer: str, *, end_id: int = END_ID, doc_id
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, len(n)), pa.array(n), pa.array(np.full(len(n), width, np.int32)), ids], names=["doc_id", "n", "width", "ids"])
 
     kind = dict(docs.dtypes)[doc_id]
-    return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n long, width int, ids binary")
+    texts = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    return map_batches(texts, run, f"doc_id {kind}, n long, width int, ids binary")
 
 
 def _count_symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,7 +221,7 @@ def _encode_blocks(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
 def write_tokens(tokens: DataFrame, path: str) -> None:
     """Write ``tokens`` (as of ``token_table``; read three times, so give a stored one) in ascending doc_id order."""
     spark = tokens.sparkSession
-    counts = tokens.mapInArrow(_count_symbols, "symbol long, count long").groupBy("symbol").agg(F.sum("count").alias("count"))
+    counts = map_batches(tokens, _count_symbols, "symbol long, count long").groupBy("symbol").agg(F.sum("count").alias("count"))
     rows = counts.collect()  # at most the vocabulary
     table = np.zeros(max([r["symbol"] for r in rows], default=-1) + 1, np.int64)
     for r in rows:
@@ -229,7 +231,7 @@ def write_tokens(tokens: DataFrame, path: str) -> None:
     files = max(1, min(MOST_FILES, int(table.sum()) // FILE_IDS))
     kind = dict(tokens.dtypes)["doc_id"]
     ordered = tokens.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "n", "ids")
-    ordered.select("doc_id", "width", "ids").mapInArrow(_encode_blocks(spark.sparkContext.broadcast(frequencies)), BLOCKS.format(kind=kind)).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    map_batches(ordered.select("doc_id", "width", "ids"), _encode_blocks(spark.sparkContext.broadcast(frequencies)), BLOCKS.format(kind=kind)).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
 
 
 def _read_blocks(shared, with_ids: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -301,7 +303,7 @@ def read_tokens(spark: SparkSession, path: str, *, with_ids: bool = False, only:
     base = files.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     kind = dict(blocks.dtypes)["doc_ids"].removeprefix("array<").removesuffix(">")
     schema = f"doc_id {kind}, start long, n_tokens long, ids_crc32 long, part int" + (", ids array<int>" if with_ids else "")
-    parts = blocks.filter(only).join(F.broadcast(base), "file").mapInArrow(_read_blocks(spark.sparkContext.broadcast(frequencies), with_ids), schema)
+    parts = map_batches(blocks.filter(only).join(F.broadcast(base), "file"), _read_blocks(spark.sparkContext.broadcast(frequencies), with_ids), schema)
     return parts
 
 

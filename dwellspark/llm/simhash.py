@@ -37,6 +37,7 @@ from . import wordhash as W
 from .components import connected_components
 from .idset import maybe_in
 from .shared import write_shared
+from .workers import map_batches
 
 RADIUS = 3
 SHINGLE = 3
@@ -101,7 +102,8 @@ def shingle_fingerprints(docs: DataFrame, *, n: int = SHINGLE, seed: int = SEED,
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], names=["doc_id", "fp"])
 
     kind = dict(docs.dtypes)[doc_id]
-    return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
+    texts = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    return map_batches(texts, run, f"doc_id {kind}, fp long")
 
 
 @cache
@@ -217,11 +219,11 @@ def fingerprint_links(fingerprints: DataFrame, *, radius: int = RADIUS, run: int
     if radius != RADIUS:
         raise ValueError("the blocks and balls are for a radius of 3")
     parts = int(fingerprints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    emitted = fingerprints.repartition(parts, "fp").mapInArrow(_emit_blocks, "key long, fp long")
-    hits, _ = write_shared(emitted.repartition("key").sortWithinPartitions("key").mapInArrow(_collide(radius, run), "a long, b long").distinct(), "hits")
+    emitted = map_batches(fingerprints.repartition(parts, "fp"), _emit_blocks, "key long, fp long")
+    hits, _ = write_shared(map_batches(emitted.repartition("key").sortWithinPartitions("key"), _collide(radius, run), "a long, b long").distinct(), "hits")
     crowded = hits.filter("b is null").select(F.col("a").alias("fp"))
-    balls = crowded.mapInArrow(_emit_balls, "key long, outer boolean, fp long")
-    stars = balls.repartition("key").sortWithinPartitions("key", "outer", "fp").mapInArrow(_stars, "a long, b long")
+    balls = map_batches(crowded, _emit_balls, "key long, outer boolean, fp long")
+    stars = map_batches(balls.repartition("key").sortWithinPartitions("key", "outer", "fp"), _stars, "a long, b long")
     return hits.filter("b is not null").union(stars).distinct()
 
 
@@ -268,7 +270,7 @@ def word_fingerprints(docs: DataFrame) -> DataFrame:
 
     kind = dict(docs.dtypes)["doc"]
     keyed = docs.select("doc", "text", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"))
-    return keyed.mapInArrow(run, f"doc {kind}, k1 long, k2 long, n long, " + ", ".join(f"f{k} long" for k in range(len(TABLES))))
+    return map_batches(keyed, run, f"doc {kind}, k1 long, k2 long, n long, " + ", ".join(f"f{k} long" for k in range(len(TABLES))))
 
 
 def _shingle_sets(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -321,13 +323,13 @@ def near_duplicate_ids(docs: DataFrame, *, n: int = NEAR_SHINGLE, similarity: fl
     edges, _ = write_shared(edges.distinct(), "candidates")
     members = edges.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
     _, maybe = maybe_in(docs, members)
-    sets, _ = write_shared(maybe.join(members, "doc").select("doc", "text").mapInArrow(_shingle_sets(n), "doc long, shingles binary").dropDuplicates(["doc"]), "shingles")
+    sets, _ = write_shared(map_batches(maybe.join(members, "doc").select("doc", "text"), _shingle_sets(n), "doc long, shingles binary").dropDuplicates(["doc"]), "shingles")
     gone = prints.join(nodes.select("k1", "k2", "id"), ["k1", "k2"]).filter("doc <> id").select("doc")
     for _ in range(rounds):
         roots = connected_components(edges)
         of_root = sets.select(F.col("doc").alias("root"), F.col("shingles").alias("of_root"))
         pairs = roots.filter("node <> root").join(sets.withColumnRenamed("doc", "node"), "node").join(of_root, "root")
-        judged, _ = write_shared(pairs.select("node", "shingles", "of_root").mapInArrow(_similar(similarity), "node long, similar boolean"), "judged")
+        judged, _ = write_shared(map_batches(pairs.select("node", "shingles", "of_root"), _similar(similarity), "node long, similar boolean"), "judged")
         gone = gone.union(judged.filter("similar").select(F.col("node").alias("doc")))
         open_ = judged.filter("not similar").select("node")
         left = edges.join(open_.withColumnRenamed("node", "a"), "a", "left_semi").join(open_.withColumnRenamed("node", "b"), "b", "left_semi")

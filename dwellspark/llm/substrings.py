@@ -36,6 +36,7 @@ from . import wordhash as W
 from .idset import maybe_in
 from .recompression import ROUNDS, Symbols, recompress
 from .shared import drop_shared, write_shared
+from .workers import map_batches
 
 WINDOW = 50
 LAST_ID = (1 << 63) - 1
@@ -147,14 +148,14 @@ def dedup_substrings(docs: DataFrame, *, window: int = WINDOW, rounds: int = ROU
     copies, _ = write_shared(_copies(base), "copies")
     never, maybe = maybe_in(base.select("doc", "text"), copies)
     single = never.union(maybe.join(copies, "doc", "left_anti"))
-    named = single.mapInArrow(_names(window, rounds), "name long, doc long, sure boolean")
+    named = map_batches(single, _names(window, rounds), "name long, doc long, sure boolean")
     spread = named.filter("sure").groupBy("name").agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
     shared, shared_path = write_shared(spread.filter("least < most").select("name"), "names")
     touched = named.join(shared.withColumn("found", F.lit(True)), "name", "left").filter("found or not sure")
     touched, touched_path = write_shared(touched.groupBy("doc").agg(F.collect_list("name").alias("names")), "touched")
     drop_shared(docs.sparkSession, shared_path)
     _, near = maybe_in(single, touched.select("doc"))
-    windows, windows_path = write_shared(near.join(touched, "doc").select("doc", "text", "names").mapInArrow(_candidates(window, rounds), "h1 long, h2 long, doc long"), "windows")
+    windows, windows_path = write_shared(map_batches(near.join(touched, "doc").select("doc", "text", "names"), _candidates(window, rounds), "h1 long, h2 long, doc long"), "windows")
     drop_shared(docs.sparkSession, touched_path)
     first = windows.groupBy("h1", "h2").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most").select("h1", "h2", "least")
     repeated = windows.join(first, ["h1", "h2"]).filter("doc > least").groupBy("doc").agg(F.collect_list("h1").alias("hashes")).withColumn("whole", F.lit(False))
@@ -164,4 +165,4 @@ def dedup_substrings(docs: DataFrame, *, window: int = WINDOW, rounds: int = ROU
     clean = clean.select("doc_id", "text", F.lit(None).cast("array<long>").alias("hashes"), F.lit(False).alias("whole"))
     hit = hit.join(removals, "doc", "left").select("doc_id", "text", "hashes", F.coalesce("whole", F.lit(False)).alias("whole"))
     kind = dict(base.dtypes)["doc_id"]
-    return clean.union(hit).mapInArrow(_apply(window, with_text), f"doc_id {kind}, n_words long, n_removed long, {'kept' if with_text else 'kept_sha256'} string")
+    return map_batches(clean.union(hit), _apply(window, with_text), f"doc_id {kind}, n_words long, n_removed long, {'kept' if with_text else 'kept_sha256'} string")

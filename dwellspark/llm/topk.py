@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import write_shared
+from .workers import map_batches
 
 K = 5
 SCALE = 256
@@ -221,7 +222,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = K, scale: int = SC
         df = df.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), quantised(F.col(f"`{vector}`"), scale).alias("v")).filter("vec_id is not null and v is not null")
         return df.groupBy("vec_id").agg(F.min("v").alias("v"))
 
-    index, _ = write_shared(ready(vectors).mapInArrow(_build(block_rows), "rows long, dims long, bits long, ids binary, vals binary, slices binary, bias binary"), "index")
+    index, _ = write_shared(map_batches(ready(vectors), _build(block_rows), "rows long, dims long, bits long, ids binary, vals binary, slices binary, bias binary"), "index")
     asked, _ = write_shared(ready(queries), "queries")
     n = asked.count()
     found = None
@@ -230,7 +231,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = K, scale: int = SC
         own = asked if chunks == 1 else asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(chunks)) == c)
         chunk = own.collect()  # about query_rows rows
         shared = spark.sparkContext.broadcast((np.array([r["vec_id"] for r in chunk], np.int64), [np.array(r["v"], np.int64) for r in chunk]))
-        part = index.mapInArrow(_search(shared, k), "query_id long, vec_id long, score long") if chunk else None
+        part = map_batches(index, _search(shared, k), "query_id long, vec_id long, score long") if chunk else None
         found = part if found is None else found.union(part) if part is not None else found
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")

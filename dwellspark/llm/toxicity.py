@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import wordhash as W
+from .workers import map_batches
 
 SLOTS = 1 << 21
 #: Bytes of the beginnings of words.
@@ -188,7 +189,7 @@ def fold(doc_id: Column) -> Column:
 def train(texts: DataFrame) -> tuple[Model | None, float, float]:
     """Model and curve from ``texts`` (text, label 0 or 1), which are read twice."""
     spark = texts.sparkSession
-    rows = texts.mapInArrow(_count_texts, "slot int, n0 long, n1 long").groupBy("slot").agg(F.sum("n0").cast("int").alias("n0"), F.sum("n1").cast("int").alias("n1")).toArrow()  # at most SLOTS rows
+    rows = map_batches(texts, _count_texts, "slot int, n0 long, n1 long").groupBy("slot").agg(F.sum("n0").cast("int").alias("n0"), F.sum("n1").cast("int").alias("n1")).toArrow()  # at most SLOTS rows
     slot = rows["slot"].to_numpy()
     counts, totals = np.zeros((2, SLOTS), np.int32), np.zeros((2, len(PREFIXES) + 1), np.int64)
     for k in (0, 1):
@@ -198,7 +199,7 @@ def train(texts: DataFrame) -> tuple[Model | None, float, float]:
     if not totals[:, -1].all():
         return None, 0.0, 0.0
     model = Model(counts, totals)
-    bins = texts.mapInArrow(_left_out(spark.sparkContext.broadcast(model)), "label int, bin int").groupBy("label", "bin").agg(F.count("*").alias("n")).toArrow()  # at most 4 * BINS rows
+    bins = map_batches(texts, _left_out(spark.sparkContext.broadcast(model)), "label int, bin int").groupBy("label", "bin").agg(F.count("*").alias("n")).toArrow()  # at most 4 * BINS rows
     slope, intercept = fit_curve(*(bins[k].to_numpy().astype(float) for k in ("bin", "label", "n")))
     return model, slope, intercept
 
@@ -215,5 +216,5 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id"
     kept = [c for c in docs.columns if c not in ("held_out", "score", "predicted")]
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"))
     schema = packed.select("row").schema
-    scored = packed.mapInArrow(_score(shared, text), StructType([*schema.fields, StructField("score", DoubleType())]))
+    scored = map_batches(packed, _score(shared, text), StructType([*schema.fields, StructField("score", DoubleType())]))
     return scored.select("row.*", "score").withColumns({"held_out": fold(F.col(f"`{doc_id}`")) == 0, "predicted": (F.col("score") >= 0.5).cast("int")})
