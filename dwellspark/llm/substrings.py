@@ -134,10 +134,19 @@ def _apply(window: int, with_text: bool):
     return run
 
 
+def _of_several(rows: DataFrame, *key: str) -> DataFrame:
+    """Each key that several documents hold, and the smallest of them.
+
+    Stored, so that joins to it shuffle both sides and Spark can split a hot key.
+    """
+    first = rows.groupBy(*key).agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most")
+    return write_shared(first.select(*key, "least"), "first")[0]
+
+
 def _copies(docs: DataFrame) -> DataFrame:
     """Ids of texts that are equal to that of a smaller id."""
     keys = docs.filter("text <> ''").select("doc", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"))
-    first = keys.groupBy("k1", "k2").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most").select("k1", "k2", "least")
+    first = _of_several(keys, "k1", "k2")
     return keys.join(first, ["k1", "k2"]).filter("doc > least").select("doc").distinct()
 
 
@@ -157,7 +166,7 @@ def dedup_substrings(docs: DataFrame, *, window: int = WINDOW, rounds: int = ROU
     _, near = maybe_in(single, touched.select("doc"))
     windows, windows_path = write_shared(map_batches(near.join(touched, "doc").select("doc", "text", "names"), _candidates(window, rounds), "h1 long, h2 long, doc long"), "windows")
     drop_shared(docs.sparkSession, touched_path)
-    first = windows.groupBy("h1", "h2").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most").select("h1", "h2", "least")
+    first = _of_several(windows, "h1", "h2")
     repeated = windows.join(first, ["h1", "h2"]).filter("doc > least").groupBy("doc").agg(F.collect_list("h1").alias("hashes")).withColumn("whole", F.lit(False))
     removals, _ = write_shared(repeated.union(copies.select("doc", F.array().cast("array<long>"), F.lit(True))), "removals")
     drop_shared(docs.sparkSession, windows_path)
