@@ -241,7 +241,7 @@ def simhash_components(docs: DataFrame, *, n: int = SHINGLE, seed: int = SEED, r
 #: Near-duplicate groups: words of a shingle, least Jaccard similarity, fingerprints a text, rounds of representatives.
 NEAR_SHINGLE = 5
 NEAR_SIMILARITY = 0.8
-TABLES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
+TABLES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7, 0xAAAAAAAAAAAAAAAB)
 NEAR_ROUNDS = 3
 
 
@@ -292,23 +292,47 @@ def _similar(least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for a, b in zip(batch.column("shingles"), batch.column("of_root"), strict=True):
+            for a, b in zip(batch.column("of_a"), batch.column("of_b"), strict=True):
                 x, y = np.frombuffer(a.as_buffer(), U64), np.frombuffer(b.as_buffer(), U64)
                 both = int(W.member(x, y).sum())
                 out.append(both >= least * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(out)], names=["node", "similar"])
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.bool_())], names=["a", "b", "similar"])
 
     return run
 
 
+def _judged(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """a, b and whether their shingles are similar."""
+    of_a = sets.select(F.col("doc").alias("a"), F.col("shingles").alias("of_a"))
+    of_b = sets.select(F.col("doc").alias("b"), F.col("shingles").alias("of_b"))
+    both = pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "of_a", "of_b")
+    return write_shared(map_batches(both, _similar(similarity), "a long, b long, similar boolean"), "judged")[0]
+
+
+def _hub_pairs(edges: DataFrame) -> DataFrame:
+    """Every node (a) with the hub of its component (b): the node of most edges, of several the smallest."""
+    roots, _ = write_shared(connected_components(edges), "roots")
+    degree = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+    best = roots.join(degree, "node").groupBy("root").agg(F.max_by("node", F.struct("degree", -F.col("node"))).alias("b"))
+    hubs, _ = write_shared(best, "hubs")
+    return roots.join(hubs, "root").filter("node <> b").select(F.col("node").alias("a"), "b")
+
+
+def _touching(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The edges that have a node of ``nodes`` at either end."""
+    return edges.join(nodes.withColumnRenamed("node", "a"), "a", "left_semi").select("a", "b").union(edges.join(nodes.withColumnRenamed("node", "b"), "b", "left_semi").select("a", "b")).distinct()
+
+
 def near_duplicate_ids(docs: DataFrame, *, n: int = NEAR_SHINGLE, similarity: float = NEAR_SIMILARITY, rounds: int = NEAR_ROUNDS) -> DataFrame:
     """Ids (column doc) of ``docs`` (doc, text) that are copies or near copies of a document that stays.
 
     Candidates are texts within three bits in one of the fingerprints over their words,
     which near copies share far more often than fingerprints over shingles.  Within each
-    component the smallest id is the representative; members whose n-word shingles have
-    at least ``similarity`` with its own go.  What is left forms components anew, ``rounds`` times;
-    what is still unmatched stays.
+    component of candidates all texts are held against the hub, which is mostly the text
+    that the others were made from; two texts whose n-word shingles have at least
+    ``similarity`` are linked.  What isn't linked forms components anew, ``rounds``
+    times; what then is still alone is held against each of its candidates.  Of every
+    component of links the smallest id stays.
     """
     prints, _ = write_shared(word_fingerprints(docs), "prints")
     nodes, _ = write_shared(prints.groupBy("k1", "k2").agg(F.min("doc").alias("id"), F.min("n").alias("n"), *(F.min(f"f{k}").alias(f"f{k}") for k in range(len(TABLES)))), "nodes")
@@ -318,25 +342,28 @@ def near_duplicate_ids(docs: DataFrame, *, n: int = NEAR_SHINGLE, similarity: fl
         least = own.groupBy("fp").agg(F.min("id").alias("least"))
         links, _ = write_shared(fingerprint_links(least.select("fp")), "links")
         equal = own.join(least, "fp").filter("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
-        near = links.join(least.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(least.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        near = links.join(least.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(least.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         edges = equal.union(near) if edges is None else edges.union(equal).union(near)
     edges, _ = write_shared(edges.distinct(), "candidates")
     members = edges.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
     _, maybe = maybe_in(docs, members)
     sets, _ = write_shared(map_batches(maybe.join(members, "doc").select("doc", "text"), _shingle_sets(n), "doc long, shingles binary").dropDuplicates(["doc"]), "shingles")
-    gone = prints.join(nodes.select("k1", "k2", "id"), ["k1", "k2"]).filter("doc <> id").select("doc")
+    linked, left = None, edges
     for _ in range(rounds):
-        roots = connected_components(edges)
-        of_root = sets.select(F.col("doc").alias("root"), F.col("shingles").alias("of_root"))
-        pairs = roots.filter("node <> root").join(sets.withColumnRenamed("doc", "node"), "node").join(of_root, "root")
-        judged, _ = write_shared(map_batches(pairs.select("node", "shingles", "of_root"), _similar(similarity), "node long, similar boolean"), "judged")
-        gone = gone.union(judged.filter("similar").select(F.col("node").alias("doc")))
-        open_ = judged.filter("not similar").select("node")
-        left = edges.join(open_.withColumnRenamed("node", "a"), "a", "left_semi").join(open_.withColumnRenamed("node", "b"), "b", "left_semi")
-        edges, _ = write_shared(left.select("a", "b"), "candidates")
-        if edges.isEmpty():
+        judged = _judged(_hub_pairs(left), sets, similarity)
+        found = judged.filter("similar").select("a", "b")
+        linked = found if linked is None else linked.union(found)
+        open_ = judged.filter("not similar").select(F.col("a").alias("node"))
+        left = left.join(open_.withColumnRenamed("node", "a"), "a", "left_semi").join(open_.withColumnRenamed("node", "b"), "b", "left_semi")
+        left, _ = write_shared(left.select("a", "b"), "candidates")
+        if left.isEmpty():
             break
-    return gone.distinct()
+    ends = linked.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    alone, _ = write_shared(members.withColumnRenamed("doc", "node").join(ends, "node", "left_anti"), "alone")
+    last = _judged(_touching(edges, alone), sets, similarity).filter("similar").select("a", "b")
+    near = connected_components(linked.union(last)).filter("node <> root").select(F.col("node").alias("doc"))
+    gone = prints.join(nodes.select("k1", "k2", "id"), ["k1", "k2"]).filter("doc <> id").select("doc")
+    return gone.union(near).distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:

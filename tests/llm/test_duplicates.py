@@ -73,6 +73,22 @@ def test_near_duplicates_leave_one_of_each_group(spark, docs, texts):
     assert sum(i not in kept for i in edited) >= 0.8 * len(edited)
 
 
+def test_near_copies_that_are_like_their_original_alone(spark):
+    """Copies with edits of their own; the original, which links them, doesn't have the smallest id."""
+    rng = random.Random(11)
+    words = [f"w{rng.randint(0, 10**6)}" for _ in range(400)]
+    copies = []
+    for _ in range(12):
+        own = list(words)
+        for at in rng.sample(range(10, 390, 6), 6):
+            own[at] = f"e{rng.randint(0, 10**6)}"
+        copies.append(" ".join(own))
+    rows = [*enumerate(copies), (50, " ".join(words))] + [(60 + i, " ".join(rng.sample(words, 400))) for i in range(2)]
+    kept = {r["doc_id"] for r in drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {60, 61} <= kept, "the same words in another order are another text"
+    assert len(kept - {60, 61}) == 1
+
+
 def test_near_duplicates_without_ids(spark, empty):
     rows = spark.createDataFrame([(None, "a b"), (None, "a b"), (3, None), (4, "")], "doc_id long, text string")
     assert sorted(str(r["doc_id"]) for r in drop_near_duplicates(rows).collect()) == ["3", "None", "None"]
