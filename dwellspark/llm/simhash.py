@@ -318,9 +318,81 @@ def _hub_pairs(edges: DataFrame) -> DataFrame:
     return roots.join(hubs, "root").filter("node <> b").select(F.col("node").alias("a"), "b")
 
 
-def _touching(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The edges that have a node of ``nodes`` at either end."""
-    return edges.join(nodes.withColumnRenamed("node", "a"), "a", "left_semi").select("a", "b").union(edges.join(nodes.withColumnRenamed("node", "b"), "b", "left_semi").select("a", "b")).distinct()
+def _emit_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each document under all variants of each of its fingerprints."""
+    for batch in batches:
+        doc, root = batch.column("doc").to_numpy(), batch.column("root").to_numpy()
+        for table in range(len(TABLES)):
+            fps = batch.column(f"f{table}").to_numpy().view(U64)
+            for i in range(0, len(fps), 1024):
+                some = fps[i : i + 1024]
+                for k in range(3):
+                    kept, flips = block_flips(k)
+                    own = flips | (U64(table) << U64(BLOCKS[k] + 2))
+                    keys = ((some & kept)[:, None] ^ own[None, :]).reshape(-1)
+                    columns = (np.repeat(x, len(own)) for x in (some.view(np.int64), doc[i : i + 1024], root[i : i + 1024]))
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *map(pa.array, columns)], names=["key", "fp", "doc", "root"])
+
+
+def _cross(heads: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pairs of a variant's documents (a < b) within the radius and of different roots, one of them among its first ``heads``.
+
+    Documents of small roots come first.  Equal fingerprints are paired only in their
+    first variant, as they share all.  A row of nulls says that pairs are left.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        more = False
+        for key, fp, doc, root in _runs(batches):
+            start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            size = np.diff(np.append(start, len(key)))
+            mixed = np.minimum.reduceat(root, start) < np.maximum.reduceat(root, start)
+            first = (((key ^ fp).view(U64) & block_flips(0)[0]) == 0) & ((key.view(U64) & ~block_flips(0)[0]) < U64(len(TABLES) << 2))
+            mixed &= np.maximum.reduceat(first, start) | (np.minimum.reduceat(fp, start) < np.maximum.reduceat(fp, start))
+            found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+            for at, n in zip(start[mixed].tolist(), size[mixed].tolist(), strict=True):
+                _, place, count = np.unique(root[at : at + n], return_inverse=True, return_counts=True)
+                order = at + np.lexsort((doc[at : at + n], place, count[place]))
+                f, d, r, own = fp[order].view(U64), doc[order], root[order], first[order]
+                for i in range(min(heads, n)):
+                    near = (np.bitwise_count(f[i + 1 :] ^ f[i]) <= RADIUS) & (r[i + 1 :] != r[i]) & (own[i] | (f[i + 1 :] != f[i]))
+                    found.append((np.full(near.sum(), d[i]), d[i + 1 :][near]))
+                more |= n > heads and bool((r[heads:] != r[-1]).any())
+            x, y = (np.concatenate(c) for c in zip(*found, strict=True))
+            a, b = np.minimum(x, y), np.maximum(x, y)
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, bool)
+            yield pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], names=["a", "b"])
+        if more:
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _judge_open(candidates: DataFrame, linked: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``linked`` and further similar pairs, so that no similar pair within the radius lies between two components.
+
+    Each round takes the components of candidates whose texts aren't all linked, and
+    holds the heads of every variant against its texts of other components.  There are
+    twice as many heads in the next round, until none has pairs left.
+    """
+    ties, _ = write_shared(connected_components(candidates).withColumnRenamed("root", "tie"), "ties")
+    heads, unlike = RUN, None
+    while True:
+        placed, _ = write_shared(ties.join(connected_components(linked), "node", "left").select("node", "tie", F.coalesce("root", "node").alias("root")), "placed")
+        mixed = placed.groupBy("tie").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most")
+        own = nodes.join(placed.join(mixed, "tie", "left_semi"), F.col("id") == F.col("node")).select(F.col("id").alias("doc"), "root", *(f"f{k}" for k in range(len(TABLES))))
+        cells = map_batches(own, _emit_cells, "key long, fp long, doc long, root long")
+        pairs, _ = write_shared(map_batches(cells.repartition("key").sortWithinPartitions("key"), _cross(heads), "a long, b long").distinct(), "pairs")
+        new = pairs.filter("a is not null")
+        judged = _judged(new if unlike is None else new.join(unlike, ["a", "b"], "left_anti"), sets, similarity)
+        linked = linked.union(judged.filter("similar").select("a", "b"))
+        if pairs.filter("a is null").isEmpty():
+            return linked
+        old = judged.filter("not similar").select("a", "b")
+        unlike = old if unlike is None else unlike.union(old)
+        heads *= 2
 
 
 def near_duplicate_ids(docs: DataFrame, *, n: int = NEAR_SHINGLE, similarity: float = NEAR_SIMILARITY, rounds: int = NEAR_ROUNDS) -> DataFrame:
@@ -331,8 +403,8 @@ def near_duplicate_ids(docs: DataFrame, *, n: int = NEAR_SHINGLE, similarity: fl
     component of candidates all texts are held against the hub, which is mostly the text
     that the others were made from; two texts whose n-word shingles have at least
     ``similarity`` are linked.  What isn't linked forms components anew, ``rounds``
-    times; what then is still alone is held against each of its candidates.  Of every
-    component of links the smallest id stays.
+    times.  Then all candidate pairs between components of links are judged, until none
+    is open.  Of every component of links the smallest id stays.
     """
     prints, _ = write_shared(word_fingerprints(docs), "prints")
     nodes, _ = write_shared(prints.groupBy("k1", "k2").agg(F.min("doc").alias("id"), F.min("n").alias("n"), *(F.min(f"f{k}").alias(f"f{k}") for k in range(len(TABLES)))), "nodes")
@@ -358,10 +430,8 @@ def near_duplicate_ids(docs: DataFrame, *, n: int = NEAR_SHINGLE, similarity: fl
         left, _ = write_shared(left.select("a", "b"), "candidates")
         if left.isEmpty():
             break
-    ends = linked.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    alone, _ = write_shared(members.withColumnRenamed("doc", "node").join(ends, "node", "left_anti"), "alone")
-    last = _judged(_touching(edges, alone), sets, similarity).filter("similar").select("a", "b")
-    near = connected_components(linked.union(last)).filter("node <> root").select(F.col("node").alias("doc"))
+    linked = _judge_open(edges, linked, nodes, sets, similarity)
+    near = connected_components(linked).filter("node <> root").select(F.col("node").alias("doc"))
     gone = prints.join(nodes.select("k1", "k2", "id"), ["k1", "k2"]).filter("doc <> id").select("doc")
     return gone.union(near).distinct()
 

@@ -89,6 +89,20 @@ def test_near_copies_that_are_like_their_original_alone(spark):
     assert len(kept - {60, 61}) == 1
 
 
+def test_near_copies_whose_head_is_unlike_them(spark):
+    """Several hundred copies with two words exchanged; texts of the same words in other orders have smaller ids."""
+    rng = random.Random(12)
+    words = [f"w{rng.randint(0, 10**6)}" for _ in range(400)]
+    orders = [rng.sample(words, 400) for _ in range(3)]
+    rows = [(i, " ".join(rng.sample(words, 400))) for i in range(40)]
+    for i, at in enumerate(rng.sample(range(399), 300)):
+        own = list(orders[i % 3])
+        own[at], own[at + 1] = own[at + 1], own[at]
+        rows.append((100 + i, " ".join(own)))
+    kept = {r["doc_id"] for r in drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {*range(40), 100, 101, 102}
+
+
 def test_near_duplicates_without_ids(spark, empty):
     rows = spark.createDataFrame([(None, "a b"), (None, "a b"), (3, None), (4, "")], "doc_id long, text string")
     assert sorted(str(r["doc_id"]) for r in drop_near_duplicates(rows).collect()) == ["3", "None", "None"]
