@@ -4,7 +4,7 @@ Of every run of ``window`` words that also starts in a document with a smaller i
 words are removed.  All runs are judged on the input.
 
 1. Whole copies: of equal texts all but the one with the smallest id are copies; all
-   their windows repeat.  They take no further part.
+   their windows repeat.  They take no further part.  Other rows of their ids do.
 2. Every document is recompressed (see ``recompression``), and (name, doc) of its
    symbols is shuffled; names in two documents or more are shared.
 3. A window that holds a symbol which depends on its words alone, and whose name isn't
@@ -144,19 +144,20 @@ def _of_several(rows: DataFrame, *key: str) -> DataFrame:
 
 
 def _copies(docs: DataFrame) -> DataFrame:
-    """Ids of texts that are equal to that of a smaller id."""
-    keys = docs.filter("text <> ''").select("doc", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"))
+    """Ids and hashes (doc, k1, k2) of texts that are equal to that of a smaller id."""
+    keys = docs.filter("text <> ''").select("doc", "k1", "k2")
     first = _of_several(keys, "k1", "k2")
-    return keys.join(first, ["k1", "k2"]).filter("doc > least").select("doc").distinct()
+    return keys.join(first, ["k1", "k2"]).filter("doc > least").select("doc", "k1", "k2").distinct()
 
 
 def dedup_substrings(docs: DataFrame, *, window: int = WINDOW, rounds: int = ROUNDS, doc_id: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, and kept_sha256 or, ``with_text``, the kept words (``kept``)."""
     own: Column = F.col(f"`{doc_id}`")
     base = docs.select(own.alias("doc_id"), F.coalesce(own.cast("long"), F.lit(LAST_ID)).alias("doc"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
+    base = base.withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(1), "text")})
     copies, _ = write_shared(_copies(base), "copies")
-    never, maybe = maybe_in(base.select("doc", "text"), copies)
-    single = never.union(maybe.join(copies, "doc", "left_anti"))
+    never, maybe = maybe_in(base.select("doc", "text", "k1", "k2"), copies.select("doc"))
+    single = never.select("doc", "text").union(maybe.join(copies, ["doc", "k1", "k2"], "left_anti").select("doc", "text"))
     named = map_batches(single, _names(window, rounds), "name long, doc long, sure boolean")
     spread = named.filter("sure").groupBy("name").agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
     shared, shared_path = write_shared(spread.filter("least < most").select("name"), "names")
@@ -167,11 +168,11 @@ def dedup_substrings(docs: DataFrame, *, window: int = WINDOW, rounds: int = ROU
     windows, windows_path = write_shared(map_batches(near.join(touched, "doc").select("doc", "text", "names"), _candidates(window, rounds), "h1 long, h2 long, doc long"), "windows")
     drop_shared(docs.sparkSession, touched_path)
     first = _of_several(windows, "h1", "h2")
-    repeated = windows.join(first, ["h1", "h2"]).filter("doc > least").groupBy("doc").agg(F.collect_list("h1").alias("hashes")).withColumn("whole", F.lit(False))
-    removals, _ = write_shared(repeated.union(copies.select("doc", F.array().cast("array<long>"), F.lit(True))), "removals")
+    repeated, _ = write_shared(windows.join(first, ["h1", "h2"]).filter("doc > least").groupBy("doc").agg(F.collect_list("h1").alias("hashes")), "repeated")
     drop_shared(docs.sparkSession, windows_path)
-    clean, hit = maybe_in(base, removals.select("doc"))
+    clean, hit = maybe_in(base, repeated.select("doc").union(copies.select("doc")))
     clean = clean.select("doc_id", "text", F.lit(None).cast("array<long>").alias("hashes"), F.lit(False).alias("whole"))
-    hit = hit.join(removals, "doc", "left").select("doc_id", "text", "hashes", F.coalesce("whole", F.lit(False)).alias("whole"))
+    hit = hit.join(copies.withColumn("whole", F.lit(True)), ["doc", "k1", "k2"], "left").join(repeated, "doc", "left")
+    hit = hit.select("doc_id", "text", "hashes", F.coalesce("whole", F.lit(False)).alias("whole"))
     kind = dict(base.dtypes)["doc_id"]
     return map_batches(clean.union(hit), _apply(window, with_text), f"doc_id {kind}, n_words long, n_removed long, {'kept' if with_text else 'kept_sha256'} string")
