@@ -189,9 +189,9 @@ def fold(doc_id: Column) -> Column:
 def train(texts: DataFrame) -> tuple[Model | None, float, float]:
     """Model and curve from ``texts`` (text, label 0 or 1), which are read twice."""
     spark = texts.sparkSession
-    rows = map_batches(texts, _count_texts, "slot int, n0 long, n1 long").groupBy("slot").agg(F.sum("n0").cast("int").alias("n0"), F.sum("n1").cast("int").alias("n1")).toArrow()  # at most SLOTS rows
+    rows = map_batches(texts, _count_texts, "slot int, n0 long, n1 long").groupBy("slot").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()  # at most SLOTS rows
     slot = rows["slot"].to_numpy()
-    counts, totals = np.zeros((2, SLOTS), np.int32), np.zeros((2, len(PREFIXES) + 1), np.int64)
+    counts, totals = np.zeros((2, SLOTS), np.int64), np.zeros((2, len(PREFIXES) + 1), np.int64)
     for k in (0, 1):
         n = rows[f"n{k}"].to_numpy()
         counts[k][slot[slot >= 0]] = n[slot >= 0]

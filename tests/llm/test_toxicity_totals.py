@@ -1,0 +1,21 @@
+"""Totals of the language models beyond 2^31."""
+
+import numpy as np
+import pyarrow as pa
+
+from dwellspark.llm import toxicity
+
+
+def test_totals_beyond_an_int(spark, monkeypatch):
+    own = toxicity._count_texts
+
+    def many(batches):
+        for batch in own(batches):
+            more = np.where(batch.column("slot").to_numpy() < 0, 1 << 31, 0)
+            yield pa.RecordBatch.from_arrays([batch.column("slot"), *(pa.array(batch.column(k).to_numpy() + more) for k in ("n0", "n1"))], names=["slot", "n0", "n1"])
+
+    monkeypatch.setattr(toxicity, "_count_texts", many)
+    texts = spark.createDataFrame([("some words", 0), ("other words", 1)], "text string, label int")
+    model, _, _ = toxicity.train(texts)
+    assert (model.totals >= 1 << 31).all()
+    assert model.counts.dtype == np.int64
