@@ -11,7 +11,7 @@ from dwellspark.llm.decontaminate import decontaminate, find_contamination, is_c
 from dwellspark.llm.pii import find_pii, listed, luhn, mod97
 from dwellspark.llm.sharding import longest_first, shard
 from dwellspark.llm.topk import top_k
-from dwellspark.llm.toxicity import score_toxicity
+from dwellspark.llm.toxicity import class_models, score_toxicity
 
 from . import brute
 from .conftest import clashing, word
@@ -87,30 +87,78 @@ def test_toxicity(spark, empty):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got if r["doc_id"] is not None)
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in got)
     assert np.mean([r["predicted"] == truth[r["doc_id"]] for r in held]) > 0.95
-    again = {r["doc_id"]: r["score"] for r in score_toxicity(df, lab, broadcast_labels=0).collect()}
-    assert all(abs(again[r["doc_id"]] - r["score"]) < 1e-12 for r in got)
+    again = {r["doc_id"]: r["score"] for r in score_toxicity(df, lab, broadcast_labels=0, broadcast_rows=0).collect()}
+    assert all(abs(again[r["doc_id"]] - r["score"]) < 1e-5 for r in got), "joins give what the scan gives"
+    other = score_toxicity(df.withColumnsRenamed({"doc_id": "Id"}).selectExpr("Id", "text", "1 as Score", "2 as held_OUT"), lab.withColumnRenamed("doc_id", "ID"), doc_id="id")
+    assert other.columns == ["Id", "text", "held_out", "score", "predicted"] and other.count() == len(rows)
     assert score_toxicity(empty, lab).count() == 0
     none = score_toxicity(df, lab.limit(0)).select("score").distinct().collect()
     assert [r[0] for r in none] == [0.0]
 
 
-def test_top_k(spark):
+def test_class_models_are_distributions(spark):
+    """Against plain counting; all characters after a history sum to one."""
+    counts = {"ab": (3, 0), "abc": (1, 2), "b": (0, 4), "ñandú": (2, 1), "aaaa": (5, 0), "cab": (1, 1)}
+    models, weights = class_models(spark.createDataFrame([(w, *n) for w, n in counts.items()], "word string, n0 long, n1 long"), order=3)
+    seen: dict = {}
+    for w, n in counts.items():
+        marked = f"\x02{w}\x03"
+        for i in range(1, len(marked)):
+            k = (marked[max(0, i - 2) : i], marked[i])
+            seen[k] = tuple(a + b for a, b in zip(seen.get(k, (0, 0)), n))
+    left = {}
+    for h, b in seen:
+        left[h[1:], b] = left.get((h[1:], b), 0) + 1
+    single = {b: sum(sum(n) for (_, c), n in seen.items() if c == b) for b in {b for _, b in seen}}
+    total, d, shared_weight = sum(single.values()), 0.75, 5.0
+
+    def cont(h, b):
+        own = [c for (x, _), c in left.items() if x == h]
+        return (max(left.get((h, b), 0) - d, 0) + d * len(own) * (single.get(b, 0) + 1) / (total + len(single) + 1)) / sum(own)
+
+    def shared(h, b):
+        own = [sum(n) for (x, _), n in seen.items() if x == h]
+        return (max(sum(seen.get((h, b), (0, 0))) - d, 0) + d * len(own) * cont(h[1:], b)) / sum(own)
+
+    def prob(k, h, b):
+        own = [n[k] for (x, _), n in seen.items() if x == h]
+        return (max(seen.get((h, b), (0, 0))[k] - d, 0) + (shared_weight + d * sum(n > 0 for n in own)) * shared(h, b)) / (sum(own) + shared_weight)
+
+    rows = models.collect()
+    assert {(r["history"], r["char"]) for r in rows} == set(seen)
+    for r in rows:
+        assert all(abs(r[f"p{k}"] - prob(k, r["history"], r["char"])) < 1e-12 for k in (0, 1))
+    for r in weights.collect():
+        for k in (0, 1):
+            assert abs(sum(prob(k, r["history"], b) for b in [*single, "?"]) - 1) < 1e-12
+            assert abs(prob(k, r["history"], "?") - r[f"share{k}"] * shared(r["history"], "?")) < 1e-12
+
+
+@pytest.mark.parametrize(("block", "group"), [(1 << 15, 4096), (70, 3)])
+def test_top_k(spark, block, group):
     rng = np.random.default_rng(4)
-    vectors = {i: [float(x) for x in rng.normal(0, 0.4, 6)] for i in range(400)}
-    vectors |= {i: vectors[3] for i in range(400, 420)} | {420: [0.0] * 6, 421: [3e9, -3e9, 0.0, 0.0, 0.0, 0.0], 422: [0.5, 0.5], 423: []}
-    rows = [*vectors.items(), (500, None), (501, [None] * 6), (502, [float("nan")] * 6), (550, [float("inf")] * 6), (None, [0.1] * 6)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    quantised = {i: [max(-(1 << 24), min(1 << 24, int(np.floor(256 * x)))) for x in v] for i, v in vectors.items()}
+    vectors = [(i, [float(x) for x in rng.normal(0, 0.4, 6)]) for i in range(400)]
+    vectors += [(i, vectors[3][1]) for i in range(400, 420)] + [(420, [0.0] * 6), (421, [1e5, -1e5, 0.0, 0.0, 0.0, 0.0]), (422, [0.5, 0.5]), (423, []), (424, [7e4, 1e9]), (425, [1.0, 65536.0])]
+    vectors += [(3, [2.0, 0.0]), (3, [5.0, 0.0]), (50, vectors[50][1]), (100, [1e5, 1.0]), (100, [1e5, 1.0])]
+    rows = [*vectors, (500, None), (501, [None] * 6), (502, [float("nan")] * 6), (550, [float("inf")] * 6), (None, [0.1] * 6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    exact = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in vectors]
     expected = []
-    for q in (i for i in vectors if i % 50 == 0):
-        scored = sorted((-sum(a * b for a, b in zip(quantised[q], v)), i) for i, v in quantised.items() if i != q)
-        expected += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored[:5])]
-    for block, chunk in ((1 << 15, 4096), (70, 3)):
-        got = top_k(df, df.filter("vec_id % 50 = 0"), block_rows=block, query_rows=chunk).collect()
-        assert sorted(tuple(r) for r in got) == expected
-    assert top_k(df.limit(0), df.limit(0)).count() == 0
-    few = top_k(df.filter("vec_id < 3"), df.filter("vec_id = 0")).collect()
-    assert [r["rank"] for r in few] == [1, 2]
+    for n, (q, own) in enumerate(exact):
+        if q % 50 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(own, v)), i) for m, (i, v) in enumerate(exact) if m != n)
+            expected += [(q, rank + 1, i, -s) for rank, (s, i) in enumerate(scored[:5])]
+    got = top_k(df, "vec_id % 50 = 0", block_rows=block, query_rows=group).collect()
+    assert sorted(tuple(r) for r in got) == sorted(expected)
+
+
+def test_top_k_of_few_or_none_or_too_large(spark):
+    df = spark.createDataFrame([(0, [1.0, 1.0]), (1, [100000.0, 0.0]), (2, [70000.0, 0.0])], "vec_id long, embedding array<float>")
+    assert [tuple(r) for r in top_k(df, "vec_id = 0").orderBy("rank").collect()] == [(0, 1, 1, 6553600000), (0, 2, 2, 4587520000)]
+    assert top_k(df.limit(0), "true").count() == 0 and top_k(df, "vec_id = 9").count() == 0
+    large = spark.createDataFrame([(0, [1e12]), (1, [1e12])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="64 bits"):
+        top_k(large, "true").collect()
 
 
 def test_pii(spark, empty):
