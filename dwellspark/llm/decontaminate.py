@@ -12,13 +12,14 @@ of the document that hold it are compared with the items' windows by a 128-bit h
 Items shorter than a window are winnowed with their own length as gram.
 
 The items' fingerprints and windows are counted first.  Up to ``BROADCAST_WINDOWS``
-they are broadcast and documents pass in one scan; beyond, both steps are shuffle
-joins and nothing of the benchmark is gathered anywhere.
+they are broadcast (28 bytes each, and the items' ids once for each set of items that
+share windows) and documents pass in one scan; beyond, both steps are shuffle joins of
+hashes with row numbers, and texts are shuffled only for documents that share a hash.
 
 Null and empty texts have no words, are never hit and stay.  Item ids are compared
 as strings (null as "null"); repeated items count once.  Repeated documents each
-get their row.  Extra columns pass through ``decontaminate`` and never clash,
-as the work runs on positions under reserved names.
+get their row.  Extra columns pass through ``decontaminate`` and never clash, as rows
+are carried as one column.
 """
 
 from __future__ import annotations
@@ -29,9 +30,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from . import wordhash as W
-from .shared import write_shared
+from .idset import maybe_in
+from .shared import Packed, write_shared
 from .workers import map_batches
 
 SPAN = 13
@@ -129,7 +132,7 @@ def _scan(shared, text: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
         for batch in batches:
             rows = batch.num_rows
             n_words, n_hit = np.zeros(rows, np.int64), np.zeros(rows, np.int64)
-            items: list[list[str]] = [[] for _ in range(rows)]
+            items: list[set[str]] = [set() for _ in range(rows)]
             for c in W.chunks(W.text_of(batch, text), W.ALNUM_BYTES, lower=True):
                 sizes = np.diff(c.bounds)
                 n_words[c.first : c.first + len(sizes)] = sizes
@@ -137,25 +140,23 @@ def _scan(shared, text: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
                 hit = np.zeros(len(h), bool)
                 found: list[tuple[np.ndarray, np.ndarray]] = []
                 for n, at, h1, h2 in probe.windows(c, h, lambda c=c: W.word_hashes(c, 1)):
-                    w1, w2, item = windows[n]
+                    w1, w2, group = windows[n]
                     low, high = np.searchsorted(w1, h1), np.searchsorted(w1, h1, side="right")
-                    some = high > low
-                    at, low, high, h2 = at[some], low[some], high[some], h2[some]
-                    row = np.repeat(np.arange(len(at)), high - low)
+                    row = np.repeat(np.arange(len(at)), high - low)  # windows are distinct: high - low is 1, but for collisions of h1
                     entry = np.arange(len(row)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + low[row]
                     same = w2[entry] == h2[row]
                     row, entry = row[same], entry[same]
                     if len(row):
                         hit |= W.cover(at[row], n, len(h))
-                        pairs = np.unique(np.stack([W.owner(c.bounds, at[row]), item[entry]], axis=1), axis=0)
+                        pairs = np.unique(np.stack([W.owner(c.bounds, at[row]), group[entry]], axis=1), axis=0)
                         found.append((pairs[:, 0], pairs[:, 1]))
                 sums = np.concatenate([[0], np.cumsum(hit)])
                 n_hit[c.first : c.first + len(sizes)] = sums[c.bounds[1:]] - sums[c.bounds[:-1]]
-                for docs, its in found:
-                    for d, i in zip(docs, its, strict=True):
-                        items[c.first + d].append(names[i])
+                for docs, groups in found:
+                    for d, g in zip(docs, groups, strict=True):
+                        items[c.first + d].update(names[g])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), pa.array(n_words), pa.array(n_hit), pa.array(items, pa.list_(pa.string()))], names=["row", "n_words", "n_hit", "items"]
+                [batch.column("row"), pa.array(n_words), pa.array(n_hit), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], names=["row", "n_words", "n_hit", "items"]
             )
 
     return run
@@ -208,7 +209,7 @@ def _count_words(text: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
             n = np.zeros(batch.num_rows, np.int64)
             for c in W.chunks(W.text_of(batch, text), W.ALNUM_BYTES):
                 n[c.first : c.first + len(c.bounds) - 1] = np.diff(c.bounds)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("key"), pa.array(n)], names=["row", "key", "n_words"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc"), pa.array(n)], names=["row", "doc", "n_words"])
 
     return run
 
@@ -223,56 +224,66 @@ def _covered(runs: Column) -> Column:
     return F.aggregate(runs, zero, step, lambda a: a["sum"])
 
 
-def find_contamination(
+def contaminated_rows(
     docs: DataFrame, items: DataFrame, *, span: int = SPAN, gram: int = GRAM, broadcast_windows: int = BROADCAST_WINDOWS, text: str = "text", item_id: str = "item_id", item_text: str = "text"
-) -> DataFrame:
-    """``docs`` with n_words, n_hit (long) and items (array of the ids whose windows occur) under ``contamination``.
-
-    All columns of ``docs`` are kept; the three results come as one struct column
-    ``contamination`` (which replaces one of that name).
-    """
+) -> tuple[Packed, DataFrame]:
+    """``docs`` packed, and their rows with n_words, n_hit (long) and items (array of the ids whose windows occur)."""
     spark = docs.sparkSession
-    source = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("item"), F.col(item_text).cast("string").alias("text"))
+    of_items = Packed(items)
+    source = of_items.rows.select(F.coalesce(of_items.field(item_id).cast("string"), F.lit("null")).alias("item"), of_items.field(item_text).cast("string").alias("text"))
     windows, _ = write_shared(map_batches(source, _item_windows(span), WINDOWS).distinct(), "windows")
     prints, _ = write_shared(map_batches(source.select("text"), _item_fingerprints(span, gram), FINGERPRINTS).distinct(), "fingerprints")
-    kept = [c for c in docs.columns if c != "contamination"]
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"))
-    out = lambda df: df.select("row.*", F.struct("n_words", "n_hit", "items").alias("contamination"))
-    schema = packed.select("row").schema.simpleString().removeprefix("struct<").removesuffix(">").replace("row:", "row ", 1)
+    packed = Packed(docs)
+    column = f"c{packed.index(text)}"
+    fields = packed.rows.schema.fields
 
     if windows.count() <= broadcast_windows:
-        w, p = windows.toPandas(), prints.toPandas()
-        names, item = np.unique(w["item"].to_numpy(dtype=object).astype(str), return_inverse=True) if len(w) else (np.array([], str), np.array([], int))
-        u = lambda x: x.to_numpy(np.int64).view(np.uint64)
-        by_n = _by_length(w["n"].to_numpy(), u(w["h1"]), u(w["h2"]), item)
-        by_n = {n: tuple(x[np.argsort(cols[0], kind="stable")] for x in cols) for n, cols in by_n.items()}
-        fps = {n: np.sort(x[0]) for n, x in _by_length(p["n"].to_numpy(), u(p["h1"])).items()}
-        shared = spark.sparkContext.broadcast((fps, by_n, [str(x) for x in names], span, gram))
-        return out(map_batches(packed, _scan(shared, text), f"{schema}, n_words long, n_hit long, items array<string>"))
+        each = windows.groupBy("n", "h1", "h2").agg(F.array_sort(F.collect_set("item")).alias("items"))
+        sets = each.groupBy("items").agg(F.collect_list(F.struct("n", "h1", "h2")).alias("of")).toArrow()  # at most broadcast_windows windows; ids once for each set
+        names = sets["items"].to_pylist()
+        rows = [(w["n"], w["h1"], w["h2"], g) for g, of in enumerate(sets["of"].to_pylist()) for w in of]
+        w = np.array(rows, np.int64).reshape(-1, 4)
+        w = w[np.argsort(w[:, 1].view(np.uint64), kind="stable")]
+        u = lambda x: np.ascontiguousarray(x).view(np.uint64)
+        by_n = _by_length(w[:, 0], u(w[:, 1]), u(w[:, 2]), w[:, 3])
+        p = prints.toArrow()
+        fps = {n: np.sort(x[0]) for n, x in _by_length(p["n"].to_numpy(), u(p["h1"].to_numpy())).items()}
+        shared = spark.sparkContext.broadcast((fps, by_n, names, span, gram))
+        schema = StructType([*fields, StructField("n_words", LongType()), StructField("n_hit", LongType()), StructField("items", ArrayType(StringType()))])
+        return packed, map_batches(packed.rows, _scan(shared, column), schema)
 
     lengths = [r["n"] for r in prints.select("n").distinct().collect()]  # at most span values
-    body = F.col("row")[text].cast("string")
-    keyed = packed.withColumn("key", F.xxhash64(body))  # equal texts share their result
-    texts = keyed.select("key", body.alias("text"))
-    hits = map_batches(texts, _kept_grams(lengths, span, gram), "key long, n int, h1 long").join(prints, ["n", "h1"], "left_semi").distinct()
-    shared_prints = hits.groupBy("key").agg(F.collect_list(F.struct("n", "h1")).alias("shared"))
-    candidates = texts.groupBy("key").agg(F.first("text").alias("text")).join(shared_prints, "key")
+    rows, _ = write_shared(packed.rows.withColumn("doc", F.monotonically_increasing_id()), "documents")
+    texts = rows.select("doc", packed.field(text).cast("string").alias("text"))
+    hits = map_batches(texts.select(F.col("doc").alias("key"), "text"), _kept_grams(lengths, span, gram), "key long, n int, h1 long").join(prints, ["n", "h1"], "left_semi").distinct()
+    shared_prints, _ = write_shared(hits.groupBy(F.col("key").alias("doc")).agg(F.collect_list(F.struct("n", "h1")).alias("shared")), "shared")
+    candidates = maybe_in(texts, shared_prints.select("doc"))[1].join(shared_prints, "doc").select(F.col("doc").alias("key"), "text", "shared")
     found = (
-        map_batches(candidates.select("key", "text", "shared"), _candidate_windows(span, gram), "key long, n int, h1 long, h2 long, at long")
+        map_batches(candidates, _candidate_windows(span, gram), "key long, n int, h1 long, h2 long, at long")
         .join(windows, ["n", "h1", "h2"])
         .groupBy("key")
         .agg(F.array_sort(F.collect_set(F.struct("at", "n"))).alias("runs"), F.collect_set("item").alias("items"))
-        .select("key", _covered(F.col("runs")).alias("n_hit"), "items")
+        .select(F.col("key").alias("doc"), _covered(F.col("runs")).alias("n_hit"), "items")
     )
-    counted = map_batches(keyed, _count_words(text), f"{schema}, key long, n_words long")
-    return out(counted.join(found, "key", "left").withColumns({"n_hit": F.coalesce("n_hit", F.lit(0).cast("long")), "items": F.coalesce("items", F.array().cast("array<string>"))}))
+    found, _ = write_shared(found, "found")
+    counted = map_batches(rows, _count_words(column), StructType([*fields, StructField("doc", LongType()), StructField("n_words", LongType())]))
+    clean, hit = maybe_in(counted, found.select("doc"))
+    none = [F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items")]
+    joined = hit.join(found, "doc", "left").select("row", "n_words", F.coalesce("n_hit", none[0]).alias("n_hit"), F.coalesce("items", none[1]).alias("items"))
+    return packed, clean.select("row", "n_words", *none).union(joined)
+
+
+def is_contaminated(n_words: Column, n_hit: Column, min_share: int = MIN_SHARE) -> Column:
+    return (n_hit > 0) & (min_share * n_hit >= n_words)
 
 
-def is_contaminated(min_share: int = MIN_SHARE) -> Column:
-    c = F.col("contamination")
-    return (c["n_hit"] > 0) & (min_share * c["n_hit"] >= c["n_words"])
+def find_contamination(docs: DataFrame, items: DataFrame, *, min_share: int = MIN_SHARE, **options) -> DataFrame:
+    """``docs`` with ``contamination``: n_words, n_hit, items and contaminated as one struct, which replaces a column of that name."""
+    packed, rows = contaminated_rows(docs, items, **options)
+    return packed.unpack_with(rows, contamination=F.struct("n_words", "n_hit", "items", is_contaminated(F.col("n_words"), F.col("n_hit"), min_share).alias("contaminated")))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, *, min_share: int = MIN_SHARE, **options) -> DataFrame:
-    """The documents of which less than one ``min_share``-th of the words is hit, unchanged."""
-    return find_contamination(docs, items, **options).filter(~is_contaminated(min_share)).select(*(c for c in docs.columns))
+    """The documents of which less than one ``min_share``-th of the words is hit, with all their columns unchanged."""
+    packed, rows = contaminated_rows(docs, items, **options)
+    return packed.unpack(rows.filter(~is_contaminated(F.col("n_words"), F.col("n_hit"), min_share)))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .decontaminate import find_contamination, is_contaminated
+from .decontaminate import find_contamination
 from .packing import pack_documents
 from .rans import encode_corpus, read_documents
 from .simhash import simhash_components
@@ -37,7 +37,7 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
         c["n_hit"].alias("n_hit"),
         F.size(F.array_distinct(c["items"])).cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort(F.array_distinct(c["items"])), ","), 256).alias("items_sha256"),
-        is_contaminated().alias("contaminated"),
+        c["contaminated"].alias("contaminated"),
     )
 
 
@@ -182,16 +182,12 @@ ORACLES: dict[str, str] = {
         often as (
             select s.host, s.line
             from (select host, line, count(*) as n from seen group by host, line) s join totals t on s.host = t.host
-            where s.n >= 5 and s.n > 0.1 * t.total
+            where s.n >= 2 and s.n > 0.1 * t.total
         ),
         flagged as (select host, list(line) as bad from often group by host),
-        cut as (
-            select p.*, list_filter(p.lines, lambda x: trim(x) = '' or not list_contains(coalesce(f.bad, []), trim(x))) as left_over
-            from pages p left join flagged f on p.host = f.host
-        ),
         kept as (
-            select *, case when len(list_filter(left_over, lambda x: trim(x) <> '')) > 0 then left_over else lines end as after
-            from cut
+            select p.*, list_filter(p.lines, lambda x: trim(x) = '' or not list_contains(coalesce(f.bad, []), trim(x))) as after
+            from pages p left join flagged f on p.host = f.host
         )
         select doc_id, cast(coalesce(len(lines), 0) as bigint) as n_lines,
                cast(coalesce(len(lines) - len(after), 0) as bigint) as n_dropped,

@@ -7,7 +7,8 @@ The 64 bits are cut into three blocks.  If three bits at most differ, the block
 the most differing bits has at least a third of them, so in the other two blocks two
 at most differ, and each fingerprint emits for each dropped block all variants within
 one bit of what is kept: 131 variants.  They are shuffled on, runs of equal variants
-are deduplicated, and colliding pairs verified on all 64 bits.
+are deduplicated, and colliding pairs verified on all 64 bits.  Of a variant's verified
+pairs a spanning forest is kept, which joins what they join and grows with its members.
 
 A variant that more than ``RUN`` fingerprints share isn't paired.  Its fingerprints
 emit full balls (2081 variants, each with its distance).  All members within two bits
@@ -170,8 +171,32 @@ def _pairs(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return np.unique(np.stack([np.minimum(left, right), np.maximum(left, right)], axis=1), axis=0) if len(left) else np.zeros((0, 2), np.int64)
 
 
+def _forest(left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
+    """Numbers of links that join what all links join (of places 0 to n - 1), without circles."""
+    root = np.arange(n)
+    kept: list[np.ndarray] = []
+    while True:
+        a, b = root[left], root[right]
+        between = np.flatnonzero(a != b)
+        if not len(between):
+            return np.unique(np.concatenate(kept)) if kept else np.zeros(0, np.int64)
+        first = np.full(n, len(left))  # each component's first link to another
+        np.minimum.at(first, a[between], between)
+        np.minimum.at(first, b[between], between)
+        chosen = np.unique(first[first < len(left)])
+        kept.append(chosen)
+        for _ in range(64):  # the chosen links' components get their smallest root
+            low = np.minimum(root[left[chosen]], root[right[chosen]])
+            before = root.copy()
+            np.minimum.at(root, before[left[chosen]], low)
+            np.minimum.at(root, before[right[chosen]], low)
+            root = root[root]
+            if (root == before).all():
+                break
+
+
 def _collide(radius: int, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Verified pairs (a < b) of each variant's fingerprints; (fp, null) for those of a variant with more than ``most``."""
+    """A spanning forest (a < b) of the verified pairs of each variant's fingerprints; (fp, null) for those of a variant with more than ``most``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, fp in _runs(batches):
@@ -181,16 +206,19 @@ def _collide(radius: int, most: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
             run_of = np.repeat(np.arange(len(start)), size)
             left = np.repeat(start + size, size) - np.arange(len(key)) - 1  # members after this one
             small = size[run_of] <= most
-            found = [np.zeros((0, 2), np.int64)]
+            found = [np.zeros((2, 0), np.int64)]
             at = np.flatnonzero(small & (left > 0))
             step = 1
             while len(at):
-                a, b = fp[at], fp[at + step]
-                near = (np.bitwise_count((a ^ b).view(U64)) <= radius) & (a != b)
-                found.append(_pairs(a[near], b[near]))
+                near = np.bitwise_count((fp[at] ^ fp[at + step]).view(U64)) <= radius
+                found.append(np.stack([at[near], at[near] + step]))
                 step += 1
                 at = at[left[at] >= step]
-            pairs = np.unique(np.concatenate(found), axis=0)
+            links = np.concatenate(found, axis=1)
+            links = links[:, np.lexsort((links[1], links[0]))]
+            links = links[:, _forest(links[0], links[1], len(key))]
+            links = links[:, fp[links[0]] != fp[links[1]]]
+            pairs = _pairs(fp[links[0]], fp[links[1]])
             hot = np.unique(fp[~small])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate([pairs[:, 0], hot])), pa.array(np.concatenate([pairs[:, 1], hot]), mask=np.arange(len(pairs) + len(hot)) >= len(pairs))], names=["a", "b"]
@@ -219,8 +247,9 @@ def fingerprint_links(fingerprints: DataFrame, *, radius: int = RADIUS, run: int
     if radius != RADIUS:
         raise ValueError("the blocks and balls are for a radius of 3")
     parts = int(fingerprints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    emitted = map_batches(fingerprints.repartition(parts, "fp"), _emit_blocks, "key long, fp long")
-    hits, _ = write_shared(map_batches(emitted.repartition("key").sortWithinPartitions("key"), _collide(radius, run), "a long, b long").distinct(), "hits")
+    stored, _ = write_shared(fingerprints.select("fp"), "prints")
+    emitted = map_batches(stored.repartition(parts), _emit_blocks, "key long, fp long")
+    hits, _ = write_shared(map_batches(emitted.repartition("key").sortWithinPartitions("key", "fp"), _collide(radius, run), "a long, b long").distinct(), "hits")
     crowded = hits.filter("b is null").select(F.col("a").alias("fp"))
     balls = map_batches(crowded, _emit_balls, "key long, outer boolean, fp long")
     stars = map_batches(balls.repartition("key").sortWithinPartitions("key", "outer", "fp"), _stars, "a long, b long")

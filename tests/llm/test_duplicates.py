@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from dwellspark.llm import simhash
 from dwellspark.llm.components import connected_components
-from dwellspark.llm.lines import drop_boilerplate
+from dwellspark.llm.lines import drop_boilerplate, host_of, without_boilerplate
 from dwellspark.llm.simhash import drop_near_duplicates, fingerprint_links, simhash_components
 from dwellspark.llm.substrings import dedup_substrings
 
@@ -147,7 +147,6 @@ def _plain_lines(rows, ratio, least):
             continue
         lines = t.split("\n")
         left = [x for x in lines if not x.strip(" ") or (h, x.strip(" ")) not in bad]
-        left = left if any(x.strip(" ") for x in left) else lines
         out[i] = ("\n".join(left), len(lines), len(lines) - len(left))
     return out
 
@@ -165,11 +164,20 @@ def test_lines(spark, broadcast_lines):
     rows += [(200 + i, "only boilerplate\n\n", "b") for i in range(30)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_dropped"]) for r in drop_boilerplate(clashing(df), broadcast_lines=broadcast_lines).collect()}
-    assert got == _plain_lines(rows, 0.1, 5)
+    assert got == _plain_lines(rows, 0.1, 2)
     assert sum(v[2] for v in got.values()) > 10
     assert drop_boilerplate(df.limit(0)).count() == 0
 
 
+def test_hosts_of_urls(spark):
+    urls = [("https://A.Example.org:80/x", "a.example.org"), ("http://u@h.net?q", "h.net"), ("h.net/x", None), (None, None), ("ftp://[::1]:2/", "[::1]")]
+    got = spark.createDataFrame([(u,) for u, _ in urls], "u string").select(host_of(F.col("u"))).collect()
+    assert [r[0] for r in got] == [h for _, h in urls]
+    df = spark.createDataFrame([(f"http://h.net/{i}", f"menu\n{i}", i) for i in range(5)], "URL string, Text string, N_Lines long")
+    out = without_boilerplate(df, source="url", text="text", is_url=True)
+    assert out.columns == df.columns and sorted(tuple(r)[1:] for r in out.collect()) == [(str(i), i) for i in range(5)]
+
+
 def test_columns_stay(docs):
     wide = clashing(docs, keep=("n_dropped",))
     assert drop_near_duplicates(wide).columns == wide.columns

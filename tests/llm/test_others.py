@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from dwellspark.llm.decontaminate import decontaminate, find_contamination, is_contaminated
+from dwellspark.llm.decontaminate import decontaminate, find_contamination
 from dwellspark.llm.pii import find_pii, listed, luhn, mod97
 from dwellspark.llm.sharding import longest_first, shard
 from dwellspark.llm.topk import top_k
@@ -41,7 +41,8 @@ def test_decontaminated_documents_stay_as_they_are(docs, texts, items, empty, sp
     assert {r["doc_id"] for r in kept.collect()} == set(range(len(texts))) - bad and kept.columns == docs.columns
     assert decontaminate(empty, df).count() == 0
     none = spark.createDataFrame([], "item_id long, text string")
-    assert find_contamination(docs, none).filter(is_contaminated()).count() == 0
+    assert find_contamination(docs, none).filter("contamination.contaminated").count() == 0
+    assert decontaminate(clashing(docs), df).columns == clashing(docs).columns and decontaminate(clashing(docs), df).filter("contamination <> 'contamination'").count() == 0
 
 
 def test_shards(docs, texts, empty):
