@@ -7,14 +7,13 @@ result is written as Parquet to the shared folder and read again.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from dwellspark.llm.decontaminate import decontaminate
-from dwellspark.llm.lines import drop_boilerplate
+from dwellspark.llm.lines import without_boilerplate
 from dwellspark.llm.packing import pack_documents
 from dwellspark.llm.shared import write_shared
 from dwellspark.llm.simhash import drop_near_duplicates
-from dwellspark.llm.toxicity import score_toxicity
+from dwellspark.llm.toxicity import drop_toxic
 from dwellspark.session import ship_package
 
 
@@ -22,16 +21,13 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is below one half."""
     ship_package(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    return score_toxicity(docs, labels).filter("predicted = 0").select(*docs.columns)
+    return drop_toxic(docs, labels)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that many documents of their source hold; n_chars follows the text."""
     ship_package(spark)
-    cleaned = drop_boilerplate(docs, host="source")
-    if "n_chars" in docs.columns:
-        cleaned = cleaned.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return cleaned.select(*docs.columns)
+    return without_boilerplate(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
