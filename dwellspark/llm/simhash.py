@@ -437,14 +437,13 @@ def near_duplicate_ids(docs: DataFrame, *, n: int = NEAR_SHINGLE, similarity: fl
     """
     prints, _ = write_shared(word_fingerprints(docs), "prints")
     nodes, _ = write_shared(prints.groupBy("k1", "k2").agg(F.min("doc").alias("id"), F.min("n").alias("n"), *(F.min(f"f{k}").alias(f"f{k}") for k in range(len(TABLES)))), "nodes")
-    edges = None
-    for k in range(len(TABLES)):
-        own = nodes.filter("n > 0").select("id", F.col(f"f{k}").alias("fp"))
-        least = own.groupBy("fp").agg(F.min("id").alias("least"))
-        links, _ = write_shared(fingerprint_links(least.select("fp")), "links")
-        equal = own.join(least, "fp").filter("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
-        near = links.join(least.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(least.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        edges = equal.union(near) if edges is None else edges.union(equal).union(near)
+    # fingerprints of all tables together: those of different tables have nothing in common, and all pairs are judged
+    own = nodes.filter("n > 0").select("id", F.explode(F.array(*(f"f{k}" for k in range(len(TABLES))))).alias("fp"))
+    least, _ = write_shared(own.groupBy("fp").agg(F.min("id").alias("least")), "least")
+    links, _ = write_shared(fingerprint_links(least.select("fp")), "links")
+    equal = own.join(least, "fp").filter("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
+    near = links.join(least.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(least.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    edges = equal.union(near).filter("a <> b")
     edges, _ = write_shared(edges.distinct(), "candidates")
     members = edges.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
     _, maybe = maybe_in(docs, members)

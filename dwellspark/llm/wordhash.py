@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute
 
 #: Texts are taken together until they hold so many bytes; bounds a task's memory.
-CHUNK_BYTES = 1 << 19
+CHUNK_BYTES = 1 << 18
 
 U64 = np.uint64
 #: Odd multipliers of the polynomial hashes and constants of the final mixing (fixed, arbitrary).
@@ -55,6 +55,10 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return have
 
 
+def forget_powers() -> None:
+    _powers.clear()
+
+
 class Chunk(NamedTuple):
     """Rows ``first`` to ``first + len(bounds) - 1`` of a batch; ``bounds``: each text's first word, and the end."""
 

@@ -2,7 +2,7 @@
 
 A Python worker serves many stages.  What one of them has held and freed stays with
 the process, on top of what the next one needs, unless it is given back; and a batch of
-Spark's usual number of rows is large if its rows are whole texts.
+Spark's usual size is large if its rows are whole texts.
 """
 
 from __future__ import annotations
@@ -15,10 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
 from ..session import ship_package
+from . import wordhash
 
-#: Rows of an Arrow batch, unless the session sets another number than Spark's own.
-BATCH_ROWS = 2000
-SETTING, SPARKS_OWN = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+#: Rows and bytes of an Arrow batch, and Spark's own values, which are replaced; others, that a session sets, stay.
+BATCH = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": ("2000", ("10000",)),
+    "spark.sql.execution.arrow.maxBytesPerBatch": (str(3 << 20), ("67108864", "67108864b", "64m", "64MB")),
+}
 
 Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
@@ -36,11 +39,13 @@ def map_batches(df: DataFrame, run: Batches, schema: str | StructType) -> DataFr
     """``df.mapInArrow``, with small batches, and freed memory given back after each partition."""
     ship_package(df.sparkSession)
     conf = df.sparkSession.conf
-    if conf.get(SETTING) == SPARKS_OWN:
-        conf.set(SETTING, BATCH_ROWS)
+    for name, (own, sparks) in BATCH.items():
+        if conf.get(name, sparks[0]) in sparks:
+            conf.set(name, own)
 
     def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
+        wordhash.forget_powers()
         release_memory()
 
     return df.mapInArrow(tidied, schema)
