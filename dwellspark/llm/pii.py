@@ -7,10 +7,12 @@ matches cheap.  Patterns are possessive and anchored at the starts of runs, so t
 time is linear in the text and no group recursion can overflow on long texts.
 
 Validators: an IP's parts are at most 255, a card has 14 to 19 digits and passes Luhn,
-a phone number has 10 to 15 digits, an IBAN passes mod-97.  Failing matches are
-dropped.  Each span has a score: its kind's prior, raised if one of the kind's words
+a phone number has 10 to 15 digits, an IBAN passes mod-97, a social security number's
+parts are given out, a secret (key, token) mixes letters and digits.  Failing matches
+are dropped.  Each span has a score: its kind's prior, raised if one of the kind's words
 stands within ``CONTEXT`` characters before it.  Base kinds (email, ip, card, phone)
-stay whatever their score; an IBAN stays from ``KEEP`` on.
+stay whatever their score; others stay from ``KEEP`` on: an IBAN always, a social security
+number or a secret only where such words make it likely.
 
 Null texts are empty.  Spans are in code points, the end exclusive, ordered by start and
 kind.  Other columns pass through; one named ``pii`` is replaced.
@@ -34,6 +36,8 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,18}+(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
+SSN = r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])"
+SECRET = r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{24,}+"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])"
 
 
@@ -65,6 +69,18 @@ def small_parts(x: Column) -> Column:
     return F.forall(F.split(x, r"\."), part)
 
 
+def mixed(x: Column) -> Column:
+    """Whether a run looks drawn at random: letters and digits, and eight different characters at least."""
+    return x.rlike("[0-9]") & x.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(x, ""))) >= 8)
+
+
+def issued(x: Column) -> Column:
+    """Whether the parts of a social security number are among those given out."""
+    return ~x.rlike("^(000|666|9)|-00-|-0000$")
+
+
+SECRET_WORDS = r"token|secret|passw|bearer|credential|api.?key|private.?key"
+
 #: kind, pattern, characters a text must have for a match, validator, prior, words nearby, bonus
 KINDS = (
     ("email", EMAIL, "@", None, 0.9, r"mail|contact|correo|kontakt", 0.1),
@@ -72,6 +88,8 @@ KINDS = (
     ("card", CARD, None, luhn, 0.7, r"card|visa|credit|karte|tarjeta|carte", 0.3),
     ("phone", PHONE, "+", lambda m: F.length(digits(m)).between(10, 15), 0.6, r"phone|tel|call|mobile|fax", 0.3),
     ("iban", IBAN, None, mod97, 0.6, r"iban|account|konto|cuenta|compte|bank", 0.3),
+    ("ssn", SSN, "-", issued, 0.4, r"\bssn\b|social|security", 0.5),
+    ("secret", SECRET, None, mixed, 0.3, SECRET_WORDS, 0.6),
 )
 BASE = ("email", "ip", "card", "phone")
 
