@@ -102,27 +102,41 @@ def _candidates(window: int, rounds: int):
     return run
 
 
+def _held(g1: np.ndarray, g2: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+    """Places whose pair of hashes is among the pairs (h1, h2)."""
+    order = np.lexsort((h2, h1))
+    h1, h2 = h1[order], h2[order]
+    low, high = np.searchsorted(h1, g1), np.searchsorted(h1, g1, side="right")
+    out = np.zeros(len(g1), bool)
+    step = 0
+    while len(at := np.flatnonzero(low + step < high)):
+        out[at] |= h2[low[at] + step] == g2[at]
+        step += 1
+    return np.flatnonzero(out)
+
+
 def _apply(window: int, with_text: bool):
     """n_words, n_removed and the kept words of documents with their repeated windows (or all of them)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
-            hashes, whole = batch.column("hashes"), batch.column("whole").to_pylist()
+            first, second, whole = batch.column("h1"), batch.column("h2"), batch.column("whole").to_pylist()
             n_words, n_removed, kept = np.zeros(n, np.int64), np.zeros(n, np.int64), [b""] * n
             for c in W.chunks(batch.column("text"), W.NON_SPACE_BYTES):
                 sizes = np.diff(c.bounds)
                 n_words[c.first : c.first + len(sizes)] = sizes
-                h = W.word_hashes(c)
+                h, other = W.word_hashes(c), None
                 raw, starts, ends = c.data.tobytes(), c.starts.tolist(), c.ends.tolist()
                 for i, (a, b) in enumerate(zip(c.bounds[:-1], c.bounds[1:], strict=True)):
                     row = c.first + i
                     removed = np.zeros(b - a, bool)
                     if whole[row] and b - a >= window:
                         removed[:] = True
-                    elif b - a >= window and hashes[row].is_valid and len(hashes[row]):
-                        g = W.gram_hashes(h[a:b], window)
-                        at = np.flatnonzero(W.member(g, np.sort(hashes[row].values.to_numpy().view(np.uint64))))
+                    elif b - a >= window and first[row].is_valid and len(first[row]):
+                        other = W.word_hashes(c, 1) if other is None else other
+                        known = [x[row].values.to_numpy().view(np.uint64) for x in (first, second)]
+                        at = _held(W.gram_hashes(h[a:b], window), W.gram_hashes(other[a:b], window, 1), *known)
                         if len(at):
                             removed = W.cover(at, window, b - a)
                     n_removed[row] = removed.sum()
@@ -168,11 +182,11 @@ def dedup_substrings(docs: DataFrame, *, window: int = WINDOW, rounds: int = ROU
     windows, windows_path = write_shared(map_batches(near.join(touched, "doc").select("doc", "text", "names"), _candidates(window, rounds), "h1 long, h2 long, doc long"), "windows")
     drop_shared(docs.sparkSession, touched_path)
     first = _of_several(windows, "h1", "h2")
-    repeated, _ = write_shared(windows.join(first, ["h1", "h2"]).filter("doc > least").groupBy("doc").agg(F.collect_list("h1").alias("hashes")), "repeated")
+    repeated, _ = write_shared(windows.join(first, ["h1", "h2"]).filter("doc > least").groupBy("doc").agg(F.collect_list(F.struct("h1", "h2")).alias("p")).select("doc", F.col("p.h1").alias("h1"), F.col("p.h2").alias("h2")), "repeated")
     drop_shared(docs.sparkSession, windows_path)
     clean, hit = maybe_in(base, repeated.select("doc").union(copies.select("doc")))
-    clean = clean.select("doc_id", "text", F.lit(None).cast("array<long>").alias("hashes"), F.lit(False).alias("whole"))
+    clean = clean.select("doc_id", "text", F.lit(None).cast("array<long>").alias("h1"), F.lit(None).cast("array<long>").alias("h2"), F.lit(False).alias("whole"))
     hit = hit.join(copies.withColumn("whole", F.lit(True)), ["doc", "k1", "k2"], "left").join(repeated, "doc", "left")
-    hit = hit.select("doc_id", "text", "hashes", F.coalesce("whole", F.lit(False)).alias("whole"))
+    hit = hit.select("doc_id", "text", "h1", "h2", F.coalesce("whole", F.lit(False)).alias("whole"))
     kind = dict(base.dtypes)["doc_id"]
     return map_batches(clean.union(hit), _apply(window, with_text), f"doc_id {kind}, n_words long, n_removed long, {'kept' if with_text else 'kept_sha256'} string")
