@@ -14,7 +14,7 @@ from .rans import encode_corpus, read_documents
 from .simhash import simhash_components
 from .sharding import shard
 from .topk import top_k
-from .pii import base_spans, count_of, find_pii, listed
+from .pii import SECRET_WORDS, base_spans, count_of, find_pii, listed
 from .lines import drop_boilerplate
 from .toxicity import score_toxicity
 from .substrings import dedup_substrings
@@ -74,6 +74,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         count_of("phone").alias("n_phone"),
         F.sha2(listed(base_spans()), 256).alias("base_sha256"),
         listed(F.col("pii")).alias("spans"),
+        (F.size("pii") > 0).alias("has_pii"),
     )
 
 
@@ -117,8 +118,14 @@ _PII_SQL = (
               else cast(substr(reverse(digits), j, 1) as int) * 2 % 10 + cast(substr(reverse(digits), j, 1) as int) * 2 // 10 end)) % 10 = 0""",
     ),
     ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "length(digits) between 10 and 15"),
+    (
+        "secret",
+        r"[A-Za-z0-9_-]{24,}",
+        f"""regexp_matches(hit, '[0-9]') and regexp_matches(hit, '[A-Za-z]') and len(list_distinct(string_split(hit, ''))) >= 8
+              and regexp_matches(lower(substr(t, cast(greatest(start - 40, 0) + 1 as bigint), cast(least(start, 40) as bigint))), '{SECRET_WORDS}')""",
+    ),
 )
-_PII_FOUND = " union all ".join(f"select doc_id, {r} as r, '{k}' as kind, string_split_regex(t, '{p}') as gaps, regexp_extract_all(t, '{p}') as hits from docs" for r, (k, p, _) in enumerate(_PII_SQL))
+_PII_FOUND = " union all ".join(f"select doc_id, t, {r} as r, '{k}' as kind, string_split_regex(t, '{p}') as gaps, regexp_extract_all(t, '{p}') as hits from docs" for r, (k, p, _) in enumerate(_PII_SQL))
 _PII_VALID = " ".join(f"when '{k}' then {v}" for k, _, v in _PII_SQL)
 
 ORACLES: dict[str, str] = {
@@ -154,18 +161,19 @@ ORACLES: dict[str, str] = {
         with docs as (select doc_id, coalesce(text, '') as t from documents),
         found as ({_PII_FOUND}),
         one as (
-            select doc_id, r, kind, hits[i] as hit, regexp_replace(hits[i], '[^0-9]', '', 'g') as digits,
+            select doc_id, t, r, kind, hits[i] as hit, regexp_replace(hits[i], '[^0-9]', '', 'g') as digits,
                    cast(list_sum(list_transform(gaps[1 : i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1 : i - 1], lambda x: length(x))), 0) as bigint) as start
             from (select *, unnest(range(1, len(hits) + 1)) as i from found)
         ),
         good as (select * from one where case kind {_PII_VALID} end),
         summed as (
             select doc_id, count(*) filter (where kind = 'email') as e, count(*) filter (where kind = 'ip') as i, count(*) filter (where kind = 'card') as c, count(*) filter (where kind = 'phone') as p,
-                   string_agg(concat(kind, ':', start, ':', start + length(hit)), ',' order by start, r) as s
+                   string_agg(concat(kind, ':', start, ':', start + length(hit)), ',' order by start, r) as s,
+                   string_agg(concat(kind, ':', start, ':', start + length(hit)), ',' order by start, r) filter (where kind <> 'secret') as base
             from good group by 1
         )
         select docs.doc_id, coalesce(e, 0) as n_email, coalesce(i, 0) as n_ip, coalesce(c, 0) as n_card, coalesce(p, 0) as n_phone,
-               sha256(coalesce(s, '')) as base_sha256, coalesce(s, '') as spans
+               sha256(coalesce(base, '')) as base_sha256, coalesce(s, '') as spans, s is not null as has_pii
         from docs left join summed on docs.doc_id = summed.doc_id
     """,
     "op4_line_dedup": """

@@ -230,7 +230,8 @@ def write_tokens(tokens: DataFrame, path: str) -> None:
     spark.createDataFrame([(int(i), int(frequencies[i])) for i in np.flatnonzero(frequencies)], "symbol long, frequency long").coalesce(1).write.parquet(f"{path}/frequencies")
     files = max(1, min(MOST_FILES, int(table.sum()) // FILE_IDS))
     kind = dict(tokens.dtypes)["doc_id"]
-    ordered = tokens.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "n", "ids")
+    # by length and content too, so that very many rows of one id, or of none, don't fall to one file
+    ordered = tokens.withColumn("content", F.xxhash64("ids")).repartitionByRange(files, "doc_id", "n", "content").sortWithinPartitions("doc_id", "n", "content")
     map_batches(ordered.select("doc_id", "width", "ids"), _encode_blocks(spark.sparkContext.broadcast(frequencies)), BLOCKS.format(kind=kind)).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
 
 
