@@ -56,9 +56,11 @@ def decide(found: int, prefiltered: int | None, attempts: int, wanted: int = 10,
     return "relax" if attempts < most_attempts else ("done" if found else "ask")
 
 
-def compare_rows(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """A few listings side by side: one row a field, one column a listing."""
-    ids = [r[0] for r in df.select(key).orderBy(key).limit(20).collect()]
+def compare_rows(df: DataFrame, key: str, fields: list[str], *, most: int = 100) -> DataFrame:
+    """Listings side by side: one row a field, one column a listing.  More than ``most`` listings are an error."""
+    ids = sorted(r[0] for r in df.select(key).distinct().limit(most + 1).collect())
+    if len(ids) > most:
+        raise ValueError(f"more than {most} listings to compare")
     long = df.select(key, *(F.col(f).cast("string").alias(f) for f in fields)).unpivot(key, fields, "field", "value")
     return long.groupBy("field").pivot(key, ids).agg(F.first("value"))
 

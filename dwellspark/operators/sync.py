@@ -36,5 +36,6 @@ def update_payload(df: DataFrame, updates: DataFrame, key: str, always: dict[str
 
 def discovery(found: DataFrame, key: str, order: str, url: str, query: str) -> DataFrame:
     """key, first url, and the distinct queries in order of discovery."""
-    queries = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(query).alias("q")))), lambda x: x["q"])
-    return found.groupBy(key).agg(F.min_by(url, order).alias("url"), F.array_distinct(queries).alias("discovery_paths"))
+    firsts = found.groupBy(key, query).agg(F.min(order).alias("_o"), F.min_by(url, order).alias("_url"))  # repeats go before anything is listed
+    queries = F.transform(F.array_sort(F.collect_list(F.struct(F.col("_o").alias("o"), F.col(query).alias("q")))), lambda x: x["q"])
+    return firsts.groupBy(key).agg(F.min_by("_url", "_o").alias("url"), queries.alias("discovery_paths"))

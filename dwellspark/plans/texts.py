@@ -36,7 +36,7 @@ def synthetic_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.term_counts(_table(spark, sf_dir, "documents").filter("lang = 'en'"), TERMS, key="doc_id", body="text")
+    return retrieval.term_counts(_table(spark, sf_dir, "documents"), TERMS, key="doc_id", body="text")
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,14 +113,23 @@ REQUESTS = (
 def parse_constraints_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A log of requests (one of a few by event) parsed in one pass."""
     said = F.get(F.array(*map(F.lit, REQUESTS)), (F.col("event_id") % len(REQUESTS)).cast("int"))
-    out = _table(spark, sf_dir, "events").select("event_id", said.alias("said")).withColumns(requests.parsed(F.col("said")))
+    log = _table(spark, sf_dir, "events").select("event_id", said.alias("said"))
+    out = log.join(requests.parse_texts(log.select("said").distinct(), "said"), "said")
     return out.select("event_id", "bedrooms", "bathrooms", F.round("max_rent_pcm", 4).alias("rent"), "min_tenancy_months", "available_from", "furnish_type", "property_type", "let_type", F.size("bool_preferences").alias("n_bools"), "mode", F.array_join("clears", ",").alias("clears"))
 
 
+def layout_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The layouts that each request asks for, a row each."""
+    said = F.get(F.array(*map(F.lit, REQUESTS)), (F.col("event_id") % len(REQUESTS)).cast("int"))
+    log = _table(spark, sf_dir, "events").select("event_id", said.alias("said"))
+    layouts = requests.parse_texts(log.select("said").distinct(), "said").select("said", F.posexplode("layouts").alias("place", "l"))
+    return log.join(layouts, "said").select("event_id", "place", "l.bedrooms", "l.bathrooms", "l.layout_tag", F.round("l.max_rent_pcm", 4).alias("rent"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        bool_signals, red_flags, synthetic_phrases, text_terms, chunks, bm25_topk, bm25_by_listing, jsonish_items, event_props, slug_tokens, normalised_types, page_titles, page_listings, fuzzy_alias, parse_constraints_batch,
+        bool_signals, red_flags, synthetic_phrases, text_terms, chunks, bm25_topk, bm25_by_listing, jsonish_items, event_props, slug_tokens, normalised_types, page_titles, page_listings, fuzzy_alias, parse_constraints_batch, layout_parse,
     )
 }
 
@@ -158,7 +167,7 @@ s as (select {cols}, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf +
 ORACLES = {
     "bool_signals": _SIGNALS + " select k, " + ", ".join(f"{_signal(n)} as {n}" for n in X.BOOL_SIGNALS) + " from x",
     "red_flags": WITH_LISTING + ", " + _FLAG_SQL,
-    "text_terms": "select doc_id, cast(" + " + ".join(f"case when contains(lower(coalesce(text, '')), '{t}') then 1 else 0 end" for t in TERMS) + " as int) as hits from documents where lang = 'en'",
+    "text_terms": "select doc_id, cast(" + " + ".join(f"case when contains(lower(coalesce(text, '')), '{t}') then 1 else 0 end" for t in TERMS) + " as int) as hits from documents",
     "bm25_topk": "with " + _BM25.format(key="doc_id", table="documents", by="", group="", cols="doc_id", tot="cross join tot") + " select doc_id, round(score, 6) as score from s order by score desc, doc_id limit 20",
     "bm25_by_listing": "with " + _BM25.format(key="conv_id, turn", table="conversations", by="conv_id,", group="group by conv_id", cols="conv_id, turn", tot="join tot using (conv_id)") + " select conv_id, turn, round(score, 6) as score from s",
     "jsonish_items": WITH_LISTING

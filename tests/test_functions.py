@@ -33,9 +33,20 @@ def values(spark, f, inputs, kind="string"):
         (dates.day_first, {"2024-03-01": dt.date(2024, 3, 1), "03/04/2026": dt.date(2026, 4, 3), "03/14/2026": dt.date(2026, 3, 14), "1-2-24": dt.date(2024, 2, 1), "31/02/2024": None, "soon": None}),
         (lambda c: dates.age_days(c, "2024-01-15"), {"Added today": 0, "yesterday": 1, "Added on 05/01/2024": 10, "2024-02-01": 0, "?": None, None: None}),
         (signals.coerce_bool, {"Yes": True, "0": False, "maybe": None, None: None}),
-        (requests.max_rent_pcm, {"under 2,600": 2600.0, "£300 pw": 1300.0, "2 bed": None, "1900 pcm": 1900.0}),
+        (requests.max_rent_pcm, {"within 5 miles": None, "max 2 bed": None, "within 15 minutes": None, "max 2 bed under 2,600": 2600.0, "under £1,500 for 12 months": 1500.0, "under 2,600": 2600.0, "£300 pw": 1300.0, "2 bed": None, "1900 pcm": 1900.0}),
         (requests.bedrooms, {"2 bed": 2, "1b1b": 1, "studio": 0, "flat": None}),
         (lambda c: requests.parsed(c)["min_tenancy_months"], {"for 6 months": 6.0, "a year": 12.0, "two years": 24.0, "": None}),
+        (
+            lambda c: F.transform(requests.layout_options(c), lambda x: F.concat_ws("|", x["bedrooms"], x["bathrooms"], x["layout_tag"], x["max_rent_pcm"])),
+            {
+                "2 bed under 2600 and 3 bed under 3,400": ["2|2600.0", "3|3400.0"],
+                "1b1b/2b1b": ["1|1.0", "2|1.0"],
+                "studio or 1 bed under 1500": ["studio|1500.0", "1|1500.0"],
+                "2 bed / 1 bath, 2 bed 1 bath": ["2|1.0"],
+                "a flat with a garden": [],
+                "": [],
+            },
+        ),
         (lambda c: requests.parsed(c)["mode"], {"start over": "replace_all", "also parking": "append", "flat": "replace"}),
         (lambda c: requests.parsed(c)["clears"], {"any budget and remove the location": ["budget", "location"], "x": []}),
         (lambda c: requests.parsed(c)["bool_preferences"], {"with a dog, non-smoking": {"pets_allowed": True, "smokers_allowed": False}, "": {}}),
