@@ -31,7 +31,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import wordhash as W
@@ -267,11 +267,12 @@ def simhash_components(docs: DataFrame, *, n: int = SHINGLE, seed: int = SEED, r
     return own.join(named.join(names, "root").select("fp", "component_id"), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Near-duplicate groups: words of a shingle, least Jaccard similarity, fingerprints a text, rounds of representatives.
+#: Near-duplicate groups: words of a shingle, least Jaccard similarity, fingerprints a text, rounds of representatives, first heads of a shingle.
 NEAR_SHINGLE = 5
 NEAR_SIMILARITY = 0.8
 TABLES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7, 0xAAAAAAAAAAAAAAAB)
 NEAR_ROUNDS = 3
+HEADS = 256
 
 
 def word_fingerprints(docs: DataFrame) -> DataFrame:
@@ -347,73 +348,105 @@ def _hub_pairs(edges: DataFrame) -> DataFrame:
     return roots.join(hubs, "root").filter("node <> b").select(F.col("node").alias("a"), "b")
 
 
-def _emit_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each document under all variants of each of its fingerprints."""
+def _explode_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc, its number of shingles, and each of them."""
     for batch in batches:
-        doc, root = batch.column("doc").to_numpy(), batch.column("root").to_numpy()
-        for table in range(len(TABLES)):
-            fps = batch.column(f"f{table}").to_numpy().view(U64)
-            for i in range(0, len(fps), 1024):
-                some = fps[i : i + 1024]
-                for k in range(3):
-                    kept, flips = block_flips(k)
-                    own = flips | (U64(table) << U64(BLOCKS[k] + 2))
-                    keys = ((some & kept)[:, None] ^ own[None, :]).reshape(-1)
-                    columns = (np.repeat(x, len(own)) for x in (some.view(np.int64), doc[i : i + 1024], root[i : i + 1024]))
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *map(pa.array, columns)], names=["key", "fp", "doc", "root"])
-
-
-def _cross(heads: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Pairs of a variant's documents (a < b) within the radius and of different roots, one of them among its first ``heads``.
-
-    Documents of small roots come first.  Equal fingerprints are paired only in their
-    first variant, as they share all.  A row of nulls says that pairs are left.
+        for doc, packed in zip(batch.column("doc").to_pylist(), batch.column("shingles"), strict=True):
+            own = np.frombuffer(packed.as_buffer(), np.int64)
+            for i in range(0, len(own), 1 << 16):
+                some = own[i : i + (1 << 16)]
+                same = (pa.array(np.full(len(some), x, np.int64)) for x in (doc, len(own)))
+                yield pa.RecordBatch.from_arrays([*same, pa.array(some)], names=["doc", "size", "key"])
+
+
+def _rare_shingles(sets: DataFrame, similarity: float) -> DataFrame:
+    """doc, size, key, rank: of each text the rare shingles, of which two similar texts share one.
+
+    If two texts are similar, they share at least ``similarity`` of the shingles of
+    either.  Of what they share, take the rarest (of equally rare ones the smallest):
+    in each text it has so many others behind it, counted from the most frequent one.
+    So only shingles of such a rank are kept, and none that a single text holds.
+    """
+    every = map_batches(sets, _explode_shingles, "doc long, size long, key long")
+    often = every.groupBy("key").agg(F.count("*").alias("often")).filter("often > 1")
+    ranked = every.join(often, "key").withColumn("rank", F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("often"), F.desc("key"))))
+    return ranked.filter(F.col("rank") >= F.ceil(F.col("size") * similarity - 1e-9)).select("doc", "size", "key", F.col("rank").cast("long").alias("rank"))
+
+
+def _cross(heads: int, similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pairs (a < b) of a shingle's texts of different roots that may be similar, one of them among its first ``heads``.
+
+    Two texts are similar if they share ``similarity`` / (1 + ``similarity``) of the sum
+    of their numbers of shingles, so for some shingle both have so high a rank.  Texts of
+    small roots come first.  A row of nulls says that pairs are left.
     """
+    share = similarity / (1 + similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def packed() -> pa.RecordBatch:
+            pairs = _pairs(*(np.concatenate(c) for c in zip(*found, strict=True)))
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
         more = False
-        for key, fp, doc, root in _runs(batches):
+        for key, doc, root, length, rank in _runs(batches):
+
+            def like(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+                return (root[x] != root[y]) & (np.minimum(rank[x], rank[y]) >= share * (length[x] + length[y]) - 1e-9)  # noqa: B023
+
             start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             size = np.diff(np.append(start, len(key)))
             mixed = np.minimum.reduceat(root, start) < np.maximum.reduceat(root, start)
-            first = (((key ^ fp).view(U64) & block_flips(0)[0]) == 0) & ((key.view(U64) & ~block_flips(0)[0]) < U64(len(TABLES) << 2))
-            mixed &= np.maximum.reduceat(first, start) | (np.minimum.reduceat(fp, start) < np.maximum.reduceat(fp, start))
-            found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-            for at, n in zip(start[mixed].tolist(), size[mixed].tolist(), strict=True):
-                _, place, count = np.unique(root[at : at + n], return_inverse=True, return_counts=True)
-                order = at + np.lexsort((doc[at : at + n], place, count[place]))
-                f, d, r, own = fp[order].view(U64), doc[order], root[order], first[order]
-                for i in range(min(heads, n)):
-                    near = (np.bitwise_count(f[i + 1 :] ^ f[i]) <= RADIUS) & (r[i + 1 :] != r[i]) & (own[i] | (f[i + 1 :] != f[i]))
-                    found.append((np.full(near.sum(), d[i]), d[i + 1 :][near]))
-                more |= n > heads and bool((r[heads:] != r[-1]).any())
-            x, y = (np.concatenate(c) for c in zip(*found, strict=True))
-            a, b = np.minimum(x, y), np.maximum(x, y)
-            order = np.lexsort((b, a))
-            a, b = a[order], b[order]
-            new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, bool)
-            yield pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], names=["a", "b"])
+            left = np.repeat(start + size, size) - np.arange(len(key)) - 1  # members after this one
+            at = np.flatnonzero(np.repeat(mixed & (size <= heads), size) & (left > 0))
+            found, step = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 1
+            while len(at):
+                both = like(at, at + step)
+                found.append((doc[at[both]], doc[at[both] + step]))
+                step += 1
+                at = at[left[at] >= step]
+            yield packed()
+            crowded = mixed & (size > heads)
+            for first, n in zip(start[crowded].tolist(), size[crowded].tolist(), strict=True):
+                own = slice(first, first + n)
+                _, place, count = np.unique(root[own], return_inverse=True, return_counts=True)
+                order = first + np.lexsort((doc[own], place, count[place]))
+                more |= bool((root[order[heads:]] != root[order[-1]]).any())
+                found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+                for i in range(heads):
+                    after = order[i + 1 :]
+                    after = after[like(order[i], after)]
+                    found.append((np.full(len(after), doc[order[i]]), doc[after]))
+                    if sum(len(x) for x, _ in found) > 1 << 18:
+                        yield packed()
+                        found = found[:1]
+                yield packed()
         if more:
             yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64())], names=["a", "b"])
 
     return run
 
 
-def _judge_open(candidates: DataFrame, linked: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """``linked`` and further similar pairs, so that no similar pair within the radius lies between two components.
+def _judge_open(candidates: DataFrame, linked: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``linked`` and further similar pairs, so that no similar pair of candidates lies between two components.
 
-    Each round takes the components of candidates whose texts aren't all linked, and
-    holds the heads of every variant against its texts of other components.  There are
-    twice as many heads in the next round, until none has pairs left.
+    Texts of candidates' components that aren't all linked meet under their rare
+    shingles: texts of the same frequent words have like fingerprints, but share no
+    such shingle.  Each round holds the heads of every shingle against its texts of
+    other components.  There are four times as many heads in the next round, until none
+    has pairs left.
     """
-    ties, _ = write_shared(connected_components(candidates).withColumnRenamed("root", "tie"), "ties")
-    heads, unlike = RUN, None
+    ties = connected_components(candidates).withColumnRenamed("root", "tie")
+    placed, _ = write_shared(ties.join(connected_components(linked), "node", "left").select("node", "tie", F.coalesce("root", "node").alias("root")), "placed")
+    mixed = placed.groupBy("tie").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most")
+    open_ = placed.join(mixed, "tie", "left_semi").select(F.col("node").alias("doc"))
+    rare, _ = write_shared(_rare_shingles(sets.join(open_, "doc", "left_semi"), similarity), "rare")
+    heads, unlike = HEADS, None
     while True:
-        placed, _ = write_shared(ties.join(connected_components(linked), "node", "left").select("node", "tie", F.coalesce("root", "node").alias("root")), "placed")
-        mixed = placed.groupBy("tie").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most")
-        own = nodes.join(placed.join(mixed, "tie", "left_semi"), F.col("id") == F.col("node")).select(F.col("id").alias("doc"), "root", *(f"f{k}" for k in range(len(TABLES))))
-        cells = map_batches(own, _emit_cells, "key long, fp long, doc long, root long")
-        pairs, _ = write_shared(map_batches(cells.repartition("key").sortWithinPartitions("key"), _cross(heads), "a long, b long").distinct(), "pairs")
+        roots = connected_components(linked).select(F.col("node").alias("doc"), "root")
+        own = rare.join(roots, "doc", "left").select("key", "doc", F.coalesce("root", "doc").alias("root"), "size", "rank")
+        between = own.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most")
+        cells = own.join(between, "key", "left_semi").repartition("key").sortWithinPartitions("key")
+        pairs, _ = write_shared(map_batches(cells, _cross(heads, similarity), "a long, b long").distinct(), "pairs")
         new = pairs.filter("a is not null")
         judged = _judged(new if unlike is None else new.join(unlike, ["a", "b"], "left_anti"), sets, similarity)
         linked = linked.union(judged.filter("similar").select("a", "b"))
@@ -421,7 +454,7 @@ def _judge_open(candidates: DataFrame, linked: DataFrame, nodes: DataFrame, sets
             return linked
         old = judged.filter("not similar").select("a", "b")
         unlike = old if unlike is None else unlike.union(old)
-        heads *= 2
+        heads *= 4
 
 
 def near_duplicate_ids(docs: DataFrame, *, n: int = NEAR_SHINGLE, similarity: float = NEAR_SIMILARITY, rounds: int = NEAR_ROUNDS) -> DataFrame:
@@ -432,8 +465,9 @@ def near_duplicate_ids(docs: DataFrame, *, n: int = NEAR_SHINGLE, similarity: fl
     component of candidates all texts are held against the hub, which is mostly the text
     that the others were made from; two texts whose n-word shingles have at least
     ``similarity`` are linked.  What isn't linked forms components anew, ``rounds``
-    times.  Then all candidate pairs between components of links are judged, until none
-    is open.  Of every component of links the smallest id stays.
+    times.  Then all texts of candidates' components that aren't wholly linked are joined
+    on their rare shingles, and pairs between components of links judged, until none is
+    open.  Of every component of links the smallest id stays.
     """
     prints, _ = write_shared(word_fingerprints(docs), "prints")
     nodes, _ = write_shared(prints.groupBy("k1", "k2").agg(F.min("doc").alias("id"), F.min("n").alias("n"), *(F.min(f"f{k}").alias(f"f{k}") for k in range(len(TABLES)))), "nodes")
@@ -458,7 +492,7 @@ def near_duplicate_ids(docs: DataFrame, *, n: int = NEAR_SHINGLE, similarity: fl
         left, _ = write_shared(left.select("a", "b"), "candidates")
         if left.isEmpty():
             break
-    linked = _judge_open(edges, linked, nodes, sets, similarity)
+    linked = _judge_open(edges, linked, sets, similarity)
     near = connected_components(linked).filter("node <> root").select(F.col("node").alias("doc"))
     gone = prints.join(nodes.select("k1", "k2", "id"), ["k1", "k2"]).filter("doc <> id").select("doc")
     return gone.union(near).distinct()

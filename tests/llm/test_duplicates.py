@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from dwellspark.llm import simhash
+from dwellspark.llm import simhash, workers
 from dwellspark.llm.components import connected_components
 from dwellspark.llm.lines import drop_boilerplate, host_of, without_boilerplate
 from dwellspark.llm.simhash import drop_near_duplicates, fingerprint_links, simhash_components
@@ -185,3 +185,35 @@ def test_columns_stay(docs):
     assert [c for c in kept.columns if c not in ("n_lines", "n_dropped")] == [c for c in wide.columns if c != "n_lines"]
     assert kept.filter(F.col("lines").isNotNull() & (F.col("lines") != "lines")).count() == 0
     assert simhash.RADIUS == 3
+
+
+@pytest.mark.parametrize("heads", [40, 256])
+def test_open_pairs_are_all_judged(spark, monkeypatch, heads):
+    """Texts edited from one, more or less like each other than the threshold: links join what brute force joins."""
+    monkeypatch.setattr(simhash, "HEADS", heads)
+    pick = random.Random(5)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for i in range(120):
+        words = list(base)
+        for at in pick.sample(range(60), pick.choice([1, 1, 2, 2, 3])):
+            words[at] = f"x{at}" if pick.random() < 0.5 else f"x{i}_{at}"
+        texts.append(" ".join(words))
+    texts += ["the of and the of", "the of", "of"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc long, text string")
+    sets = workers.map_batches(docs, simhash._shingle_sets(5), "doc long, shingles binary")
+    ties = spark.createDataFrame([(0, i) for i in range(1, len(texts))], "a long, b long")
+    links = simhash._judge_open(ties, ties.limit(0), sets, 0.8).collect()
+    own = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in map(str.split, texts)]
+    similar = {(i, j) for j in range(len(texts)) for i in range(j) if len(own[i] & own[j]) >= 0.8 * len(own[i] | own[j])}
+    assert {(x.a, x.b) for x in links} <= similar
+
+    def components(pairs):
+        root = list(range(len(texts)))
+        for _ in texts:
+            for i, j in pairs:
+                root[i] = root[j] = min(root[i], root[j])
+        return root
+
+    assert components(similar) == components({(x.a, x.b) for x in links})
+    assert len(set(components(similar))) > 3
