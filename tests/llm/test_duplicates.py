@@ -197,7 +197,7 @@ def test_open_pairs_are_all_judged(spark, monkeypatch, heads):
     for i in range(120):
         words = list(base)
         for at in pick.sample(range(60), pick.choice([1, 1, 2, 2, 3])):
-            words[at] = f"x{at}" if pick.random() < 0.5 else f"x{i}_{at}"
+            words[at] = f"x{at}" if pick.random() < 0.5 else f"x{i}q{at}"
         texts.append(" ".join(words))
     texts += ["the of and the of", "the of", "of"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc long, text string")
