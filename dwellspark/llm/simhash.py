@@ -430,8 +430,8 @@ def _judge_open(candidates: DataFrame, linked: DataFrame, sets: DataFrame, simil
     """``linked`` and further similar pairs, so that no similar pair of candidates lies between two components.
 
     Texts of candidates' components that aren't all linked meet under their rare
-    shingles: texts of the same frequent words have like fingerprints, but share no
-    such shingle.  Each round holds the heads of every shingle against its texts of
+    shingles: copies edited from one text have near fingerprints, but most of them share
+    no shingle of the ranks that similar texts need.  Each round holds the heads of every shingle against its texts of
     other components.  There are four times as many heads in the next round, until none
     has pairs left.
     """
