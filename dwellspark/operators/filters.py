@@ -104,6 +104,23 @@ def in_circle(df: DataFrame, lat: float, lng: float, radius_km: float, *, keep_u
     return df.filter(near | (here[0].isNull() | here[1].isNull())) if keep_unplaced else df.filter(near)
 
 
+def or_around(found: DataFrame, every: DataFrame, lat: float, lng: float, score: Column, n: int, key: str, *, radius_km: float = 3.0) -> DataFrame:
+    """``found``; where it has no rows, of the n best of ``every`` (unfiltered) those around a place.
+
+    This is what a search by the place's name falls back to when no listing has its token.
+    ``found`` is asked for a single row; rows without coordinates are not around anything.
+    """
+    if not found.isEmpty():
+        return found
+    return in_circle(recall(every, score, n, key), lat, lng, radius_km, keep_unplaced=False).select(*found.columns)
+
+
+def in_districts(df: DataFrame, districts: list[str], *, district: str = "postcode_district") -> DataFrame:
+    """Listings of some districts, whatever their case; all listings where none is named."""
+    wanted = [d.strip().upper() for d in districts if d.strip()]
+    return df.filter(F.upper(F.trim(district)).isin(wanted)) if wanted else df
+
+
 def recall(df: DataFrame, score: Column, n: int, key: str) -> DataFrame:
     """The n best rows by a score, before any filter (a later filter never moves below this limit)."""
     return df.withColumn("recall_score", score).orderBy(F.desc("recall_score"), key).limit(n)

@@ -105,6 +105,33 @@ def nearest_region(listings: DataFrame, regions: list[tuple[str, float, float]],
     return listings.withColumn("_near", best).withColumns({"region": F.when(F.col("_near.km") <= limit_km, F.col("_near.region")), "km": F.when(F.col("_near.km") <= limit_km, F.col("_near.km"))}).drop("_near")
 
 
+def regions_within(listings: DataFrame, regions: list[tuple[str, float, float]], radius_km: float, primary_km: float = 2.0) -> DataFrame:
+    """The names of all regions within ``radius_km``, nearest first (``near_regions``), and the nearest if within ``primary_km`` (``primary_region``).
+
+    Regions are literals of the plan.  Rows without coordinates have an empty list.
+    """
+    from ..functions.geo import haversine_km
+
+    all_ = F.array(*(F.struct(haversine_km(F.col("latitude"), F.col("longitude"), F.lit(la), F.lit(lo)).alias("km"), F.lit(n).alias("region")) for n, la, lo in regions))
+    near = F.col("_near")
+    first = F.get(near, F.lit(0))
+    placed = listings.withColumn("_near", F.array_sort(F.filter(all_, lambda x: x["km"] <= max(radius_km, primary_km))))
+    names = F.transform(F.filter(near, lambda x: x["km"] <= radius_km), lambda x: x["region"])
+    return placed.withColumns({"near_regions": names, "primary_region": F.when(first["km"] <= primary_km, first["region"])}).drop("_near")
+
+
+def with_commute(listings: DataFrame, times: DataFrame, *, digits: int = 3) -> DataFrame:
+    """All listings, with ``commute_minutes`` of the quickest journey from their rounded coordinates, else null.
+
+    ``times`` (latitude, longitude, minutes) may hold several journeys of one place; it is
+    reduced to one row a place before the join, so no listing is repeated.
+    """
+    at = [F.round(c, digits).alias(f"_{c}") for c in ("latitude", "longitude")]
+    quickest = times.select(*at, "minutes").groupBy("_latitude", "_longitude").agg(F.min("minutes").alias("commute_minutes"))
+    return listings.withColumns({"_latitude": F.round("latitude", digits), "_longitude": F.round("longitude", digits)}).join(quickest, ["_latitude", "_longitude"], "left").drop("_latitude", "_longitude")
+
+
+
 def location_tokens(postcode: Column, district: Column, regions: Column, stations: Column) -> dict[str, Column]:
     """Token arrays of the four families; ``stations`` is an array of names."""
     clean = lambda a: F.array_distinct(F.filter(a, lambda x: x.isNotNull() & (x != "")))

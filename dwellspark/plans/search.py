@@ -97,6 +97,30 @@ def location_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("k", F.array_join("tokens", "|").alias("tokens"))
 
 
+def geo_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No listing has the token; those near the place among the 500 dearest are taken."""
+    df = listings(spark, sf_dir)
+    tokens = matching.location_tokens(F.col("postcode"), F.col("postcode_district"), F.array(), F.array())
+    found = filters.location_filter(df.withColumns(tokens), [], [], [], ["vauxhall"])
+    return filters.or_around(found.select("k", "latitude", "longitude"), df, 51.505, -0.115, F.coalesce("price_pcm", F.lit(0.0)), 500, "k").select("k")
+
+
+def district_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.in_districts(listings(spark, sf_dir), ["se1", "N1 "]).select("k", "postcode_district")
+
+
+def regions_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = matching.regions_within(listings(spark, sf_dir), [(n, la, lo) for _, n, la, lo, _ in REGIONS], 5.0)
+    return near.filter(F.size("near_regions") > 0).select("k", F.array_join("near_regions", "|").alias("regions"), "primary_region")
+
+
+def commute_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Journeys are known from the places of one portal's listings only; four digits, as the view has, so that no rounding is a tie."""
+    df = listings(spark, sf_dir)
+    times = df.filter("portal = 0").select("latitude", "longitude", (F.lit(10) + F.col("k") % 53).cast("int").alias("minutes"))
+    return matching.with_commute(df, times, digits=4).select("k", "commute_minutes")
+
+
 _FURNISH = """case when furnish_type is null then '' when lower(furnish_type) like '%furnished or unfurnished%' then 'flexible'
   when lower(furnish_type) = 'ask agent' then 'ask agent' when lower(furnish_type) like '%unfurn%' then 'unfurnished'
   when lower(furnish_type) like 'part%' then 'part-furnished' else 'furnished' end"""
@@ -158,6 +182,10 @@ QUERIES = {
         region_tokens,
         nearest_region,
         location_prefilter,
+        geo_fallback,
+        district_filter,
+        regions_within,
+        commute_join,
     )
 }
 _BOX = "latitude between 51.505 - 6.0 / 111.32 and 51.505 + 6.0 / 111.32 and longitude between -0.115 - 6.0 / (111.32 * cos(radians(51.505))) and -0.115 + 6.0 / (111.32 * cos(radians(51.505)))"
@@ -192,4 +220,16 @@ select listing_id, string_agg(name, '|' order by ord) as regions from listing jo
     + f""", r as (select * from (values {_REGION_ROWS}) as v(ord, name, lat, lng, pcs)),
 d as (select k, name, {km('lat', 'lng')} as km from listing cross join r)
 select k, min_by(name, km) as region, round(min(km), 6) as km from d group by k having min(km) <= 4.0""",
+    "geo_fallback": WITH_LISTING
+    + f""", best as (select * from listing order by coalesce(price_pcm, 0) desc, k limit 500)
+select k from best where {km('51.505', '-0.115')} <= 3.0""",
+    "district_filter": WITH_LISTING + " select k, postcode_district from listing where postcode_district in ('SE1', 'N1')",
+    "regions_within": WITH_LISTING
+    + f""", r as (select * from (values {_REGION_ROWS}) as v(ord, name, lat, lng, pcs)),
+d as (select k, name, {km('lat', 'lng')} as km from listing cross join r)
+select k, string_agg(name, '|' order by km, name) filter (where km <= 5.0) as regions, case when min(km) <= 2.0 then min_by(name, km) end as primary_region
+from d group by k having min(km) <= 5.0""",
+    "commute_join": WITH_LISTING
+    + """, t as (select round(latitude, 4) as la, round(longitude, 4) as lo, min(cast(10 + k % 53 as int)) as commute_minutes from listing where portal = 0 group by 1, 2)
+select k, commute_minutes from listing left join t on round(latitude, 4) = la and round(longitude, 4) = lo""",
 }

@@ -135,3 +135,31 @@ def test_a_batch_that_runs_again_gives_the_same_version(spark, tmp_path):
     for _ in range(2):
         sink(two, 1)
         assert sorted(map(tuple, spark.read.parquet(f"file://{tmp_path}/t/v=1").collect())) == [(1, 6, "d"), (3, 1, "e")]
+
+
+def test_fallback_to_a_place(spark):
+    every = spark.createDataFrame([(1, 51.5, -0.1, 3.0), (2, 51.51, -0.1, 2.0), (3, 52.5, -0.1, 9.0), (4, None, None, 8.0), (5, 51.5, -0.1, 1.0)], "k long, latitude double, longitude double, score double")
+    around = lambda found: sorted(r["k"] for r in filters.or_around(found, every, 51.5, -0.1, F.col("score"), 4, "k").collect())
+    assert around(every.filter("k = 3")) == [3]
+    assert around(every.filter("k > 9")) == [1, 2]
+
+
+def test_districts(spark):
+    df = spark.createDataFrame([(1, "se1"), (2, "SE15"), (3, None), (4, " N1")], "k long, postcode_district string")
+    assert sorted(r["k"] for r in filters.in_districts(df, ["SE1 ", "n1"]).collect()) == [1, 4]
+    assert filters.in_districts(df, ["", " "]).count() == 4
+
+
+def test_regions_within(spark):
+    df = spark.createDataFrame([(1, 51.5, -0.1), (2, 51.53, -0.1), (3, 55.0, 0.0), (4, None, -0.1)], "k long, latitude double, longitude double")
+    got = {r["k"]: (r["near_regions"], r["primary_region"]) for r in matching.regions_within(df, [("north", 51.54, -0.1), ("here", 51.5, -0.1), ("alike", 51.5, -0.1)], 4.0).collect()}
+    assert got == {1: (["alike", "here"], "alike"), 2: (["north", "alike", "here"], "north"), 3: ([], None), 4: ([], None)}
+    narrow = matching.regions_within(df, [("north", 51.54, -0.1)], 1.0).filter("k = 2").first()
+    assert (narrow["near_regions"], narrow["primary_region"]) == ([], "north")
+
+
+def test_commute_times_repeat_no_listing(spark):
+    df = spark.createDataFrame([(1, 51.5001, -0.1), (2, 51.6, -0.2), (3, None, -0.1), (1, 51.5001, -0.1)], "k long, latitude double, longitude double")
+    times = spark.createDataFrame([(51.5002, -0.1, 40), (51.4999, -0.1, 25), (51.5, -0.1, None), (None, -0.1, 5)], "latitude double, longitude double, minutes int")
+    got = sorted((r["k"], r["commute_minutes"]) for r in matching.with_commute(df, times).collect())
+    assert got == [(1, 25), (1, 25), (2, None), (3, None)]
