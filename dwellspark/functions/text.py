@@ -91,6 +91,12 @@ def money(c: Column) -> Column:
     return F.nullif(F.regexp_replace(F.regexp_extract(c, r"£\s*([0-9][0-9,]*)", 1), ",", ""), F.lit("")).try_cast("int")
 
 
+def council_tax(c: Column) -> Column:
+    """'Band X' where a text names a band from A to H, else the text; null if empty."""
+    band = F.regexp_extract(c, r"(?i)\bband\s+([A-H])\b", 1)
+    return F.when(band != "", F.concat(F.lit("Band "), F.upper(band))).otherwise(F.nullif(c, F.lit("")))
+
+
 def price_of_page(c: Column) -> tuple[Column, Column]:
     """Monthly and weekly rents in a page's text."""
     amount = lambda unit: F.nullif(F.regexp_replace(F.regexp_extract(c, rf"(?i)£\s*([0-9][0-9,]*)\s*{unit}\b", 1), ",", ""), F.lit("")).try_cast("int")

@@ -34,6 +34,16 @@ def update_payload(df: DataFrame, updates: DataFrame, key: str, always: dict[str
     return df.join(u, key, "left").withColumns(values).select(*df.columns)
 
 
+def with_discovery(df: DataFrame, paths: DataFrame, key: str) -> DataFrame:
+    """All rows of ``df`` with the ``discovery_paths`` of their key, an empty list where none is known.
+
+    ``paths`` has one row a key, as ``discovery`` gives it.
+    """
+    other = [c for c in df.columns if c != "discovery_paths"]
+    attached = df.select(*other).join(paths.select(key, "discovery_paths"), key, "left")
+    return attached.select(*other, F.coalesce("discovery_paths", F.array().cast("array<string>")).alias("discovery_paths"))
+
+
 def discovery(found: DataFrame, key: str, order: str, url: str, query: str) -> DataFrame:
     """key, first url, and the distinct queries in order of discovery."""
     firsts = found.groupBy(key, query).agg(F.min(order).alias("_o"), F.min_by(url, order).alias("_url"))  # repeats go before anything is listed

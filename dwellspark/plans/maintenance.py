@@ -63,6 +63,14 @@ def discovery_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.discovery(events, "user_id", "event_id", "url", "event_type").select("user_id", "url", F.array_join("discovery_paths", ",").alias("paths"))
 
 
+def paths_attached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer with the event types of the user of the same number."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").cast("long").alias("c_custkey"), "event_id", "event_type", F.lit("u").alias("url"))
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("long").alias("c_custkey"), "c_name")
+    joined = sync.with_discovery(customers, sync.discovery(events, "c_custkey", "event_id", "url", "event_type"), "c_custkey")
+    return joined.select("c_custkey", "c_name", F.array_join("discovery_paths", ",").alias("paths"))
+
+
 def district_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     paths = sync.discovery(events.withColumn("url", F.lit("u")), "user_id", "event_id", "url", "event_type")
@@ -99,6 +107,7 @@ QUERIES = {
         retention_purge,
         payload_update,
         discovery_paths,
+        paths_attached,
         district_counts,
         uuid5_ids,
         feature_synthesis,
@@ -148,6 +157,9 @@ from l where portal = 1 and listing_id not in (select b_key from matches)""",
     "discovery_paths": """with f as (select user_id, event_type, min(event_id) as e from events group by 1, 2)
 select u.user_id, u.url, p.paths from (select user_id, concat('/u/', cast(min(event_id) as varchar)) as url from events group by 1) u
 join (select user_id, string_agg(event_type, ',' order by e) as paths from f group by 1) p on u.user_id = p.user_id""",
+    "paths_attached": """with f as (select user_id, event_type, min(event_id) as e from events group by 1, 2),
+p as (select user_id, string_agg(event_type, ',' order by e) as paths from f group by 1)
+select cast(c_custkey as bigint) as c_custkey, c_name, coalesce(paths, '') as paths from customer left join p on c_custkey = user_id""",
     "district_counts": "select event_type as district, count(distinct user_id) as n from events group by 1",
     "feature_synthesis": WITH_LISTING + f" select k, {_BULLETS} as bullets from listing",
     "embed_text": WITH_LISTING

@@ -77,6 +77,13 @@ def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "pages").select("page_id", P.title(F.col("html")).alias("title"), F.size(P.links(F.col("html"))).alias("n_links"))
 
 
+def page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All extractors over every raw page."""
+    parsed = P.parse_pages(_table(spark, sf_dir, "pages"), url="page_id")
+    sizes = (F.size(c).alias(f"n_{c}") for c in ("details", "links", "images"))
+    return parsed.select("page_id", "title", F.sha2("body", 256).alias("body_sha256"), "price_pcm", "price_pw", "monthly", "postcode_district", "size_sqft", "latitude", "longitude", *sizes)
+
+
 def page_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All extractors over listing pages made from the listing view."""
     df = listings(spark, sf_dir)
@@ -129,7 +136,7 @@ def layout_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        bool_signals, red_flags, synthetic_phrases, text_terms, chunks, bm25_topk, bm25_by_listing, jsonish_items, event_props, slug_tokens, normalised_types, page_titles, page_listings, fuzzy_alias, parse_constraints_batch, layout_parse,
+        bool_signals, red_flags, synthetic_phrases, text_terms, chunks, bm25_topk, bm25_by_listing, jsonish_items, event_props, slug_tokens, normalised_types, page_titles, page_records, page_listings, fuzzy_alias, parse_constraints_batch, layout_parse,
     )
 }
 

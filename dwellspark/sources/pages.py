@@ -14,7 +14,7 @@ LAT_RANGE, LNG_RANGE = (49.0, 61.0), (-8.0, 2.0)
 def visible_text(html: Column) -> Column:
     """A page's text: no scripts, styles or comments; blocks end lines; entities of markup resolved."""
     out = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->", " ")
-    out = F.regexp_replace(out, r"(?i)</(?:p|div|li|h[1-6]|tr|title|ul|section|article|nav)>|<br\s*/?>", "\n")
+    out = F.regexp_replace(out, r"(?i)</(?:p|div|li|h[1-6]|dt|dd|td|th|tr|title|ul|section|article|nav)>|<br\s*/?>", "\n")
     out = F.regexp_replace(out, r"<[^>]*>", "")
     for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         out = F.replace(out, F.lit(entity), F.lit(char))

@@ -163,3 +163,12 @@ def test_commute_times_repeat_no_listing(spark):
     times = spark.createDataFrame([(51.5002, -0.1, 40), (51.4999, -0.1, 25), (51.5, -0.1, None), (None, -0.1, 5)], "latitude double, longitude double, minutes int")
     got = sorted((r["k"], r["commute_minutes"]) for r in matching.with_commute(df, times).collect())
     assert got == [(1, 25), (1, 25), (2, None), (3, None)]
+
+
+def test_discovery_paths_are_attached(spark):
+    df = spark.createDataFrame([("a", 1), ("b", 2), (None, 3), ("a", 4)], "key string, n int")
+    paths = spark.createDataFrame([("a", ["SE1", "N1"]), ("c", ["W2"])], "key string, discovery_paths array<string>")
+    got = sync.with_discovery(df, paths, "key")
+    assert {r["n"]: r["discovery_paths"] for r in got.collect()} == {1: ["SE1", "N1"], 2: [], 3: [], 4: ["SE1", "N1"]}
+    again = sync.with_discovery(got, paths, "key")
+    assert again.columns == ["key", "n", "discovery_paths"]
