@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
+from .clustering import k_means, report
 from .decontaminate import find_contamination
 from .packing import pack_documents
 from .rans import encode_corpus, read_documents
@@ -92,6 +93,11 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = k_means(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return report(found).withColumnRenamed("id", "vec_id")
+
+
 QUERIES: dict[str, Query] = {
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op1_best_fit_packing": op1_best_fit_packing,
@@ -103,6 +109,7 @@ QUERIES: dict[str, Query] = {
     "op4_line_dedup": op4_line_dedup,
     "op8_toxicity": op8_toxicity,
     "op7_substring_dedup": op7_substring_dedup,
+    "op11_centroid_clustering": op11_centroid_clustering,
 }
 #: Text with A-Z in lower case, its words, and words between white space, in the oracles' SQL.
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -128,7 +135,41 @@ _PII_SQL = (
 _PII_FOUND = " union all ".join(f"select doc_id, t, {r} as r, '{k}' as kind, string_split_regex(t, '{p}') as gaps, regexp_extract_all(t, '{p}') as hits from docs" for r, (k, p, _) in enumerate(_PII_SQL))
 _PII_VALID = " ".join(f"when '{k}' then {v}" for k, _, v in _PII_SQL)
 
+
+
+def _clusters_sql(rounds: int = 10) -> str:
+    """The rounds one after the other, each vector held against every centroid."""
+    distance = "cast(list_sum(list_transform(list_zip(v.q, c.q), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) as bigint)"
+    steps = [
+        """v as materialized (
+            select row_number() over () as n, vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as q
+            from embeddings
+            where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        )""",
+        "c0 as materialized (select row_number() over (order by h, q) - 1 as c, q from (select q, sha256(concat('3:', cast(vec_id as varchar))) as h from v order by h, q limit 8))",
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"a{r} as materialized (select n, min((d, c)) as best from (select v.n, c.c, {distance} as d from v cross join c{r} c) group by n)")
+        if r < rounds:
+            steps.append(
+                f"""s{r} as (
+                    select c, list((s - ((s % k) + k) % k) // k order by i) as q
+                    from (select a.best[2] as c, i, cast(sum(v.q[i]) as bigint) as s, count(*) as k from a{r} a join v on a.n = v.n, range(1, 65) as t(i) group by 1, 2)
+                    group by c
+                )"""
+            )
+            steps.append(f"c{r + 1} as materialized (select o.c, list_transform(coalesce(s.q, o.q), lambda x: cast(x as bigint)) as q from c{r} o left join s{r} s on o.c = s.c)")
+    return f"""
+        with {", ".join(steps)},
+        o as (select v.vec_id, cast(a.best[2] as int) as cluster, a.best[1] as distance from a{rounds} a join v on a.n = v.n)
+        select vec_id, cluster, distance, cast(sum(distance) over (partition by cluster) as bigint) as cluster_inertia,
+               cast(sum(distance) over () as bigint) as inertia, sha256(array_to_string(c.q, ',')) as centroid_sha256
+        from o join c{rounds} c on o.cluster = c.c
+    """
+
+
 ORACLES: dict[str, str] = {
+    "op11_centroid_clustering": _clusters_sql(),
     "op2_benchmark_decontamination": f"""
         with d as (select doc_id, {_WORDS} as w from documents),
         i as (select cast(item_id as varchar) as item, {_WORDS} as w from benchmark),
