@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
+from . import conversations
 from .clustering import k_means, report
 from .decontaminate import find_contamination
 from .packing import pack_documents
@@ -98,6 +99,11 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(found).withColumnRenamed("id", "vec_id")
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return conversations.report(conversations.damage(rows), rows)
+
+
 QUERIES: dict[str, Query] = {
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op1_best_fit_packing": op1_best_fit_packing,
@@ -110,6 +116,7 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": op8_toxicity,
     "op7_substring_dedup": op7_substring_dedup,
     "op11_centroid_clustering": op11_centroid_clustering,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 #: Text with A-Z in lower case, its words, and words between white space, in the oracles' SQL.
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
