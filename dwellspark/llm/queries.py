@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import conversations
+from . import conversations, secret_tags
 from .clustering import k_means, report
 from .decontaminate import find_contamination
 from .packing import pack_documents
@@ -99,6 +99,17 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(found).withColumnRenamed("id", "vec_id")
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_tags.find_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        *(secret_tags.count_of(k).alias(f"n_{k}") for k in secret_tags.BASE),
+        F.sha2(listed(secret_tags.base_only()), 256).alias("base_sha256"),
+        listed(F.col("secrets")).alias("spans"),
+        secret_tags.count_of("tagged").alias("n_tagged"),
+    )
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return conversations.report(conversations.damage(rows), rows)
@@ -116,6 +127,7 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": op8_toxicity,
     "op7_substring_dedup": op7_substring_dedup,
     "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_secret_scan": op12_secret_scan,
     "op13_conversation_repair": op13_conversation_repair,
 }
 #: Text with A-Z in lower case, its words, and words between white space, in the oracles' SQL.

@@ -11,8 +11,10 @@ from zlib import crc32
 import pytest
 from pyspark.sql import functions as F
 
+from dwellspark.llm.queries import QUERIES
 from dwellspark.llm.conversations import END, START, costs_to_go, damage, kind, labels, plan_repairs, repaired, report
 
+from ..compare import SF_DIR
 from .conftest import clashing
 
 SPACE = " \t\n\x0b\x0c\r"
@@ -166,6 +168,18 @@ def test_damage(spark):
     assert out == {c: summary(x) for c, x in damaged.items()} | dict.fromkeys(lost, nothing)
 
 
+def test_query_on_the_table(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF_DIR}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    damaged = []
+    for conv, turn, role, text in rows:
+        fault = crc32(f"{conv}:{turn}".encode()) % 20
+        text = "" if fault == 1 else re.sub("[.!?]", "", text) if fault == 2 else text
+        damaged += [(conv, turn, "user" if fault == 4 else role, text)] * (0 if fault == 0 else 2 if fault == 3 else 1)
+    nothing = (0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())
+    want = {r[0]: nothing for r in rows} | {c: summary(x) for c, x in in_order(damaged).items()}
+    assert {r["conv_id"]: tuple(r)[1:] for r in QUERIES["op13_conversation_repair"](spark, SF_DIR).collect()} == want
+
+
 def test_nothing(spark):
     none = table(spark, [(1, 1, "user", "a.")]).limit(0)
     assert report(none, none).count() == 0 and repaired(none).count() == 0
