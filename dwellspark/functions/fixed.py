@@ -189,3 +189,25 @@ POINT_WEIGHTS = {
     "property_type": 1,
 }
 UNKNOWN_POINT = ("", "ask agent", "unknown", "n/a", "na", "not provided", "not known")
+
+# Least letters of an alias, of a run of an alias' words, and of a name whose trailing digits are dropped.
+LEAST_ALIAS, LEAST_RUN, LEAST_DIGITS = 3, 6, 6
+
+# Short forms of stations, and the names they stand for.
+STATION_ABBREVIATIONS = {
+    "kings x": "kings cross st pancras",
+    "kings cross": "kings cross st pancras",
+    "st pancras": "kings cross st pancras",
+    "liverpool st": "liverpool street",
+    "paddington stn": "paddington",
+    "waterloo stn": "waterloo",
+    "euston stn": "euston",
+    "victoria stn": "victoria",
+    "bank stn": "bank",
+    "old st": "old street",
+    "tottenham ct rd": "tottenham court road",
+    "tcr": "tottenham court road",
+    "elephant": "elephant & castle",
+    "the city": "bank",
+    "canary whf": "canary wharf",
+}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -141,10 +141,19 @@ def words(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)``, with ``value`` computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def phrases(tokens: Column, sizes: Sequence[int]) -> Column:
     """All runs of so many tokens, space-joined."""
-    runs = [F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i, n=n: F.array_join(F.slice(tokens, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>")) for n in sizes]
-    return F.array_distinct(F.concat(*runs))
+
+    def runs(n: int) -> Column:
+        all_ = F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))
+        return F.when(F.size(tokens) >= n, all_).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.concat(*map(runs, sizes)))
 
 
 def uuid5(c: Column, namespace: str = X.UUID_NAMESPACE) -> Column:
