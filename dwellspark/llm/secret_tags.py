@@ -32,6 +32,7 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 from zlib import crc32
 
 import numpy as np
@@ -59,7 +60,7 @@ OUT, BEGIN, IN = range(3)
 #: Added to the score of BEGIN when texts are read: a secret that is missed costs more than a word that is marked.
 LEAN = 4.0
 #: Kinds of tokens whose scores a worker remembers.
-REMEMBERED = 150_000
+REMEMBERED = 300_000
 
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
@@ -68,7 +69,8 @@ KINDS = ("assign", "access", "hex", "tagged")
 BASE = KINDS[:3]
 KEYWORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 #: What a text must match to hold a base span.
-ANY_BASE = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{8}|AKIA[A-Z0-9]{12}|[0-9a-f]{32}"""
+ANY_ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{8}"""
+ANY_ACCESS, ANY_HEX = "AKIA[A-Z0-9]{12}", "[0-9a-f]{32}"
 
 TOKEN = re.compile(r"(\w+(?:[+/.-]+\w+)*)")
 SPAN = "array<struct<start:int,rank:int,kind:string,end:int>>"
@@ -113,9 +115,9 @@ def shape(word: str) -> str:
 
 def plain(word: str) -> str:
     """The case of a word of letters, in usual writing; none of other tokens."""
-    if len(word) > 16 or not word.isalpha():
-        return ""
-    return "a" if word.islower() else "Aa" if word.istitle() else "A" if word.isupper() else ""
+    if word.isalpha() and len(word) <= 16:
+        return "a" if word.islower() else "Aa" if word.istitle() else "A" if word.isupper() else ""
+    return ""
 
 
 def general_features(word: str, case: str) -> list[str]:
@@ -275,6 +277,13 @@ def gradient(pieces: list[tuple[np.ndarray, np.ndarray, np.ndarray, bool]], fiel
     return where, steps, seen - moves, begins, float(own)
 
 
+def has_base(text: Column) -> Column:
+    """Whether a text may hold a base span. Patterns are looked for only where their words stand."""
+    lower = F.lower(text)
+    word = reduce(lambda x, y: x | y, [lower.contains(k) for k in KEYWORDS])
+    return (word & text.rlike(ANY_ASSIGN)) | (text.contains("AKIA") & text.rlike(ANY_ACCESS)) | text.rlike(ANY_HEX)
+
+
 def _pieces(text: str, key: int) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray, bool]]:
     """Training pieces of a text: order, feature indexes, their numbers, tags, whether the text starts there."""
     words, gaps, starts, ends = tokens(text)
@@ -333,16 +342,17 @@ def _pass(flat: np.ndarray, number: int) -> Callable[[pa.Table], pa.Table]:
 def fit(docs: DataFrame, *, text: str = "text", texts: int = TEXTS, passes: int = PASSES) -> Field | None:
     """The field learnt from a sample of the corpus; none if no text of the corpus has a base span."""
     body = docs.select(F.col(f"`{text}`").cast("string").alias("text")).filter("text is not null").withColumn("key", F.xxhash64("text"))
-    known = body.select("key", F.col("text").rlike(ANY_BASE).alias("has")).distinct()
+    known, known_path = write_shared(body.select("key", has_base(F.col("text")).alias("has")).distinct(), "keys")
     bounds = {}
     for has in (True, False):
         least = known.filter(F.col("has") == has).orderBy("key").limit(texts).agg(F.max("key")).first()[0]
         if least is not None:
             bounds[has] = least
+    drop_shared(docs.sparkSession, known_path)
     if True not in bounds:
         return None
     cut = lambda has: (F.col("key") <= bounds[has]) if has in bounds else F.lit(False)
-    chosen = body.filter(cut(True) | cut(False)).withColumn("has", F.col("text").rlike(ANY_BASE)).filter((F.col("has") & cut(True)) | (~F.col("has") & cut(False)))
+    chosen = body.filter(cut(True) | cut(False)).withColumn("has", has_base(F.col("text"))).filter((F.col("has") & cut(True)) | (~F.col("has") & cut(False)))
     pieces, path = write_shared(map_batches(chosen.groupBy("key").agg(F.first("text").alias("text")), _training, PIECE_SCHEMA), "pieces")
     flat = Field.new().flat()
     for number in range(passes):
@@ -413,16 +423,16 @@ class Scorer:
         if not new:
             return
         hashes, own = np.empty(len(new), np.int64), np.empty((len(new), 3))
+        known = self.cases
         for i, x in enumerate(new):
             case = plain(x)
-            hashes[i] = word_hash(x, case)
-            if case:
-                known = self.cases.get((case, len(x)))
-                if known is None:
-                    known = self.cases[case, len(x)] = w[own_indexes(x)].sum(axis=0)
-                own[i] = known
-            else:
-                own[i] = w[own_indexes(x)].sum(axis=0)
+            if not case:
+                hashes[i], own[i] = crc32(shape(x).encode()), w[own_indexes(x)].sum(axis=0)
+                continue
+            hashes[i], size = crc32(x.lower().encode()), len(x)
+            if (case, size) not in known:
+                known[case, size] = w[own_indexes(x)].sum(axis=0)
+            own[i] = known[case, size]
         near = np.stack([w[word_weight(hashes, p)] for p in range(4)], axis=1)
         near[:, 0] += own
         self.numbers.update(zip(new, range(len(self.rows), len(self.rows) + len(new)), strict=True))
