@@ -211,3 +211,48 @@ STATION_ABBREVIATIONS = {
     "the city": "bank",
     "canary whf": "canary wharf",
 }
+
+# Headings of the second portal's sections, and the section of a label where a page has no such heading.
+SECTIONS = {
+    "price_bills": ("price & bills", "price and bills", "price"),
+    "availability": ("availability",),
+    "tenant_preference": ("tenant preference", "tenant preferences"),
+    "features": ("features", "property features"),
+}
+SECTION_LABELS = {
+    "price_bills": ("deposit", "rent_pcm", "bills_included", "broadband"),
+    "availability": ("available_from", "available", "minimum_tenancy", "min_tenancy"),
+    "tenant_preference": ("student_friendly", "families_allowed", "pets_allowed", "smokers_allowed", "dss_lha_covers_rent", "dss_covers_rent"),
+    "features": ("garden", "parking", "fireplace", "furnishing", "epc_rating"),
+}
+# Labels that a listing's fields are read from; all others are extras.
+KNOWN_LABELS = (
+    "deposit", "rent_pcm", "bills_included", "broadband",
+    "available_from", "available", "minimum_tenancy", "min_tenancy", "min__tenancy",
+    "student_friendly", "families_allowed", "pets_allowed", "smokers_allowed",
+    "dss_lha_covers_rent", "dss_covers_rent", "dss_income_accepted",
+    "online_viewings", "live_in_landlord",
+    "garden", "parking", "fireplace", "furnishing", "epc_rating", "epc_not_required",
+    "council_tax", "council_tax_band",
+)
+# What ticks and crosses in a cell, and marks that a child holds no label.
+TICK_CLASSES, CROSS_CLASSES = ("fa-check-circle", "fa-check", "glyphicon-ok", "icon-check"), ("fa-times-circle", "fa-times", "glyphicon-remove", "icon-times")
+TICK_CHARS, CROSS_CHARS = ("✓", "✔", "☑"), ("✗", "✘", "☒")
+TICK_IMAGES, CROSS_IMAGES = ("tick", "check", "yes", "true"), ("cross", "times", "no", "false")
+TICK_WORDS, CROSS_WORDS = ("yes", "true", "included", "allowed"), ("no", "false", "not included", "not allowed")
+TOOLTIP_ATTRS = ("data-content", "data-toggle", "data-tip", "data-placement", "data-original-title", "data-html", "data-bs-toggle", "data-bs-content", "data-bs-content-id")
+TOOLTIP_CLASSES = ("d-none", "tooltip", "info-icon", "help", "hint", "popover", "or-icon")
+# Texts of the second portal that mean unknown.
+UNKNOWN_CELL = ("ask agent", "ask the agent", "not provided", "not known", "unknown", "n/a", "na", "-", "—", "tbc", "tba", "", "none")
+# Texts of the first portal's controls, what separates paragraphs, and where the description and a field end.
+DESCRIPTION_NOISE = ("read full description", "read more", "show more", "show less", "read less", "collapse", "expand")
+PARAGRAPH = " <PARA> "
+LONGEST_FEATURE = 200
+# Lines that stand among places nearby, and how they begin or end.
+NEARBY_STOPS = ("show more on map", "my places", "stations", "schools", "nearest stations", "nearest schools")
+NEARBY_KINDS = ("type:", "rating:", "ofsted:", "state school", "independent school")
+MILES_PER_MINUTE = 0.05
+# Where the second portal's pages hold a description, and the least letters of one.
+DESCRIPTION_PLACES = (".description-text", "#description", "[itemprop='description']", ".property-description", ".desc", ".listing-description", "[data-description]", ".more-text", ".full-description")
+DESCRIPTION_SPANS = ("more-text", "read-more-text", "description-more", "full-text")
+DESCRIPTION_AREAS = (".description-text", "#description", ".property-description", ".listing-description")

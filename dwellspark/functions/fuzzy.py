@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,19 +36,51 @@ def likeness(a: str, b: str) -> float:
     return 1.0 - edits(a, b) / max(len(a), len(b), 1)
 
 
+def windows(n: int, name: str) -> list[str]:
+    """The whole name, or for names much longer than n letters the windows of about n letters at either end."""
+    if len(name) <= n + 2:
+        return [name]
+    out = []
+    for size in sorted({max(3, n - 1), n, n + 1}):
+        last = len(name) - size
+        if last >= 0:
+            starts = sorted({*range(min(3, last + 1)), *range(max(0, last - 2), last + 1)})
+            out += [name[s : s + size] for s in starts]
+    return out
+
+
 def window_likeness(q: str, name: str) -> float:
     """Likeness to the whole name, or for much longer names to the best window of about q's length at either end."""
     if not q or not name:
         return 0.0
-    if len(name) <= len(q) + 2:
-        return likeness(q, name)
-    best = 0.0
-    for n in {max(3, len(q) - 1), len(q), len(q) + 1}:
-        last = len(name) - n
-        if last >= 0:
-            starts = {*range(min(3, last + 1)), *range(max(0, last - 2), last + 1)}
-            best = max(best, *(likeness(q, name[s : s + n]) for s in starts))
-    return best
+    return max((likeness(q, w) for w in windows(len(q), name)), default=0.0)
+
+
+def edits_of_pairs(a: Sequence[str], b: Sequence[str]) -> np.ndarray:
+    """``edits`` of many pairs at once: the rows of all their tables go forward together."""
+    if not len(a):
+        return np.zeros(0, np.int64)
+
+    def spelt(texts: Sequence[str]) -> np.ndarray:
+        """A row of code points for each text, filled up with zeros."""
+        width = max(map(len, texts))
+        return np.frombuffer("".join(t.ljust(width, "\0") for t in texts).encode("utf-32-le"), np.int32).reshape(len(texts), width)
+
+    x, y = spelt(a), spelt(b)
+    x_size, y_size = np.array([*map(len, a)]), np.array([*map(len, b)])
+    places = np.arange(y.shape[1] + 1)
+    last = np.repeat(places[None], len(a), axis=0)
+    before, out = last, last[np.arange(len(a)), y_size]
+    for i in range(x.shape[1]):
+        letter = x[:, i : i + 1]
+        row = np.minimum(last[:, 1:] + 1, last[:, :-1] + (letter != y))
+        if i:
+            swapped = (letter == y[:, :-1]) & (x[:, i - 1 : i] == y[:, 1:])
+            row[:, 1:] = np.where(swapped, np.minimum(row[:, 1:], before[:, :-2] + 1), row[:, 1:])
+        row = np.concatenate([np.full((len(a), 1), i + 1), row], axis=1)
+        before, last = last, np.minimum.accumulate(row - places, axis=1) + places
+        out = np.where(x_size == i + 1, last[np.arange(len(a)), y_size], out)
+    return out
 
 
 def subsequence(q: str, name: str) -> float:
@@ -78,26 +110,27 @@ def alias_score(q: str, name: str) -> float:
     return max(scores, default=0.0)
 
 
-def best_aliases(query: Column, aliases: Sequence[tuple[str, str]], *, limit: int = 8, least: float = 0.80) -> Column:
-    """array<struct<alias, score>> of a compact query's best aliases; ``aliases``: (plain, compact), a small fixed dimension.
-
-    An exact hit stands alone.  Ties go to the shorter, then the smaller name.
-    """
-    table = [(p, c) for p, c in aliases]
-    exact = {c: p for p, c in reversed(table)}
-
-    @F.pandas_udf("array<struct<alias:string,score:double>>")
-    def best(queries: pd.Series) -> pd.Series:
-        found: dict[str, list[dict]] = {}
-        for q in queries.dropna().unique():
-            if q in exact:
-                found[q] = [{"alias": exact[q], "score": 1.0}]
-                continue
-            scored = sorted(((-alias_score(q, c), len(p), p) for p, c in table))
-            found[q] = [{"alias": p, "score": -s} for s, _, p in scored[:limit] if -s >= least]
-        return queries.map(lambda q: found.get(q, []))
-
-    return best(query)
+def alias_scores(queries: Sequence[str], names: Sequence[str]) -> np.ndarray:
+    """``alias_score`` of many pairs at once."""
+    out = np.zeros(len(queries))
+    pairs: list[tuple[int, str, str]] = []
+    for i, (q, name) in enumerate(zip(queries, names, strict=True)):
+        if not q or not name:
+            continue
+        if q in name or name in q:
+            out[i] = 0.88 + 0.10 * (min(len(q), len(name)) / max(len(q), len(name)))
+        if 3 <= len(q) <= 8:
+            out[i] = max(out[i], subsequence(q, name))
+        pairs += [(i, q, w) for w in windows(len(q), name)]
+    like = np.zeros(len(queries))
+    for a in range(0, len(pairs), 20_000):
+        at, q, w = zip(*pairs[a : a + 20_000], strict=True)
+        longest = np.array([max(len(x), len(y), 1) for x, y in zip(q, w, strict=True)])
+        np.maximum.at(like, np.array(at), 1.0 - edits_of_pairs(q, w) / longest)
+    for i, (q, name) in enumerate(zip(queries, names, strict=True)):
+        if q and name and like[i] >= 1.0 - allowed_edits(max(len(q), min(len(name), len(q) + 1))) / len(q):
+            out[i] = max(out[i], 0.68 + 0.20 * like[i] + 0.12 * (min(len(q), len(name)) / max(len(q), len(name))))
+    return out
 
 
 def abbreviation(plain: Column, compact: Column) -> Column:

@@ -163,7 +163,8 @@ def near_candidates(typed: DataFrame, names: DataFrame) -> DataFrame:
     parts = typed.select("typed", F.explode(_parts(F.col("typed"))).alias("p")).select("typed", "p.*")
     near_start = F.abs(F.col("pos") - F.col("at")) <= F.col("most") + 2
     near_end = F.abs((F.length("name") - F.col("pos")) - (F.length("typed") - F.col("at"))) <= F.col("most") + 3
-    edited = parts.join(runs, "gram").filter(near_start | near_end).select("typed", "name")
+    long_enough = F.length("name") >= F.length("typed") - F.col("most")
+    edited = parts.join(runs, "gram").filter((near_start | near_end) & long_enough).select("typed", "name")
     # an abbreviation's letters all occur, so it is looked up by the one that the fewest names have
     letters = runs.filter(F.length("gram") == 1).select("name", "gram").distinct()
     frequent = letters.groupBy("gram").agg(F.count("*").alias("n"))
@@ -178,7 +179,7 @@ def near_candidates(typed: DataFrame, names: DataFrame) -> DataFrame:
 @F.pandas_udf(DoubleType())
 def _score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for a, b in batches:
-        yield pd.Series([fuzzy.alias_score(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
+        yield pd.Series(fuzzy.alias_scores(a.tolist(), b.tolist()))
 
 
 def best_aliases(typed: DataFrame, index: DataFrame, *, limit: int = 8, least: float = 0.80) -> DataFrame:
@@ -226,7 +227,7 @@ def _forms(table: DataFrame, column: str, most: Column) -> DataFrame:
 @F.pandas_udf(IntegerType())
 def _edits(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for a, b in batches:
-        yield pd.Series([fuzzy.edits(x, y) for x, y in zip(a, b, strict=True)], dtype="int32")
+        yield pd.Series(fuzzy.edits_of_pairs(a.tolist(), b.tolist()).astype("int32"))
 
 
 def few_edits(typed: DataFrame, names: DataFrame) -> DataFrame:

@@ -75,7 +75,7 @@ def _plain(c: str) -> str:
     return f"trim(regexp_replace(regexp_replace(lower({known}), '[''’‘`]', '', 'g'), '[^a-z0-9]+', ' ', 'g'))"
 
 
-def _edits(a: str, b: str) -> str:
+def osa(a: str, b: str) -> str:
     """Edits with swaps, each part edited once: the last two rows of the table of distances, row by row."""
     cost = f"case when substr({a}, y[1][1], 1) = substr({b}, j, 1) then 0 else 1 end"
     swap = f"case when y[1][1] > 1 and j > 1 and substr({a}, y[1][1], 1) = substr({b}, j - 1, 1) and substr({a}, y[1][1] - 1, 1) = substr({b}, j, 1) then x[1][j - 1] + 1 else 999 end"
@@ -108,7 +108,7 @@ need as (select *, case when m <= 6 then 1 when m <= 12 then 2 else greatest(2,
 win as (select q, c, lq, lc, need, unnest(case when lc <= lq + 2 then [c] else list_distinct(list_transform(
     list_filter(flatten(list_transform([greatest(3, lq - 1), lq, lq + 1], lambda s: list_transform(list_concat(range(0, least(3, lc - s + 1)), range(greatest(0, lc - s - 2), lc - s + 1)), lambda o: [s, o]))), lambda z: z[1] <= lc), lambda z: substr(c, z[2] + 1, z[1]))) end) as w from need),
 near as (select *, greatest(lq, length(w)) as lw from win where abs(lq - length(w)) * lq <= need * greatest(lq, length(w)) and damerau_levenshtein(q, w) * lq <= need * greatest(lq, length(w))),
-lik as (select q, c, max(1.0::double - {_edits("q", "w")}::double / lw) as sim, any_value(need) as need, any_value(lq) as lq, any_value(lc) as lc from near group by 1, 2),
+lik as (select q, c, max(1.0::double - {osa("q", "w")}::double / lw) as sim, any_value(need) as need, any_value(lq) as lq, any_value(lc) as lc from near group by 1, 2),
 ed as (select q, c, 0.68::double + 0.20::double * sim + 0.12::double * least(lq, lc)::double / greatest(lq, lc) as s from lik where sim >= 1.0::double - need::double / lq),
 co as (select q, c, 0.88::double + 0.10::double * least(lq, lc)::double / greatest(lq, lc) as s from pair where contains(c, q) or contains(q, c)),
 ab as (select q, c, length(regexp_extract(c, pattern)) as span, lq, lc, pattern from (select *, array_to_string(string_split(q, ''), '.*?') as pattern from pair where lq between 3 and 8 and c like concat('%', array_to_string(string_split(q, ''), '%'), '%'))),
@@ -118,7 +118,7 @@ o as (select typed, alias, 1.0::double as score, family, 0 as n from x union all
   select n.typed, idx.alias, best.s, 0, length(idx.alias) from best join n on n.compact = best.q join (select distinct compact, alias from idx) idx on idx.compact = best.c where n.typed not in (select typed from x))"""
 # the engine counts bytes: letters are made one byte each first, which never adds an edit
 _BYTES = "translate(strip_accents({}), 'ß', 's')"
-_NEAR_KEY = f"""select d, 3 as way, e as edits, place, station from (select *, {_edits("d", "key")} as e from (
+_NEAR_KEY = f"""select d, 3 as way, e as edits, place, station from (select *, {osa("d", "key")} as e from (
     select d, key, place, station, greatest(1, least(3, length(d) // 4)) as k from (select d from dest where d not in (select d from parted union all select d from known)) join keys on damerau_levenshtein({_BYTES.format("d")}, {_BYTES.format("key")}) <= greatest(1, least(3, length(d) // 4)))) where e <= k"""
 ORACLES = {
     "location_index": f"with {_TITLES} select * from idx",

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import fuzzy, requests, signals, text
+from ..functions import requests, signals, text
 from ..functions import fixed as X
-from ..operators import retrieval
-from ..session import ship_package
+from ..operators import places, retrieval
 from ..sources import pages as P
 from .listing import WITH_LISTING, listings
+from .places import osa
 
 TERMS = ("the", "thing", "ander", "tion")
 BM25_TERMS = ("the", "and", "thing", "of")
@@ -98,13 +98,13 @@ def page_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fuzzy_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nation names with two letters swapped must find themselves."""
-    ship_package(spark)
-    names = [r[0] for r in _table(spark, sf_dir, "nation").select("n_name").orderBy("n_nationkey").collect()]  # 25 rows
-    aliases = [(n.lower(), "".join(ch for ch in n.lower() if ch.isalnum())) for n in names]
-    nation = _table(spark, sf_dir, "nation").select("n_nationkey", text.compact(F.col("n_name")).alias("q"))
+    nation = _table(spark, sf_dir, "nation").withColumn("n_name", F.translate("n_name", "0123456789", "abcdefghij"))  # digits at the end of typed names don't count
+    index = places.alias_index(nation.select(F.col("n_name").alias("canonical"), F.col("n_name").alias("phrase"), F.col("n_nationkey").alias("place")))
+    typed = nation.select("n_nationkey", text.compact(F.col("n_name")).alias("q"))
     typo = F.when(F.length("q") >= 4, F.concat(F.substring("q", 1, 1), F.substring("q", 3, 1), F.substring("q", 2, 1), F.expr("substring(q, 4)"))).otherwise(F.col("q"))
-    found = nation.select("n_nationkey", typo.alias("q")).withColumn("best", fuzzy.best_aliases(F.col("q"), aliases, limit=3))
-    return found.select("n_nationkey", "q", F.get("best", F.lit(0))["alias"].alias("alias"), F.round(F.get("best", F.lit(0))["score"], 6).alias("score"))
+    typed = typed.select("n_nationkey", typo.alias("typed"))
+    best = places.best_aliases(typed.select("typed"), index, limit=1)
+    return typed.join(best, "typed", "left").select("n_nationkey", F.col("typed").alias("q"), "alias", F.round("score", 6).alias("score"))
 
 
 REQUESTS = (
@@ -172,6 +172,13 @@ df as (select {by} term, count(*) as df from tf group by all),
 s as (select {cols}, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) as score
   from tf join len using ({key}) join df using ({by} term) {tot} group by all)"""
 ORACLES = {
+    "fuzzy_alias": f"""with n as (select n_nationkey as k, replace(lower(translate(n_name, '0123456789', 'abcdefghij')), '_', ' ') as alias from nation),
+        c as (select k, alias, replace(alias, ' ', '') as c from n),
+        t as (select k, concat(c[1], c[3], c[2], c[4:]) as q from c),
+        p as (select t.k, q, alias, length(q) as lq, length(c) as lc, 1.0::double - {osa("q", "c")}::double / greatest(length(q), length(c)) as sim from t cross join c),
+        s as (select *, 0.68::double + 0.20::double * sim + 0.12::double * least(lq, lc) / greatest(lq, lc) as score from p where sim >= 1.0::double - 2.0::double / lq),
+        r as (select *, row_number() over (partition by k order by score desc, length(alias), alias) as r from s)
+        select k as n_nationkey, q, alias, round(score, 6) as score from r where r = 1""",
     "bool_signals": _SIGNALS + " select k, " + ", ".join(f"{_signal(n)} as {n}" for n in X.BOOL_SIGNALS) + " from x",
     "red_flags": WITH_LISTING + ", " + _FLAG_SQL,
     "text_terms": "select doc_id, cast(" + " + ".join(f"case when contains(lower(coalesce(text, '')), '{t}') then 1 else 0 end" for t in TERMS) + " as int) as hits from documents",

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parent
 
@@ -35,3 +36,18 @@ def ship_package(spark: SparkSession) -> None:
             z.write(file, file.relative_to(PACKAGE.parent))
     context.addPyFile(str(archive))
     context._dwellspark_shipped = True
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the folder that all executors share, and read back; several parts of a plan then read it without computing it again."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("dwellspark.kept.dir", None)
+    if not root:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='dwellspark-')}"
+        spark.conf.set("dwellspark.kept.dir", root)
+    path = f"{root.rstrip('/')}/dwellspark/{context.applicationId}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

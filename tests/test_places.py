@@ -71,6 +71,15 @@ def test_region_of(spark):
     assert got == {"bank": 1, "SOUTH BANK ": 0, "ban": 0, "old oval": 3, "the oval": 3}
 
 
+def test_scores_of_many_pairs():
+    rng = random.Random(8)
+    pairs = [(typo(rng, rng.choice(WORDS))[: rng.randint(0, 9)], "".join(names(rng.random(), 1))) for _ in range(3000)] + [("a", "b"), ("", "a"), ("a", ""), ("éa", "aé")]
+    a, b = map(list, zip(*pairs, strict=True))
+    assert fuzzy.edits_of_pairs(a, b).tolist() == [fuzzy.edits(x, y) for x, y in pairs]
+    assert fuzzy.alias_scores(a, b).tolist() == [fuzzy.alias_score(x, y) for x, y in pairs]
+    assert fuzzy.edits_of_pairs([], []).tolist() == [] and fuzzy.alias_scores([], []).tolist() == []
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_best_aliases_lose_nothing(spark, seed):
     rng = random.Random(seed)
