@@ -38,7 +38,14 @@ CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,18}+(?![\x20-]?[0-
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 SSN = r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])"
 SECRET = r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{24,}+"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])"
+#: Characters of an account number, by country.
+IBAN_SIZES = {
+    15: ("NO",), 16: ("BE",), 18: ("DK", "FI", "FO", "GL", "NL"), 19: ("MK", "SI"), 20: ("AT", "BA", "EE", "KZ", "LT", "LU", "XK"), 21: ("CH", "HR", "LI", "LV"),
+    22: ("BG", "BH", "CR", "DE", "GB", "GE", "IE", "ME", "RS"), 23: ("AE", "GI", "IL", "IQ", "TL"), 24: ("AD", "CZ", "ES", "MD", "PK", "RO", "SA", "SE", "SK", "TN", "VG"),
+    25: ("PT", "ST"), 26: ("IS", "TR"), 27: ("FR", "GR", "IT", "MC", "MR", "SM"), 28: ("AL", "AZ", "BY", "CY", "DO", "GT", "HU", "LB", "PL", "SV"), 29: ("BR", "EG", "PS", "QA", "UA"),
+    30: ("JO", "KW", "MU"), 31: ("MT", "SC"), 32: ("LC",),
+}
+IBAN = r"(?<![A-Za-z0-9])(?:" + "|".join(rf"(?:{'|'.join(names)})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, names in IBAN_SIZES.items()) + r")(?![A-Za-z0-9])"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
