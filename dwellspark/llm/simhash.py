@@ -33,11 +33,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from . import wordhash as W
 from .components import connected_components
 from .idset import maybe_in
-from .shared import write_shared
+from .shared import Packed, write_shared
 from .workers import map_batches
 
 RADIUS = 3
@@ -502,12 +503,21 @@ def drop_near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
     """``docs`` with one document of each group of copies and near copies.
 
     Null texts are empty ones.  Rows that share an id stay or go together, as the
-    smallest id of their group does; rows without an id stay.  All columns are kept.
+    smallest id of their group does; rows without an id stay.  Ids of any type that has an
+    order will do.  All columns are kept, also where names differ in case alone.
     """
-    body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    own = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc"), body.alias("text")).filter("doc is not null")
+    packed = Packed(docs)
+    named = packed.field(doc_id)
+    if isinstance(docs.schema[packed.index(doc_id)].dataType, IntegralType):
+        rows = packed.rows.withColumn("doc", named.cast("long"))
+    else:  # other ids are numbered in their order
+        ids = packed.rows.select(named.alias("id")).filter("id is not null").distinct()
+        numbers, _ = write_shared(ids.repartitionByRange("id").sortWithinPartitions("id").withColumn("doc", F.monotonically_increasing_id()), "ids")
+        rows, _ = write_shared(packed.rows.withColumn("id", named).join(numbers, "id", "left").drop("id"), "numbered")
+    body = F.coalesce(packed.field(text).cast("string"), F.lit(""))
+    own = rows.select("doc", body.alias("text")).filter("doc is not null")
     gone, _ = write_shared(near_duplicate_ids(own, **options), "gone")
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(-1)).alias("doc"), F.col(f"`{doc_id}`").isNull().alias("nameless"))
-    never, maybe = maybe_in(packed, gone)
+    marked = rows.select("row", F.coalesce("doc", F.lit(-1)).alias("doc"), F.col("doc").isNull().alias("nameless"))
+    never, maybe = maybe_in(marked, gone)
     kept = maybe.filter("not nameless").join(gone, "doc", "left_anti").select("row").union(maybe.filter("nameless").select("row"))
-    return never.select("row").union(kept).select("row.*")
+    return packed.unpack(never.select("row").union(kept))

@@ -103,6 +103,13 @@ def test_near_copies_whose_head_is_unlike_them(spark):
     assert kept == {*range(40), 100, 101, 102}
 
 
+def test_near_duplicates_under_any_names_and_ids(spark, empty):
+    rows = spark.createDataFrame([("b", "x y", 1, 2), ("a", "x y", 3, 4), (None, "x y", 5, 6), ("c", None, 7, 8)], "Doc_ID string, text string, score int, Score int")
+    got = drop_near_duplicates(rows)
+    assert got.columns == rows.columns and sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, [("a", "x y", 3, 4), (None, "x y", 5, 6), ("c", None, 7, 8)]))
+    assert drop_near_duplicates(empty).count() == 0
+
+
 def test_near_duplicates_without_ids(spark, empty):
     rows = spark.createDataFrame([(None, "a b"), (None, "a b"), (3, None), (4, "")], "doc_id long, text string")
     assert sorted(str(r["doc_id"]) for r in drop_near_duplicates(rows).collect()) == ["3", "None", "None"]

@@ -93,6 +93,35 @@ def test_shards_are_those_of_plain_scheduling(spark):
     assert all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
 
 
+def test_toxicity(spark, empty):
+    rng = random.Random(2)
+    rows, labels = [], []
+    for i in range(1200):
+        toxic = rng.random() < 0.15
+        words = [word(rng) for _ in range(rng.randint(5, 80))]
+        for _ in range(rng.randint(2, 5) if toxic else 0):
+            words.insert(rng.randint(0, len(words)), rng.choice(["idiot", "moron", "stupid", "trashed", "trashing"]))
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    rows += [(2000, None), (2001, ""), (None, "idiot"), (5, rows[5][1]), (2002, "w " * 100_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    lab = spark.createDataFrame([*labels, (5, labels[5][1]), (None, 1), (7000, 1), (6, None)], "doc_id long, toxic int")
+    got = score_toxicity(clashing(df), lab).select("doc_id", "text", "held_out", "score", "predicted").collect()
+    assert len(got) == len(rows)
+    truth = dict(labels)
+    held = [r for r in got if r["held_out"] and r["doc_id"] in truth]
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got if r["doc_id"] is not None)
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in got)
+    assert np.mean([r["predicted"] == truth[r["doc_id"]] for r in held]) > 0.95
+    again = {r["doc_id"]: r["score"] for r in score_toxicity(df, lab, broadcast_labels=0, broadcast_rows=0).collect()}
+    assert all(abs(again[r["doc_id"]] - r["score"]) < 1e-5 for r in got), "joins give what the scan gives"
+    other = score_toxicity(df.withColumnsRenamed({"doc_id": "Id"}).selectExpr("Id", "text", "1 as Score", "2 as held_OUT"), lab.withColumnRenamed("doc_id", "ID"), doc_id="id")
+    assert other.columns == ["Id", "text", "held_out", "score", "predicted"] and other.count() == len(rows)
+    assert score_toxicity(empty, lab).count() == 0
+    none = score_toxicity(df, lab.limit(0)).select("score").collect()
+    assert len(none) == len(rows) and all(0 <= r[0] <= 1 for r in none)
+
+
 def test_class_models_are_distributions(spark):
     """Against plain counting; all characters after a history sum to one."""
     counts = {"ab": (3, 0), "abc": (1, 2), "b": (0, 4), "ñandú": (2, 1), "aaaa": (5, 0), "cab": (1, 1)}
@@ -181,6 +210,14 @@ def test_validators(spark):
     assert [(s["kind"], s["start"], s["end"]) for s in spans] == [("iban", 11, 38)] and spans[0]["score"] > 0.8
 
 
+def test_account_numbers_end_where_their_country_says(spark):
+    good = "DE89370400440532013000"
+    spaced = "GB29 NWBK 6016 1331 9268 19"
+    rows = [(f"IBAN {good} Please pay", good), (f"IBAN {good} please", good), (f"{spaced} Thanks", spaced), (f"account {good} BIC COBADEFFXXX", good), (good + "X", None), ("DE88370400440532013000", None), ("ZZ89370400440532013000", None)]
+    got = {r["text"]: r["pii"] for r in find_pii(spark.createDataFrame([(t,) for t, _ in rows], "text string")).collect()}
+    assert {t: [t[s["start"] : s["end"]] for s in spans if s["kind"] == "iban"] for t, spans in got.items()} == {t: [w] if w else [] for t, w in rows}
+
+
 def test_context_decides_on_secrets_and_numbers(spark):
     run = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
     rows = [(f'token = "{run}"', True), (f"see {run}", False), (f"{run} is the token", False), ("token " + "a" * 40, False), (f"API-Key:{run}", True), (f"SSN 123-45-6789.", True), ("part 123-45-6789", False), ("ssn 000-45-6789", False), (None, False)]
