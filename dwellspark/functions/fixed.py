@@ -256,3 +256,14 @@ MILES_PER_MINUTE = 0.05
 DESCRIPTION_PLACES = (".description-text", "#description", "[itemprop='description']", ".property-description", ".desc", ".listing-description", "[data-description]", ".more-text", ".full-description")
 DESCRIPTION_SPANS = ("more-text", "read-more-text", "description-more", "full-text")
 DESCRIPTION_AREAS = (".description-text", "#description", ".property-description", ".listing-description")
+
+# Evidence of a category, the fields that it may come from, and values that count as empty there.
+EVIDENCE_TOP = 4
+CATEGORY_FIELDS = {
+    "school": ("schools", "description"),
+    "transit": ("stations", "description"),
+    "amenity": ("features", "description"),
+    "general": ("features", "description", "schools", "stations"),
+}
+EMPTY_VALUES = ("", "none", "null", "n/a", "na", "unknown", "not provided", "ask agent")
+UNSTRUCTURED_FIELDS = ("description", "features")

@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import maintenance, places, portals, ranking, review, search, texts, vectors
+from . import answers, maintenance, places, portals, ranking, review, search, texts, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-for module in (search, ranking, maintenance, texts, vectors, review, places, portals):
+for module in (search, ranking, maintenance, texts, vectors, review, places, portals, answers):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES

@@ -38,9 +38,8 @@ def ship_package(spark: SparkSession) -> None:
     context._dwellspark_shipped = True
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the folder that all executors share, and read back; several parts of a plan then read it without computing it again."""
-    spark = df.sparkSession
+def kept_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share (``spark.checkpoint.dir``; one of our own where it is unset, on one machine only)."""
     context = spark.sparkContext
     root = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("dwellspark.kept.dir", None)
     if not root:
@@ -48,6 +47,11 @@ def kept(df: DataFrame, name: str) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='dwellspark-')}"
         spark.conf.set("dwellspark.kept.dir", root)
-    path = f"{root.rstrip('/')}/dwellspark/{context.applicationId}/{name}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/dwellspark/{context.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder, and read back; several parts of a plan then read it without computing it again."""
+    path = kept_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
