@@ -267,3 +267,20 @@ CATEGORY_FIELDS = {
 }
 EMPTY_VALUES = ("", "none", "null", "n/a", "na", "unknown", "not provided", "ask agent")
 UNSTRUCTURED_FIELDS = ("description", "features")
+
+# How requests name layouts, budgets of layouts, property types and dates, and how far a budget may stand from its layout.
+LAYOUT_PAIR = r"\b(\d+(?:\.\d+)?)\s*(?:bed(?:room)?s?|bd|br|b)\s*[/,-]?\s*(\d+(?:\.\d+)?)\s*(?:bath(?:room)?s?|ba|b)\b"
+LAYOUT_BEDS = r"\b(\d+(?:\.\d+)?)\s*[- ]?\s*(?:bed(?:room)?s?|bd|br|b)\b"
+LAYOUT_BATHS = r"\b(\d+(?:\.\d+)?)\s*[- ]?\s*(?:bath(?:room)?s?|ba)\b"
+LAYOUT_BUDGETS = (
+    r"(?:under|below|max(?:imum)?|up\s*to|within|at\s*most|budget)\s*£?\s*([0-9][0-9,]*(?:\.\d+)?)",
+    r"£\s*([0-9][0-9,]*(?:\.\d+)?)\s*(?:pcm|per\s*month|p/?m|pm)\b",
+    r"\b([0-9][0-9,]*(?:\.\d+)?)\s*(?:pcm|per\s*month|p/?m|pm)\b",
+)
+LAYOUT_SEPARATOR = r"\b(?:and|or)\b|[,;]"
+LAYOUT_REACH = 48
+REMOVE_WORDS = r"\b(?:remove|drop|delete|clear)\b"
+FLAT_WORDS = r"\b(?:flats?|apartments?|apts?)\b"
+HOUSE_WORDS = r"\b(?:house|detached|semi[- ]?detached|town\s*house|terraced|mews|cottage|bungalow)\b"
+DATE_PREFIXES = r"by|before|no\s+later\s+than|latest(?:\s+move[- ]?in|\s+start)?(?:\s+date)?|available\s*from|starting\s*from|start(?:ing)?\s*from|starting|start\s*date|from"
+MONTHS = r"(?:jan|feb|mar|apr|may|jun|jul|aug|sep|sept|oct|nov|dec)[a-z]*"

@@ -125,12 +125,32 @@ def parse_constraints_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", "bedrooms", "bathrooms", F.round("max_rent_pcm", 4).alias("rent"), "min_tenancy_months", "available_from", "furnish_type", "property_type", "let_type", F.size("bool_preferences").alias("n_bools"), "mode", F.array_join("clears", ",").alias("clears"))
 
 
+def layout_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, turn, said: a request of one of eight forms for each turn, its numbers taken from the turn."""
+    c = F.col
+    a, b, p, q = (c("conv_id") + c("turn")) % 5 + 1, c("turn") % 3 + 1, (c("conv_id") * 37 + c("turn")) % 2000 + 500, (c("conv_id") * 11) % 900 + 1100
+    say = lambda form, *values: F.format_string(form, *(v.cast("long") for v in values))
+    forms = (
+        say("%d bed, %d bath at most £%,d please", a, b, p),
+        say("%db%db OR studio under %d", a, b, p),
+        say("A %d-bedroom flat and %d bathrooms, %d pcm", a, b, p),
+        say("£%d pcm %d bed house or %d bed up to %d", p, a, b, q),
+        say("studio; %d bath, no more than that in winter or in summer if it can be had £%d pm", b, p),
+        say("an apartment near no. %d", p),
+        say("please remove the %d bed 2 bath and the studio", a),
+        say("any place for %d people", a),
+    )
+    said = F.get(F.array(*forms), ((c("conv_id") + c("turn")) % 8).cast("int"))
+    return _table(spark, sf_dir, "conversations").filter("conv_id is not null and turn is not null").select("conv_id", "turn", said.alias("said"))
+
+
 def layout_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The layouts that each request asks for, a row each."""
-    said = F.get(F.array(*map(F.lit, REQUESTS)), (F.col("event_id") % len(REQUESTS)).cast("int"))
-    log = _table(spark, sf_dir, "events").select("event_id", said.alias("said"))
-    layouts = requests.parse_texts(log.select("said").distinct(), "said").select("said", F.posexplode("layouts").alias("place", "l"))
-    return log.join(layouts, "said").select("event_id", "place", "l.bedrooms", "l.bathrooms", "l.layout_tag", F.round("l.max_rent_pcm", 4).alias("rent"))
+    """The layouts that each request asks for, or to leave out, a row each; equal requests are read once."""
+    log = layout_requests(spark, sf_dir)
+    read = requests.parse_texts(log.select("said").distinct(), "said")
+    asked = read.select("said", F.lit(False).alias("removed"), F.posexplode("layouts").alias("place", "l"))
+    gone = read.select("said", F.lit(True).alias("removed"), F.posexplode("removed_layouts").alias("place", "l"))
+    return log.join(asked.union(gone), "said").select("conv_id", "turn", "removed", "place", "l.bedrooms", "l.bathrooms", "l.property_type", "l.layout_tag", F.round("l.max_rent_pcm", 4).alias("rent"))
 
 
 QUERIES = {
@@ -172,6 +192,20 @@ df as (select {by} term, count(*) as df from tf group by all),
 s as (select {cols}, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) as score
   from tf join len using ({key}) join df using ({by} term) {tot} group by all)"""
 ORACLES = {
+    "layout_parse": """with t as (select conv_id, turn, (conv_id + turn) % 8 as f, (conv_id + turn) % 5 + 1 as a, turn % 3 + 1 as b, cast((conv_id * 37 + turn) % 2000 + 500 as double) as p, cast((conv_id * 11) % 900 + 1100 as double) as q from conversations),
+        r as (
+            select conv_id, turn, false as removed, 0 as place, a as beds, b as baths, null as kind, null as tag, p as rent from t where f in (0, 1) union all
+            select conv_id, turn, false, 1, null, null, 'flat', 'studio', p from t where f = 1 union all
+            select conv_id, turn, false, 0, a, null, 'flat', null, p from t where f = 2 union all
+            select conv_id, turn, false, 1, null, b, 'flat', null, p from t where f = 2 union all
+            select conv_id, turn, false, 0, a, null, 'house', null, p from t where f = 3 union all
+            select conv_id, turn, false, 1, b, null, 'house', null, q from t where f = 3 union all
+            select conv_id, turn, false, 0, null, b, null, null, null from t where f = 4 union all
+            select conv_id, turn, false, 1, null, null, 'flat', 'studio', null from t where f = 4 union all
+            select conv_id, turn, false, 0, null, null, 'flat', null, null from t where f = 5 union all
+            select conv_id, turn, x, 0, a, 2, null, null, null from t, (values (false), (true)) v(x) where f = 6 union all
+            select conv_id, turn, x, 1, null, null, 'flat', 'studio', null from t, (values (false), (true)) v(x) where f = 6)
+        select conv_id, turn, removed, place, cast(beds as int) as bedrooms, cast(baths as double) as bathrooms, kind as property_type, tag as layout_tag, rent from r""",
     "fuzzy_alias": f"""with n as (select n_nationkey as k, replace(lower(translate(n_name, '0123456789', 'abcdefghij')), '_', ' ') as alias from nation),
         c as (select k, alias, replace(alias, ' ', '') as c from n),
         t as (select k, concat(c[1], c[3], c[2], c[4:]) as q from c),

@@ -37,16 +37,34 @@ def values(spark, f, inputs, kind="string"):
         (requests.bedrooms, {"2 bed": 2, "1b1b": 1, "studio": 0, "flat": None}),
         (lambda c: requests.parsed(c)["min_tenancy_months"], {"for 6 months": 6.0, "a year": 12.0, "two years": 24.0, "": None}),
         (
-            lambda c: F.transform(requests.layout_options(c), lambda x: F.concat_ws("|", x["bedrooms"], x["bathrooms"], x["layout_tag"], x["max_rent_pcm"])),
+            lambda c: F.transform(requests.layout_options(c), lambda x: F.concat_ws("|", x["bedrooms"], x["bathrooms"], x["property_type"], x["layout_tag"], x["max_rent_pcm"])),
             {
                 "2 bed under 2600 and 3 bed under 3,400": ["2|2600.0", "3|3400.0"],
                 "1b1b/2b1b": ["1|1.0", "2|1.0"],
-                "studio or 1 bed under 1500": ["studio|1500.0", "1|1500.0"],
+                "studio or 1 bed under 1500": ["1|1500.0", "flat|studio|1500.0"],
                 "2 bed / 1 bath, 2 bed 1 bath": ["2|1.0"],
-                "a flat with a garden": [],
+                "2 bed, 1 bath at most £1500": ["2|1.0|1500.0"],
+                "2 bed and 1 bath": ["2", "1.0"],
+                "2 bedroom and 2 bathroom flat": ["2|flat", "2.0|flat"],
+                "£900 pcm 1 bed house or 3 bed up to 2000": ["1|house|900.0", "3|house|2000.0"],
+                "1 bed and " + "x" * 60 + " under 900": ["1"],
+                "2 bed £0 pcm, 950 pcm or studio": ["2|950.0", "flat|studio|950.0"],
+                "a flat with a garden": ["flat"],
                 "": [],
             },
         ),
+        (
+            lambda c: F.transform(requests.removed_layouts(c), lambda x: F.concat_ws("|", x["bedrooms"], x["layout_tag"], x["max_rent_pcm"])),
+            {"drop the 2 bed under 900 and studio": ["2", "studio"], "2 bed": [], "remove it": []},
+        ),
+        (
+            lambda c: F.size(requests.without_layouts(requests.layout_options(c), F.transform(requests.removed_layouts(F.lit("remove 2 bed")), lambda x: x))),
+            {"2 bed 1 bath under 900, 3 bed, 2 bed": 1, "studio": 1, "": 0},
+        ),
+        (
+            lambda c: requests.available_from(c).cast("string"),
+            {"from april 3rd, 2026": "2026-04-03", "3 may 2026": "2026-05-03", "no later than 2026/01/05 or 04/02/2027": "2026-01-05", "starting: 5 sept, 2026": None, "05/02/26 then": "2026-02-05", "by june": None},
+        ),
         (lambda c: requests.parsed(c)["mode"], {"start over": "replace_all", "also parking": "append", "flat": "replace"}),
         (lambda c: requests.parsed(c)["clears"], {"any budget and remove the location": ["budget", "location"], "x": []}),
         (lambda c: requests.parsed(c)["bool_preferences"], {"with a dog, non-smoking": {"pets_allowed": True, "smokers_allowed": False}, "": {}}),
