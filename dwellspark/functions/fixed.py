@@ -284,3 +284,6 @@ FLAT_WORDS = r"\b(?:flats?|apartments?|apts?)\b"
 HOUSE_WORDS = r"\b(?:house|detached|semi[- ]?detached|town\s*house|terraced|mews|cottage|bungalow)\b"
 DATE_PREFIXES = r"by|before|no\s+later\s+than|latest(?:\s+move[- ]?in|\s+start)?(?:\s+date)?|available\s*from|starting\s*from|start(?:ing)?\s*from|starting|start\s*date|from"
 MONTHS = r"(?:jan|feb|mar|apr|may|jun|jul|aug|sep|sept|oct|nov|dec)[a-z]*"
+
+# Weights of a side table's fields.
+SEGMENT_WEIGHTS = {"features": 0.80, "description": 0.60}

@@ -22,6 +22,10 @@ class Layout:
     tag: str = ""
     max_rent: float | None = None
 
+    def like(self, other: Layout) -> bool:
+        """Whether it has the rooms, type and tag of ``other``, as far as that one says any."""
+        return all(wanted in (None, "") or own == wanted for own, wanted in ((self.bedrooms, other.bedrooms), (self.bathrooms, other.bathrooms), (self.property_type, other.property_type), (self.tag, other.tag)))
+
 
 @dataclass(frozen=True)
 class Constraints:
@@ -47,9 +51,14 @@ class Constraints:
         places = tuple(OrderedDict.fromkeys(p.strip().lower() for p in self.locations if p.strip()))
         return replace(self, layouts=layouts, max_rent=rent, locations=places, furnish_type=self.furnish_type.strip().lower(), let_type=self.let_type.strip().lower(), k=max(1, self.k))
 
-    def merged(self, new: Mapping[str, Any], *, replace_all: bool = False, append_layouts: bool = False, append_locations: bool = False) -> Constraints:
-        """These constraints with ``new`` values; ``replace_all`` starts afresh."""
+    def merged(self, new: Mapping[str, Any], *, replace_all: bool = False, append_layouts: bool = False, append_locations: bool = False, remove_layouts: tuple[Layout, ...] = ()) -> Constraints:
+        """These constraints with ``new`` values; ``replace_all`` starts afresh.
+
+        Layouts that are like one of ``remove_layouts`` in whatever that one says go first.
+        """
         old = Constraints() if replace_all else self
+        if remove_layouts:
+            old = replace(old, layouts=tuple(x for x in old.layouts if not any(x.like(r) for r in remove_layouts)))
         values = {k: v for k, v in new.items() if v not in (None, "", (), [])}
         if "layouts" in values and append_layouts:
             values["layouts"] = (*old.layouts, *values["layouts"])

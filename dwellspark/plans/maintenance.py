@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import fixed as X
 from ..functions import signals, text
 from ..operators import matching, sync
 from ..streaming.ingest import ingest_events
@@ -136,6 +137,9 @@ def _fill(c: str) -> str:
 
 
 ORACLES = {
+    "uuid5_ids": WITH_LISTING
+    + f""", h as (select listing_id, sha1(unhex('{X.UUID_NAMESPACE}') || encode(listing_id)) as h from listing)
+        select listing_id, concat_ws('-', h[1:8], h[9:12], concat('5', h[14:16]), concat('89ab'[(strpos('0123456789abcdef', h[17]) - 1) % 4 + 1], h[18:20]), h[21:32]) as point_id from h""",
     "spatial_match": _PAIRS + " select a_key, b_key from matches",
     "spatial_dedup": _PAIRS + " select listing_id from listing where portal = 1 and listing_id not in (select b_key from pairs)",
     "merge_records": _PAIRS

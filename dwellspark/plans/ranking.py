@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import filters
+from ..operators import preference as P
 from ..operators import ranking as R
 from .listing import WITH_LISTING, listings
 from .search import AS_OF, SEARCH, WITH_AUDIT
@@ -19,6 +20,30 @@ def soft_rank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.top(ranked, 20).select("rank", "listing_id", F.round("final_score", 6).alias("final_score"), "match_pct")
 
 
+def _side_table(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, dict[str, list[float]]]:
+    """Vectors in fours are a listing's segments; every third record has a URL, the others ids alone. Two vectors are intents."""
+    df = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    record = F.expr("vec_id div 4")
+    records = df.select(record.alias("record")).distinct().select("record", F.when(F.col("record") % 3 == 0, F.concat(F.lit("u/"), "record")).alias("url"), F.concat(F.lit("part:"), "record").alias("listing_id"))
+    segments = df.select(record.alias("record"), F.when(F.col("vec_id") % 4 < 3, "features").otherwise("description").alias("field"), (F.col("vec_id") % 4).alias("place"), F.col("embedding").alias("vector"))
+    asked = df.filter("vec_id in (5, 21)").orderBy("vec_id").collect()  # two rows
+    return records, segments, {f"intent {r['vec_id']}": list(r["embedding"]) for r in asked}
+
+
+def preference_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = listings(spark, sf_dir).withColumn("url", F.when(F.col("k") % 3 == 0, F.concat(F.lit("u/"), "k")))
+    out = P.preference_scores(df, *_side_table(spark, sf_dir))
+    return out.select("listing_id", F.round("preference_score", 6).alias("score"), F.array_join("hits", "|").alias("hits"), F.array_join(F.transform("evidence", lambda e: F.concat_ws(":", e["intent"], e["field"], e["place"])), "|").alias("evidence"))
+
+
+def soft_rank_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranking with intents: preference scores from the side table, half a point where it has none."""
+    df = listings(spark, sf_dir).withColumn("url", F.when(F.col("k") % 3 == 0, F.concat(F.lit("u/"), "k")))
+    passed = filters.hard_filter(df, SEARCH, AS_OF)
+    scored = P.with_preference(passed, P.preference_scores(passed, *_side_table(spark, sf_dir)), F.lit(0.5))
+    return R.top(R.rank(scored, SEARCH, AS_OF), 20).select("rank", "listing_id", F.round("final_score", 6).alias("final_score"), F.round("preference_score", 6).alias("preference"), F.coalesce(F.array_join("hits", "|"), F.lit("")).alias("hits"))
+
+
 def unknown_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listings(spark, sf_dir).select("k", F.round(R.unknown_penalty(UNKNOWN, AS_OF), 6).alias("penalty"))
 
@@ -50,7 +75,7 @@ def commute_adjusted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listings(spark, sf_dir).select("k", R.commute_adjusted(F.lit(90), minutes).alias("match_pct"))
 
 
-QUERIES = {f.__name__: f for f in (soft_rank_topk, unknown_penalty, match_pct, deposit_score, freshness_score, headroom_score, page_n, commute_adjusted)}
+QUERIES = {f.__name__: f for f in (soft_rank_topk, preference_scores, soft_rank_intents, unknown_penalty, match_pct, deposit_score, freshness_score, headroom_score, page_n, commute_adjusted)}
 
 _AMOUNT = """case when lower(trim(coalesce(deposit, ''))) in ('', 'ask agent') then null
   else try_cast(regexp_extract(replace(deposit, ',', ''), '([0-9]+(\\.[0-9]+)?)', 1) as double) end"""
@@ -72,6 +97,15 @@ _HALF = "case when ({0}) is null then 6.25 when ({0}) then 12.5 else 0 end"
 _PCT = f"cast(greatest(50, least(100, round_even(100 * ({_HALF.format(_PETS)} + {_HALF.format(_GARDEN)} + {_FURNISHED}) / 33.0, 0))) as int)"
 _BOTH = f"((case when coalesce({_PETS}, false) then 1.0 else 0.0 end + case when coalesce({_GARDEN}, false) then 1.0 else 0.0 end) / 2)"
 
+_PREFERENCE = """e as (select vec_id // 4 as rec, vec_id % 4 as place, case when vec_id % 4 < 3 then 'features' else 'description' end as field, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings),
+i as (select vec_id as ord, concat('intent ', vec_id) as intent, list_transform(embedding, lambda x: cast(x as double)) as q from embeddings where vec_id in (5, 21)),
+sims as (select rec, ord, intent, field, place, greatest(0.0, least(1.0, (list_dot_product(v, q) + 1) / 2)) as sim from e cross join i),
+ranked_segments as (select *, row_number() over (partition by rec, ord, field order by sim desc, place) as r from sims),
+of_field as (select rec, ord, intent, field, case field when 'features' then 0.8 else 0.6 end as w, 0.7 * max(sim) filter (where r = 1) + 0.3 * coalesce(max(sim) filter (where r = 2), max(sim) filter (where r = 1)) as s,
+  string_agg(concat(intent, ':', field, ':', place), '|' order by r) filter (where r <= 2) as near from ranked_segments group by 1, 2, 3, 4),
+of_intent as (select rec, ord, intent, cast(sum(w * s) / sum(w) as double) as s, string_agg(near, '|' order by field) as near from of_field group by 1, 2, 3),
+pref as (select concat('part:', rec) as listing_id, avg(s) as score, coalesce(string_agg(intent, '|' order by ord) filter (where s >= 0.45), '') as hits, coalesce(string_agg(near, '|' order by ord) filter (where s >= 0.45), '') as evidence from of_intent group by rec)"""
+
 ORACLES = {
     "soft_rank_topk": WITH_AUDIT
     + f""", scored as (
@@ -80,6 +114,14 @@ ORACLES = {
   from audited where reasons = ''
 ), ranked as (select *, row_number() over (order by round(s, 9) desc, listing_id) as rank from scored)
 select cast(rank as int) as rank, listing_id, round(s, 6) as final_score, match_pct from ranked where rank <= 20""",
+    "preference_scores": WITH_LISTING + f", {_PREFERENCE} select listing_id, round(score, 6) as score, hits, evidence from pref join listing using (listing_id)",
+    "soft_rank_intents": WITH_AUDIT
+    + f""", {_PREFERENCE}, scored as (
+  select listing_id, coalesce(score, 0.5) as p, hits, 0.3 * coalesce(score, 0.5) + 0.05 * {_DEPOSIT} + 0.06 * {_FRESH} + 0.1 * coalesce(greatest((2200 - price_pcm) / 2200, 0), 0)
+    + 0.12 * {_BOTH} - 0.2 * {_PENALTY} as s
+  from audited left join pref using (listing_id) where reasons = ''
+), ranked as (select *, row_number() over (order by round(s, 9) desc, listing_id) as rank from scored)
+select cast(rank as int) as rank, listing_id, round(s, 6) as final_score, round(p, 6) as preference, coalesce(hits, '') as hits from ranked where rank <= 20""",
     "unknown_penalty": WITH_LISTING + f" select k, round(cast({_PENALTY} as double), 6) as penalty from listing",
     "match_pct": WITH_LISTING + f", x as (select *, lower(concat_ws(' ', features, description)) as t from listing) select k, {_PCT} as match_pct from x",
     "deposit_score": WITH_LISTING + f" select k, round({_DEPOSIT}, 6) as score from listing",

@@ -213,6 +213,11 @@ ORACLES = {
         s as (select *, 0.68::double + 0.20::double * sim + 0.12::double * least(lq, lc) / greatest(lq, lc) as score from p where sim >= 1.0::double - 2.0::double / lq),
         r as (select *, row_number() over (partition by k order by score desc, length(alias), alias) as r from s)
         select k as n_nationkey, q, alias, round(score, 6) as score from r where r = 1""",
+    "synthetic_phrases": _SIGNALS
+    + ", b as (select k, " + ", ".join(f"{_signal(n)} as {n}" for n in X.BOOL_SIGNALS)
+    + " from x) select k, concat_ws('|', " + ", ".join(f"case when {n} then '{'|'.join(p)}' end" for n, p in X.SYNTHETIC_PHRASES.items()) + ") as phrases from b",
+    "chunks": """with p as (select doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(coalesce(text, ''), '([.!?])\\s+', concat('\\1', chr(10)), 'g'), '\\n+'), lambda x: trim(x)), lambda x: length(x) >= 8) as c from documents)
+        select doc_id, cast(len(c) as int) as n, cast(coalesce(list_sum(list_transform(c, lambda x: length(x))), 0) as int) as chars from p""",
     "bool_signals": _SIGNALS + " select k, " + ", ".join(f"{_signal(n)} as {n}" for n in X.BOOL_SIGNALS) + " from x",
     "red_flags": WITH_LISTING + ", " + _FLAG_SQL,
     "text_terms": "select doc_id, cast(" + " + ".join(f"case when contains(lower(coalesce(text, '')), '{t}') then 1 else 0 end" for t in TERMS) + " as int) as hits from documents",

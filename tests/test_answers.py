@@ -77,3 +77,23 @@ def test_stages_are_counted_while_a_plan_runs_once(spark, least):
     some = stages.count(spark.range(1000).repartition(3).filter(F.col("id") % 3 == 0).filter(F.col("id") >= least), "some")
     stages.count(some.orderBy(F.desc("id")).limit(7), "best").write.format("noop").mode("overwrite").save()
     assert stages.counts() == ({"some": 334, "best": 7} if least == 0 else {"some": 0, "best": 0})
+
+
+def test_preferences_are_found_under_either_key(spark):
+    from dwellspark.operators import preference
+
+    records = spark.createDataFrame([(1, "u1", "a"), (2, None, "b"), (3, "ask agent", "c"), (4, "u1", "z"), (5, "u5", "none")], "record long, url string, listing_id string")
+    rows = [(r, f, p, v) for r, f, p, v in [(1, "features", 0, [1.0, 0.0]), (2, "features", 0, [0.0, 1.0]), (2, "features", 1, [1.0, 0.0]), (2, "features", 2, [-1.0, 0.0]), (2, "description", 3, [0.0, -1.0]), (3, "description", 0, [0.0, 1.0]), (4, "features", 0, [0.6, 0.8]), (4, "other", 1, [9.0, 9.0])]]
+    segments = spark.createDataFrame(rows, "record long, field string, place int, vector array<double>")
+    listings = spark.createDataFrame([("a", "u1"), ("b", None), ("b2", "nowhere"), ("c", ""), ("none", "u5"), ("", None)], "listing_id string, url string")
+    got = {r["listing_id"]: r for r in preference.preference_scores(listings, records, segments, {"x": [1.0, 0.0], "y": [0.0, -1.0]}).collect()}
+    assert sorted(got) == ["a", "b", "c"]
+    # of two records under one URL the last counts
+    assert got["a"]["preference_score"] == pytest.approx((0.8 + 0.1) / 2) and got["a"]["hits"] == ["x"]
+    x, y = (0.8 * (0.7 * 1.0 + 0.3 * 0.5) + 0.6 * 0.5) / 1.4, (0.8 * (0.7 * 0.5 + 0.3 * 0.5) + 0.6 * 1.0) / 1.4
+    assert got["b"]["preference_score"] == pytest.approx((x + y) / 2) and got["b"]["hits"] == ["x", "y"]
+    assert [(e["intent"], e["field"], e["place"]) for e in got["b"]["evidence"]] == [("x", "description", 3), ("x", "features", 1), ("x", "features", 0), ("y", "description", 3), ("y", "features", 1), ("y", "features", 2)]
+    assert got["c"]["preference_score"] == pytest.approx((0.5 + 0.0) / 2)
+    scored = preference.with_preference(listings, preference.preference_scores(listings, records, segments, {"x": [1.0, 0.0]}), F.lit(0.25)).collect()
+    assert {r["listing_id"]: r["preference_score"] for r in scored}["b2"] == 0.25
+    assert {r["preference_score"] for r in preference.preference_scores(listings, records, segments, {}).collect()} == {0.0}

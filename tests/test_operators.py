@@ -19,6 +19,9 @@ def test_constraint_algebra():
     assert c.derived({"max_rent": 1.0}, reset=True).locations == ()
     assert c.merged({"locations": ("oval",)}, append_locations=True).locations == ("waterloo", "oval")
     assert c.merged({"layouts": (Layout(bedrooms=2, max_rent=2000.0),)}).max_rent == 2000.0
+    three = Constraints(layouts=(Layout(bedrooms=2, bathrooms=1.0), Layout(bedrooms=2), Layout(tag="studio", property_type="flat")))
+    assert three.merged({}, remove_layouts=(Layout(bedrooms=2),)).layouts == (Layout(tag="studio", property_type="flat"),)
+    assert three.merged({"layouts": (Layout(bedrooms=3),)}, append_layouts=True, remove_layouts=(Layout(bathrooms=1.0), Layout(property_type="flat"))).layouts == (Layout(bedrooms=2), Layout(bedrooms=3))
     a = Constraints(layouts=(Layout(bedrooms=1), Layout(bedrooms=2)), max_rent=2000, k=5)
     b = Constraints(layouts=(Layout(bedrooms=2), Layout(bedrooms=1)), max_rent=2000.0, k=9)
     assert a.hash() == b.hash() != c.hash()
