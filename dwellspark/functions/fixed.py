@@ -287,3 +287,25 @@ MONTHS = r"(?:jan|feb|mar|apr|may|jun|jul|aug|sep|sept|oct|nov|dec)[a-z]*"
 
 # Weights of a side table's fields.
 SEGMENT_WEIGHTS = {"features": 0.80, "description": 0.60}
+
+# How requests name where somebody works or travels, what ends such a name, list marks, and terms that amenities cover.
+DESTINATION_END = r"(?:\s*[,.]|\s+and\s+|\s+under\s+|\s+below\s+|\s+max\s+|\s+budget|\s+for\s+|\s+with\s+|\s*$)"
+DESTINATIONS = (
+    r"\b(?:i\s+)?work\s+(?:at|near|in|around|by|close\s+to)\s+(.+?)" + DESTINATION_END,
+    r"\bcommut(?:e|ing)\s+to\s+(.+?)" + DESTINATION_END,
+    r"\boffice\s+(?:at|near|in|around)\s+(.+?)" + DESTINATION_END,
+    r"\btravel(?:ling)?\s+to\s+(.+?)(?:\s+(?:every|daily|for work))(?:\s*[,.]|\s*$)",
+)
+LIST_MARK = r"^[\-–•]\s*"
+SKIPPED_FEATURES = ("ask agent", "n/a", "none", "")
+COVERED_TERMS = {
+    "pets_allowed": r"\bpets?\b|pet.?friendly",
+    "garden": r"\bgarden\b",
+    "parking": r"\bparking\b|\bgarage\b|\bdriveway\b",
+    "bills_included": r"\bbills?\b",
+    "student_friendly": r"\bstudent",
+    "families_allowed": r"\bfamil",
+    "smokers_allowed": r"\bsmok",
+    "dss_accepted": r"\bdss\b|\bhousing.benefit\b|\buniversal.credit\b",
+}
+DAYS_LATER = 14

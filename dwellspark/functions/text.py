@@ -137,6 +137,19 @@ def jsonish_items(c: Column) -> Column:
     )
 
 
+def without_note(c: Column) -> Column:
+    """A name without a note in brackets at its end."""
+    return F.trim(F.regexp_replace(safe_text(c), r"\s*\([^)]*\)\s*$", ""))
+
+
+def feature_list(c: Column) -> Column:
+    """Features of a JSON list, or of lines and parts between semicolons, without list marks and words that say nothing."""
+    parts = lambda s: F.coalesce(F.when(s.startswith("["), F.from_json(s, "array<string>")), F.split(s, "[;\n]"))
+    clean = lambda x: F.trim(F.regexp_replace(F.trim(x), X.LIST_MARK, ""))
+    kept = F.filter(F.transform(let(F.trim(F.coalesce(c, F.lit(""))), parts), clean), lambda x: ~F.lower(x).isin(*X.SKIPPED_FEATURES))
+    return F.coalesce(kept, F.array().cast("array<string>"))
+
+
 def words(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
 

@@ -7,10 +7,13 @@ import json
 from collections import OrderedDict
 from collections.abc import Mapping
 from dataclasses import asdict, dataclass, field, fields, replace
+from datetime import date, timedelta
 from typing import Any
 
 from pyspark.sql import DataFrame
 
+from ..functions.fixed import DAYS_LATER
+
 DEFAULT_K = 5
 
 
@@ -96,7 +99,12 @@ class Constraints:
         if name == "max_rent" and original.max_rent is not None:
             return replace(self, max_rent=original.max_rent * (1.15 if attempt == 0 else 1.25))
         if name == "min_size_sqm" and self.min_size_sqm is not None:
-            return replace(self, min_size_sqm=self.min_size_sqm * 0.9)
+            return replace(self, min_size_sqm=round(self.min_size_sqm * 0.9, 1))
+        if name == "available_from" and self.available_from:
+            try:  # a date that can't be read is dropped
+                return replace(self, available_from=(date.fromisoformat(self.available_from[:10]) + timedelta(days=DAYS_LATER)).isoformat())
+            except ValueError:
+                pass
         return self.cleared(name)
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,25 +12,61 @@ from ..functions.geo import haversine_m
 LAT_STEP, LNG_STEP = 0.0001, 0.0002
 
 
-def spatial_pairs(a: DataFrame, b: DataFrame, *, lat: str = "latitude", lng: str = "longitude", price_limit: float = fixed.MATCH_PRICE, metres: float = fixed.MATCH_METRES, key: str = "listing_id") -> DataFrame:
-    """Pairs (a_key, b_key, metres) within ``metres`` whose bedrooms and prices don't disagree; unknown values agree.
+PLACE = ["lat", "lng", "beds", "price"]
+
+
+def _side(df: DataFrame, lat: str, lng: str, key: str) -> DataFrame:
+    return df.filter(F.col(lat).isNotNull() & F.col(lng).isNotNull()).select(
+        F.col(key).alias("key"), F.col(lat).cast("double").alias("lat"), F.col(lng).cast("double").alias("lng"), text.to_float(F.col("bedrooms")).cast("int").alias("beds"), text.to_float(F.col("price_pcm")).alias("price")
+    )
+
+
+def _near(a: DataFrame, b: DataFrame, price_limit: float, metres: float) -> DataFrame:
+    """Rows of a and b (lat, lng, beds, price and others) that match: columns of a under ``a_``, of b under ``b_``, and ``metres``.
 
     Each b row is put into its cell and the eight around it, so that the join is an equality
-    on cells (a crowded cell is split by Spark like any skewed key); the exact distance is
-    computed on the pairs of a cell only.
+    on cells; the exact distance is computed on the pairs of a cell only.
     """
-    side = lambda df, p: df.filter(F.col(lat).isNotNull() & F.col(lng).isNotNull()).select(
-        F.col(key).alias(f"{p}_key"), F.col(lat).cast("double").alias(f"{p}_lat"), F.col(lng).cast("double").alias(f"{p}_lng"), text.to_float(F.col("bedrooms")).cast("int").alias(f"{p}_beds"), text.to_float(F.col("price_pcm")).alias(f"{p}_price")
-    )
+    named = lambda df, p: df.toDF(*(f"{p}_{c}" for c in df.columns))
     cell = lambda p: (F.floor(F.col(f"{p}_lat") / LAT_STEP), F.floor(F.col(f"{p}_lng") / LNG_STEP))
-    left = side(a, "a").withColumns(dict(zip(("y", "x"), cell("a"), strict=True)))
-    right = side(b, "b")
+    left = named(a, "a").withColumns(dict(zip(("y", "x"), cell("a"), strict=True)))
+    right = named(b, "b")
     for name, c in zip(("y", "x"), cell("b"), strict=True):
         right = right.withColumn(name, F.explode(F.array(c - 1, c, c + 1)))
     metres_apart = haversine_m(F.col("a_lat"), F.col("a_lng"), F.col("b_lat"), F.col("b_lng"))
     beds = F.coalesce(F.col("a_beds") == F.col("b_beds"), F.lit(True))
     price = F.coalesce(F.abs(F.col("a_price") - F.nullif(F.col("b_price"), F.lit(0.0))) <= price_limit, F.lit(True))
-    return left.join(right, ["y", "x"]).filter(beds & price & (metres_apart <= metres)).select("a_key", "b_key", metres_apart.alias("metres"))
+    return left.join(right, ["y", "x"]).filter(beds & price & (metres_apart <= metres)).drop("y", "x").withColumn("metres", metres_apart)
+
+
+def spatial_pairs(a: DataFrame, b: DataFrame, *, lat: str = "latitude", lng: str = "longitude", price_limit: float = fixed.MATCH_PRICE, metres: float = fixed.MATCH_METRES, key: str = "listing_id") -> DataFrame:
+    """Pairs (a_key, b_key, metres) within ``metres`` whose bedrooms and prices don't disagree; unknown values agree."""
+    return _near(_side(a, lat, lng, key), _side(b, lat, lng, key), price_limit, metres).select("a_key", "b_key", "metres")
+
+
+def _keyed(df: DataFrame) -> DataFrame:
+    """Rows under one text of their place, bedrooms and price, nulls included."""
+    return df.withColumn("spot", F.to_json(F.struct(*PLACE), {"ignoreNullFields": "false"}))
+
+
+def first_matches(a: DataFrame, b: DataFrame, *, lat: str = "latitude", lng: str = "longitude", price_limit: float = fixed.MATCH_PRICE, metres: float = fixed.MATCH_METRES, key: str = "listing_id") -> DataFrame:
+    """a_key, b_key: each a row's first b row by key, as ``first_match`` of all pairs gives it.
+
+    Rows of one place, number of bedrooms and price match alike, so only such spots are
+    paired, each with its smallest b key: a block of many like flats is a row on either side.
+    """
+    left, right = _keyed(_side(a, lat, lng, key)), _side(b, lat, lng, key).groupBy(*PLACE).agg(F.min("key").alias("key"))
+    spots = left.groupBy("spot").agg(*(F.first(c).alias(c) for c in PLACE))
+    best = _near(spots, right, price_limit, metres).groupBy(F.col("a_spot").alias("spot")).agg(F.min("b_key").alias("b_key"))
+    return left.select(F.col("key").alias("a_key"), "spot").join(best, "spot").select("a_key", "b_key")
+
+
+def unmatched(a: DataFrame, b: DataFrame, *, lat: str = "latitude", lng: str = "longitude", price_limit: float = fixed.MATCH_PRICE, metres: float = fixed.MATCH_METRES, key: str = "listing_id") -> DataFrame:
+    """Rows of b that match no a row, by their spots."""
+    right = _keyed(_side(b, lat, lng, key))
+    spots = right.groupBy("spot").agg(*(F.first(c).alias(c) for c in PLACE))
+    met = _near(_side(a, lat, lng, key).select(*PLACE).distinct(), spots, price_limit, metres).select(F.col("b_spot").alias("spot")).distinct()
+    return b.join(right.join(met, "spot").select(F.col("key").alias(key)).distinct(), key, "left_anti")
 
 
 def first_match(pairs: DataFrame, order: DataFrame | None = None) -> DataFrame:
@@ -149,7 +183,3 @@ def embed_text(columns: list[str]) -> Column:
     amenities = F.concat_ws(", ", *(F.when(F.col(f), label) for f, label in fixed.AMENITY_LABELS if f in columns))
     parts = [has("title"), has("address"), F.substring(has("description"), 1, 300), F.substring(has("features"), 1, 200), F.when(amenities != "", F.concat(F.lit("Amenities: "), amenities)), F.concat(F.lit("EPC rating "), has("epc_rating"))]
     return F.coalesce(F.nullif(F.concat_ws(" ", *parts), F.lit("")), F.lit("rental listing"))
-
-
-def all_of(*conditions: Column) -> Column:
-    return reduce(lambda x, y: x & y, conditions)

@@ -15,24 +15,25 @@ PRICE_LIMIT = 600.0
 CUTOFF = "2024-01-01T00:00:00"
 
 
-def _portals(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _portals(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     df = listings(spark, sf_dir)
-    a, b = df.filter("portal = 0"), df.filter("portal = 1")
-    return a, b, matching.spatial_pairs(a, b, lat="mlat", lng="mlon", price_limit=PRICE_LIMIT)
+    return df.filter("portal = 0"), df.filter("portal = 1")
+
+
+NEAR = {"lat": "mlat", "lng": "mlon", "price_limit": PRICE_LIMIT}
 
 
 def spatial_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.first_match(_portals(spark, sf_dir)[2])
+    return matching.first_matches(*_portals(spark, sf_dir), **NEAR)
 
 
 def spatial_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, b, pairs = _portals(spark, sf_dir)
-    return matching.without_duplicates(b, pairs).select("listing_id")
+    return matching.unmatched(*_portals(spark, sf_dir), **NEAR).select("listing_id")
 
 
 def merge_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b, pairs = _portals(spark, sf_dir)
-    merged = matching.merge_records(a, b, matching.first_match(pairs))
+    a, b = _portals(spark, sf_dir)
+    merged = matching.merge_records(a, b, matching.first_matches(a, b, **NEAR))
     return merged.select("listing_id", "source_site", "other_id", "pets_allowed", "garden", "bills_included", "epc_rating", "deposit", "min_tenancy", "furnish_type", "features", "description")
 
 

@@ -153,10 +153,27 @@ def layout_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.join(asked.union(gone), "said").select("conv_id", "turn", "removed", "place", "l.bedrooms", "l.bathrooms", "l.property_type", "l.layout_tag", F.round("l.max_rent_pcm", 4).alias("rent"))
 
 
+def commute_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log in which every turn names, in one of five ways, a place by its own first word; and where it says to travel to."""
+    word = F.regexp_extract("text", "[A-Za-z]+", 0)
+    forms = F.array(
+        F.concat(F.lit("I work at "), word, F.lit(", looking under 900")), F.concat(F.lit("Commuting to "), word, F.lit(" and back")), F.concat(F.lit("my office near  "), word, F.lit(" max 1200")),
+        F.concat(F.lit("travelling to "), word, F.lit(" daily.")), F.concat(F.lit("no plans for "), word),
+    )
+    log = _table(spark, sf_dir, "conversations").filter("conv_id is not null and turn is not null").select("conv_id", "turn", F.get(forms, ((F.col("conv_id") + F.col("turn")) % 5).cast("int")).alias("said"))
+    return log.select("conv_id", "turn", requests.commute_destination(F.col("said")).alias("destination"))
+
+
+def feature_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The listings' features as portals give them: lines, parts, or JSON."""
+    said = F.when(F.col("k") % 3 == 0, F.regexp_replace("features", ", ", ";")).when(F.col("k") % 3 == 1, F.concat(F.lit("- "), F.regexp_replace("features", ", ", "\n• "))).otherwise(F.to_json(F.split("features", ", ")))
+    return listings(spark, sf_dir).select("k", F.array_join(text.feature_list(said), "|").alias("features"), text.without_note(F.concat("title", F.lit(" ("), F.col("k"), F.lit(" mi)"))).alias("title"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        bool_signals, red_flags, synthetic_phrases, text_terms, chunks, bm25_topk, bm25_by_listing, jsonish_items, event_props, slug_tokens, normalised_types, page_titles, page_records, page_listings, fuzzy_alias, parse_constraints_batch, layout_parse,
+        bool_signals, red_flags, synthetic_phrases, text_terms, chunks, bm25_topk, bm25_by_listing, jsonish_items, event_props, slug_tokens, normalised_types, page_titles, page_records, page_listings, fuzzy_alias, parse_constraints_batch, layout_parse, commute_requests, feature_lists,
     )
 }
 
@@ -192,6 +209,9 @@ df as (select {by} term, count(*) as df from tf group by all),
 s as (select {cols}, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) as score
   from tf join len using ({key}) join df using ({by} term) {tot} group by all)"""
 ORACLES = {
+    "commute_requests": """with t as (select conv_id, turn, (conv_id + turn) % 5 as f, regexp_extract(text, '[A-Za-z]+') as w from conversations)
+        select conv_id, turn, case when f < 4 and length(w) > 1 then w end as destination from t""",
+    "feature_lists": WITH_LISTING + " select k, coalesce(replace(features, ', ', '|'), '') as features, title from listing",
     "layout_parse": """with t as (select conv_id, turn, (conv_id + turn) % 8 as f, (conv_id + turn) % 5 + 1 as a, turn % 3 + 1 as b, cast((conv_id * 37 + turn) % 2000 + 500 as double) as p, cast((conv_id * 11) % 900 + 1100 as double) as q from conversations),
         r as (
             select conv_id, turn, false as removed, 0 as place, a as beds, b as baths, null as kind, null as tag, p as rent from t where f in (0, 1) union all

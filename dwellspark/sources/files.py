@@ -45,11 +45,6 @@ def read_urls(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("url")).filter((F.col("url") != "") & ~F.col("url").startswith("#"))
 
 
-def write_partitioned(df: DataFrame, path: str, by: str) -> None:
-    """A restartable write: only the partitions at hand are replaced."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
-
-
 def append_log(df: DataFrame, path: str, limit: int = 320) -> None:
     """Audit rows as JSON lines, long texts cut."""
     cut = [F.when(F.length(c) > limit, F.concat(F.substring(c, 1, limit), F.lit("..."))).otherwise(F.col(c)).alias(c) if t == "string" else F.col(c) for c, t in df.dtypes]

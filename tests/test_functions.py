@@ -61,6 +61,16 @@ def values(spark, f, inputs, kind="string"):
             lambda c: F.size(requests.without_layouts(requests.layout_options(c), F.transform(requests.removed_layouts(F.lit("remove 2 bed")), lambda x: x))),
             {"2 bed 1 bath under 900, 3 bed, 2 bed": 1, "studio": 1, "": 0},
         ),
+        (
+            lambda c: requests.commute_destination(c),
+            {"I work at Oxford Circus, under 900": "Oxford Circus", "commuting to Bank and back": "Bank", "Travelling to Old Street daily": "Old Street", "office in x": None, "travel to Oval every day": None, "": None, "my work by King's Cross": "King's Cross"},
+        ),
+        (
+            lambda c: requests.uncovered(F.split(c, ","), F.create_map(F.lit("garden"), F.lit(True), F.lit("pets_allowed"), F.lit(False))),
+            {"Garden view,quiet,no pets,parking": ["quiet", "parking"], "petty": ["petty"]},
+        ),
+        (text.without_note, {"King's Cross St. Pancras (0.3 mi)": "King's Cross St. Pancras", "Oval": "Oval", "(x) Bank": "(x) Bank", "none": ""}),
+        (text.feature_list, {'["- Lift", "N/A", " Garden "]': ["Lift", "Garden"], "• Lift; – Porter\nask agent\n- x": ["Lift", "Porter", "x"], "[broken; Lift": ["[broken", "Lift"], "none": [], "": [], None: []}),
         (
             lambda c: requests.available_from(c).cast("string"),
             {"from april 3rd, 2026": "2026-04-03", "3 may 2026": "2026-05-03", "no later than 2026/01/05 or 04/02/2027": "2026-01-05", "starting: 5 sept, 2026": None, "05/02/26 then": "2026-02-05", "by june": None},

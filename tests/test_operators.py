@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from dwellspark.operators import filters, matching, ranking, sensitivity, sync
 from dwellspark.operators.constraints import Constraints, Layout, ResultCache
 from dwellspark.sources import files
-from dwellspark.streaming.ingest import upsert_batch
+from dwellspark.streaming.ingest import read_table, upsert_batch
 
 
 def test_constraint_algebra():
@@ -27,6 +27,9 @@ def test_constraint_algebra():
     assert a.hash() == b.hash() != c.hash()
     assert c.cheaper().max_rent == pytest.approx(2975.0) and c.cheaper(0.1).max_rent == 1750.0
     assert c.relaxed("max_rent", 1, c).max_rent == 4375.0 and c.relaxed("furnish_type", 0, c).furnish_type == ""
+    dated = Constraints(available_from="2024-02-20", min_size_sqm=41.0)
+    assert dated.relaxed("available_from", 0, dated).available_from == "2024-03-05" and dated.relaxed("min_size_sqm", 0, dated).min_size_sqm == 36.9
+    assert Constraints(available_from="soon").relaxed("available_from", 0, dated).available_from is None
     assert set(c.changes(c.cheaper())) == {"max_rent"}
 
 
@@ -130,14 +133,39 @@ def test_files(spark, tmp_path):
     assert sorted(r[0] for r in files.read_urls(spark, f"file://{tmp_path}/u.txt").collect()) == ["http://a", "http://b"]
 
 
-def test_a_batch_that_runs_again_gives_the_same_version(spark, tmp_path):
-    sink = upsert_batch(f"file://{tmp_path}/t", "k", ["ts"], "ts > 0")
-    one = spark.createDataFrame([(1, 5, "a"), (1, 4, "b"), (2, 0, "c")], "k int, ts int, v string")
-    two = spark.createDataFrame([(1, 6, "d"), (3, 1, "e")], "k int, ts int, v string")
-    sink(one, 0)
-    for _ in range(2):
-        sink(two, 1)
-        assert sorted(map(tuple, spark.read.parquet(f"file://{tmp_path}/t/v=1").collect())) == [(1, 6, "d"), (3, 1, "e")]
+def test_spots_match_as_all_pairs_do(spark):
+    import random
+
+    rng = random.Random(6)
+    def some(n, p):
+        return spark.createDataFrame([(f"{p}{i:03}", 51.5 + rng.randint(0, 6) * 0.00004 if i % 9 else None, -0.1 + rng.randint(0, 4) * 0.00007, rng.choice(["1", "2", None]), rng.choice([900.0, 1000.0, None])) for i in range(n)], "listing_id string, latitude double, longitude double, bedrooms string, price_pcm double")
+
+    a, b = some(60, "a"), some(80, "b")
+    pairs = matching.spatial_pairs(a, b, price_limit=50.0)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(matching.first_matches(a, b, price_limit=50.0)) == rows(matching.first_match(pairs)) != []
+    assert rows(matching.unmatched(a, b, price_limit=50.0).select("listing_id")) == rows(matching.without_duplicates(b, pairs).select("listing_id")) != []
+
+
+def test_a_batch_that_runs_again_gives_the_same_table(spark, tmp_path):
+    table = f"file://{tmp_path}/t"
+    sink = upsert_batch(table, "k", ["ts"], "ts > 0", buckets=4)
+    batches = [[(k, 5, "a") for k in range(20)] + [(1, 4, "b"), (2, 0, "c")], [(1, 6, "d"), (30, 1, "e")], [], [(1, 5, "late"), (31, 2, "f")], [(1, 9, "g")]]
+    known: dict[int, tuple] = {}
+    for number, rows in enumerate(batches):
+        df = spark.createDataFrame(rows, "k int, ts int, v string")
+        for r in rows:
+            if r[1] > 0 and (r[0] not in known or known[r[0]][1] < r[1]):
+                known[r[0]] = r
+        for _ in range(2):
+            sink(df, number)
+            assert sorted(map(tuple, read_table(spark, table, number, df.schema).collect())) == sorted(known.values())
+    left = [(v.name, b.name) for v in (tmp_path / "t/rows").iterdir() for b in v.iterdir() if b.name.startswith("bucket")]
+    assert ("v=0", "bucket") not in left and len(left) <= 4 + 1, "replaced buckets go"
+    assert read_table(spark, table, 4, df.schema, "ts > 5").count() == 1
+    nothing = upsert_batch(f"{table}-none", "k", ["ts"], "ts > 0")
+    nothing(df.limit(0), 0)
+    assert read_table(spark, f"{table}-none", 0, df.schema).count() == 0
 
 
 def test_fallback_to_a_place(spark):
