@@ -68,7 +68,7 @@ def edits_of_pairs(a: Sequence[str], b: Sequence[str]) -> np.ndarray:
 
     x, y = spelt(a), spelt(b)
     x_size, y_size = np.array([*map(len, a)]), np.array([*map(len, b)])
-    places = np.arange(y.shape[1] + 1)
+    places = np.arange(y.shape[1] + 1, dtype=np.int32)
     last = np.repeat(places[None], len(a), axis=0)
     before, out = last, last[np.arange(len(a)), y_size]
     for i in range(x.shape[1]):
@@ -77,7 +77,7 @@ def edits_of_pairs(a: Sequence[str], b: Sequence[str]) -> np.ndarray:
         if i:
             swapped = (letter == y[:, :-1]) & (x[:, i - 1 : i] == y[:, 1:])
             row[:, 1:] = np.where(swapped, np.minimum(row[:, 1:], before[:, :-2] + 1), row[:, 1:])
-        row = np.concatenate([np.full((len(a), 1), i + 1), row], axis=1)
+        row = np.concatenate([np.full((len(a), 1), i + 1, np.int32), row], axis=1)
         before, last = last, np.minimum.accumulate(row - places, axis=1) + places
         out = np.where(x_size == i + 1, last[np.arange(len(a)), y_size], out)
     return out
@@ -110,10 +110,20 @@ def alias_score(q: str, name: str) -> float:
     return max(scores, default=0.0)
 
 
+def least_edits(a: Sequence[str], b: Sequence[str]) -> np.ndarray:
+    """A lower bound of ``edits``: the letters that one text has and the other hasn't, whichever are more."""
+    rows = np.repeat(np.arange(2 * len(a)), [*map(len, a), *map(len, b)])
+    letters = np.frombuffer("".join([*a, *b]).encode("utf-32-le"), np.int32) % 64  # letters that fall together only lower the bound
+    counts = np.bincount(rows * 64 + letters, minlength=128 * len(a)).reshape(2, len(a), 64)
+    more = counts[0] - counts[1]
+    return np.maximum(np.where(more > 0, more, 0).sum(axis=1), np.where(more < 0, -more, 0).sum(axis=1))
+
+
 def alias_scores(queries: Sequence[str], names: Sequence[str]) -> np.ndarray:
-    """``alias_score`` of many pairs at once."""
+    """``alias_score`` of many pairs at once. Windows whose letters alone differ too much aren't compared."""
     out = np.zeros(len(queries))
     pairs: list[tuple[int, str, str]] = []
+    allowed = np.zeros(len(queries))
     for i, (q, name) in enumerate(zip(queries, names, strict=True)):
         if not q or not name:
             continue
@@ -121,14 +131,18 @@ def alias_scores(queries: Sequence[str], names: Sequence[str]) -> np.ndarray:
             out[i] = 0.88 + 0.10 * (min(len(q), len(name)) / max(len(q), len(name)))
         if 3 <= len(q) <= 8:
             out[i] = max(out[i], subsequence(q, name))
+        allowed[i] = allowed_edits(max(len(q), min(len(name), len(q) + 1))) / len(q)
         pairs += [(i, q, w) for w in windows(len(q), name)]
-    like = np.zeros(len(queries))
+    like = np.full(len(queries), -1.0)
     for a in range(0, len(pairs), 20_000):
-        at, q, w = zip(*pairs[a : a + 20_000], strict=True)
+        at, q, w = (np.array(c, object) for c in zip(*pairs[a : a + 20_000], strict=True))
+        at = at.astype(np.int64)
         longest = np.array([max(len(x), len(y), 1) for x, y in zip(q, w, strict=True)])
-        np.maximum.at(like, np.array(at), 1.0 - edits_of_pairs(q, w) / longest)
-    for i, (q, name) in enumerate(zip(queries, names, strict=True)):
-        if q and name and like[i] >= 1.0 - allowed_edits(max(len(q), min(len(name), len(q) + 1))) / len(q):
+        near = least_edits(q.tolist(), w.tolist()) <= allowed[at] * longest + 1e-9
+        np.maximum.at(like, at[near], 1.0 - edits_of_pairs(q[near].tolist(), w[near].tolist()) / longest[near])
+    for i in np.flatnonzero(like >= 0.0).tolist():
+        q, name = queries[i], names[i]
+        if like[i] >= 1.0 - allowed[i]:
             out[i] = max(out[i], 0.68 + 0.20 * like[i] + 0.12 * (min(len(q), len(name)) / max(len(q), len(name))))
     return out
 

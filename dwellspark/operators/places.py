@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType
 
 from ..functions import fixed, fuzzy, text
-from ..session import ship_package
+from ..session import kept, ship_package
 
 #: Letters of the runs that texts are found by.
 GRAM = 3
@@ -176,6 +176,11 @@ def near_candidates(typed: DataFrame, names: DataFrame) -> DataFrame:
     return either_holds(typed, names).union(edited).union(abbreviated).distinct()
 
 
+def _spread(pairs: DataFrame) -> DataFrame:
+    """Pairs are few bytes but much work each, so they aren't left in as few tasks as their size asks for."""
+    return pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 @F.pandas_udf(DoubleType())
 def _score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for a, b in batches:
@@ -187,7 +192,8 @@ def best_aliases(typed: DataFrame, index: DataFrame, *, limit: int = 8, least: f
 
     An alias that equals the name, its slug or its compact form stands alone (with others that do),
     and has the score 1; else containment, few edits and abbreviation give scores of ``least`` (0.80
-    at least) and more.  Ties go to the shorter, then the smaller alias.
+    at least) and more.  Ties go to the shorter, then the smaller alias.  What is typed is kept
+    in between, as several joins read it.
     """
     if least < 0.80:
         raise ValueError("candidates are whole for scores from 0.80 on")
@@ -195,10 +201,11 @@ def best_aliases(typed: DataFrame, index: DataFrame, *, limit: int = 8, least: f
     names = typed.select("typed", typed_name(F.col("typed")).alias("plain")).filter("plain <> ''").distinct().withColumns({"slug": text.slug(F.col("plain")), "compact": text.compact(F.col("plain"))})
     keys = names.select("typed", F.explode(F.array(*(F.struct(F.lit(i).alias("family"), F.col(c).alias("key")) for i, c in enumerate(("plain", "slug", "compact"))))).alias("k")).select("typed", "k.*")
     exact = keys.join(lookups(index), ["family", "key"]).groupBy("typed", "alias").agg(F.min("family").alias("family")).select("typed", "alias", F.lit(1.0).alias("score"), "family")
-    left = names.join(exact.select("typed").distinct(), "typed", "left_anti")
+    exact = kept(exact, "exact")
+    left = kept(names.join(exact.select("typed").distinct(), "typed", "left_anti"), "typed")
     words = left.select(F.col("compact").alias("typed")).filter("typed <> ''").distinct()
     compacts = index.select(F.col("compact").alias("name")).filter("name <> ''").distinct()
-    scored = near_candidates(words, compacts).withColumn("score", _score("typed", "name")).filter(F.col("score") >= least)
+    scored = _spread(near_candidates(words, compacts)).withColumn("score", _score("typed", "name")).filter(F.col("score") >= least)
     found = left.select("typed", F.col("compact").alias("word")).join(scored.withColumnsRenamed({"typed": "word", "name": "compact"}), "word").join(index.select("compact", "alias").distinct(), "compact")
     near = found.select("typed", "alias", "score", F.lit(0).alias("family"))
     order = Window.partitionBy("typed").orderBy(F.desc("score"), "family", F.when(F.col("score") < 1.0, F.length("alias")), "alias")
@@ -237,7 +244,7 @@ def few_edits(typed: DataFrame, names: DataFrame) -> DataFrame:
     longest = F.greatest(F.lit(1), F.least(F.lit(3), F.floor((F.length("name") + 3) / 4)))
     met = _forms(typed, "typed", edits_allowed(F.col("typed"))).join(_forms(names, "name", longest), "form").select("typed", "name").distinct()
     close = met.filter(F.abs(F.length("typed") - F.length("name")) <= edits_allowed(F.col("typed")))
-    return close.withColumn("edits", _edits("typed", "name")).filter(F.col("edits") <= edits_allowed(F.col("typed")))
+    return _spread(close).withColumn("edits", _edits("typed", "name")).filter(F.col("edits") <= edits_allowed(F.col("typed")))
 
 
 def station_keys(stations: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as X
 from ..operators import places
+from ..session import kept
 from ..sources import pages as P
 
 #: Links of a page count from its number times this.
@@ -57,7 +58,7 @@ def location_region(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def alias_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best aliases of titles for the openings of turns."""
-    found = places.best_aliases(openings(spark, sf_dir), places.alias_index(titles(spark, sf_dir)))
+    found = places.best_aliases(openings(spark, sf_dir), kept(places.alias_index(titles(spark, sf_dir)), "index"))
     return found.select("typed", "rank", "alias", F.round("score", 6).alias("score"))
 
 
