@@ -125,6 +125,25 @@ def parse_constraints_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", "bedrooms", "bathrooms", F.round("max_rent_pcm", 4).alias("rent"), "min_tenancy_months", "available_from", "furnish_type", "property_type", "let_type", F.size("bool_preferences").alias("n_bools"), "mode", F.array_join("clears", ",").alias("clears"))
 
 
+def requests_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log of one request for each turn, in six forms, its numbers taken from the turn; equal requests are read once."""
+    c = F.col
+    n, p = c("conv_id") + c("turn"), (c("conv_id") * 37 + c("turn")) % 2000 + 500
+    say = lambda form, *values: F.format_string(form, *(v.cast("long") for v in values))
+    forms = (
+        say("%d bed furnished flat under £%,d for %d months, pets ok", n % 5 + 1, p, n % 18 + 1),
+        say("Studio, £%d pw, long term, no smoking, available 2026-03-%02d", p, n % 28 + 1),
+        say("unfurnished house with %d bedrooms and a garden, max %d pcm, one year", n % 5 + 1, p),
+        F.lit("also parking or a garage; any budget"),
+        say("New search: %db%db part-furnished near students", n % 4 + 1, n % 3 + 1),
+        F.lit("no pets, bills included, short let"),
+    )
+    log = _table(spark, sf_dir, "conversations").filter("conv_id is not null and turn is not null").select("conv_id", "turn", F.get(F.array(*forms), (n % 6).cast("int")).alias("said"))
+    out = log.join(requests.parse_texts(log.select("said").distinct(), "said"), "said")
+    wanted = F.array_join(F.array_sort(F.transform(F.map_entries("bool_preferences"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))), ",")
+    return out.select("conv_id", "turn", "bedrooms", "bathrooms", F.round("max_rent_pcm", 4).alias("rent"), "min_tenancy_months", F.col("available_from").cast("string").alias("available"), "furnish_type", "property_type", "let_type", "mode", F.array_join("clears", ",").alias("clears"), wanted.alias("wanted"))
+
+
 def layout_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conv_id, turn, said: a request of one of eight forms for each turn, its numbers taken from the turn."""
     c = F.col
@@ -173,7 +192,7 @@ def feature_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        bool_signals, red_flags, synthetic_phrases, text_terms, chunks, bm25_topk, bm25_by_listing, jsonish_items, event_props, slug_tokens, normalised_types, page_titles, page_records, page_listings, fuzzy_alias, parse_constraints_batch, layout_parse, commute_requests, feature_lists,
+        bool_signals, red_flags, synthetic_phrases, text_terms, chunks, bm25_topk, bm25_by_listing, jsonish_items, event_props, slug_tokens, normalised_types, page_titles, page_records, page_listings, fuzzy_alias, parse_constraints_batch, requests_parse, layout_parse, commute_requests, feature_lists,
     )
 }
 
@@ -209,6 +228,13 @@ df as (select {by} term, count(*) as df from tf group by all),
 s as (select {cols}, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) as score
   from tf join len using ({key}) join df using ({by} term) {tot} group by all)"""
 ORACLES = {
+    "requests_parse": """with t as (select conv_id, turn, conv_id + turn as n, (conv_id + turn) % 6 as f, cast((conv_id * 37 + turn) % 2000 + 500 as double) as p from conversations)
+        select conv_id, turn, cast(case f when 0 then n % 5 + 1 when 1 then 0 when 2 then n % 5 + 1 when 4 then n % 4 + 1 end as int) as bedrooms, cast(case f when 4 then n % 3 + 1 end as double) as bathrooms,
+          round(case f when 0 then p when 1 then p * 52.0 / 12.0 when 2 then p end, 4) as rent, cast(case f when 0 then n % 18 + 1 when 2 then 12 end as double) as min_tenancy_months,
+          case f when 1 then concat('2026-03-', lpad(cast(n % 28 + 1 as varchar), 2, '0')) end as available, case f when 0 then 'furnished' when 2 then 'unfurnished' when 4 then 'part-furnished' end as furnish_type,
+          case f when 0 then 'flat' when 2 then 'house' end as property_type, case f when 1 then 'long term' when 5 then 'short term' end as let_type,
+          case f when 3 then 'append' when 4 then 'replace_all' else 'replace' end as mode, case f when 3 then 'budget' else '' end as clears,
+          case f when 0 then 'pets_allowed=true' when 1 then 'smokers_allowed=false' when 2 then 'garden=true' when 3 then 'parking=true' when 4 then 'student_friendly=true' else 'bills_included=true,pets_allowed=false' end as wanted from t""",
     "commute_requests": """with t as (select conv_id, turn, (conv_id + turn) % 5 as f, regexp_extract(text, '[A-Za-z]+') as w from conversations)
         select conv_id, turn, case when f < 4 and length(w) > 1 then w end as destination from t""",
     "feature_lists": WITH_LISTING + " select k, coalesce(replace(features, ', ', '|'), '') as features, title from listing",
