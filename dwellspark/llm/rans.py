@@ -163,7 +163,7 @@ def token_table(docs: DataFrame, tokenizer: str, *, end_id: int = END_ID, doc_id
 
     kind = dict(docs.dtypes)[doc_id]
     texts = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    return map_batches(texts, run, f"doc_id {kind}, n long, width int, ids binary")
+    return map_batches(texts, run, f"doc_id {kind}, n long, width int, ids binary", bounded=False)
 
 
 def _count_symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,7 +221,7 @@ def _encode_blocks(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
 def write_tokens(tokens: DataFrame, path: str) -> None:
     """Write ``tokens`` (as of ``token_table``; read three times, so give a stored one) in ascending doc_id order."""
     spark = tokens.sparkSession
-    counts = map_batches(tokens, _count_symbols, "symbol long, count long").groupBy("symbol").agg(F.sum("count").alias("count"))
+    counts = map_batches(tokens, _count_symbols, "symbol long, count long", bounded=False).groupBy("symbol").agg(F.sum("count").alias("count"))
     rows = counts.collect()  # at most the vocabulary
     table = np.zeros(max([r["symbol"] for r in rows], default=-1) + 1, np.int64)
     for r in rows:
@@ -232,7 +232,7 @@ def write_tokens(tokens: DataFrame, path: str) -> None:
     kind = dict(tokens.dtypes)["doc_id"]
     # by length and content too, so that very many rows of one id, or of none, don't fall to one file
     ordered = tokens.withColumn("content", F.xxhash64("ids")).repartitionByRange(files, "doc_id", "n", "content").sortWithinPartitions("doc_id", "n", "content")
-    map_batches(ordered.select("doc_id", "width", "ids"), _encode_blocks(spark.sparkContext.broadcast(frequencies)), BLOCKS.format(kind=kind)).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    map_batches(ordered.select("doc_id", "width", "ids"), _encode_blocks(spark.sparkContext.broadcast(frequencies)), BLOCKS.format(kind=kind), bounded=False).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
 
 
 def _read_blocks(shared, with_ids: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -304,7 +304,7 @@ def read_tokens(spark: SparkSession, path: str, *, with_ids: bool = False, only:
     base = files.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     kind = dict(blocks.dtypes)["doc_ids"].removeprefix("array<").removesuffix(">")
     schema = f"doc_id {kind}, start long, n_tokens long, ids_crc32 long, part int" + (", ids array<int>" if with_ids else "")
-    parts = map_batches(blocks.filter(only).join(F.broadcast(base), "file"), _read_blocks(spark.sparkContext.broadcast(frequencies), with_ids), schema)
+    parts = map_batches(blocks.filter(only).join(F.broadcast(base), "file"), _read_blocks(spark.sparkContext.broadcast(frequencies), with_ids), schema, bounded=False)
     return parts
 
 

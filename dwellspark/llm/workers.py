@@ -53,8 +53,11 @@ def release_memory() -> None:
         pass
 
 
-def map_batches(df: DataFrame, run: Batches, schema: str | StructType) -> DataFrame:
-    """``df.mapInArrow``, with small batches, and freed memory given back after each partition."""
+def map_batches(df: DataFrame, run: Batches, schema: str | StructType, *, bounded: bool = True) -> DataFrame:
+    """``df.mapInArrow``, with small batches, and freed memory given back after each partition.
+
+    ``bounded`` gives large arrays back at once, for about a third more CPU time (measured in the pipeline's stages).
+    """
     ship_package(df.sparkSession)
     conf = df.sparkSession.conf
     for name, (own, sparks) in BATCH.items():
@@ -62,7 +65,8 @@ def map_batches(df: DataFrame, run: Batches, schema: str | StructType) -> DataFr
             conf.set(name, own)
 
     def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bound_memory()
+        if bounded:
+            bound_memory()
         yield from run(batches)
         wordhash.forget_powers()
         release_memory()
