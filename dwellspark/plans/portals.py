@@ -14,9 +14,9 @@ from .listing import WITH_LISTING, listings
 
 
 def page_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every raw page as a tree: its elements and items, its heading, the texts of its items."""
+    """Every raw page as a tree: its elements and items, its heading, the texts of its items. A reference that a cut left without its semicolon stays as it is."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html")
-    nodes = kept(E.elements(pages), "nodes")
+    nodes = kept(E.elements(pages, closed=True), "nodes")
     counts = nodes.groupBy("page_id").agg(F.count_if(~F.col("tag").startswith("#")).alias("n_elements"), F.count_if(F.col("tag") == "li").alias("n_items"))
     heads = E.with_texts(E.first_of(E.tags(nodes, "h1"), "page_id").select("page_id", "node", "last"), nodes, "page_id").select("page_id", F.array_join("texts", "").alias("heading"))
     said = E.with_texts(E.tags(nodes, "li").select("page_id", "node", "last"), nodes, "page_id").select("page_id", "node", F.array_join("texts", "").alias("t"))
