@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import fixed, signals, text
 from ..functions.geo import haversine_m
+from ..session import kept
 
 #: Cells of the grid, in degrees: a little over MATCH_METRES to each side anywhere between 60 degrees south and north.
 LAT_STEP, LNG_STEP = 0.0001, 0.0002
+#: Rows of a cell that a spot is held against at first, and how many times more each round.
+TRIES = 16
 
 
 PLACE = ["lat", "lng", "beds", "price"]
@@ -21,22 +27,55 @@ def _side(df: DataFrame, lat: str, lng: str, key: str) -> DataFrame:
     )
 
 
-def _near(a: DataFrame, b: DataFrame, price_limit: float, metres: float) -> DataFrame:
-    """Rows of a and b (lat, lng, beds, price and others) that match: columns of a under ``a_``, of b under ``b_``, and ``metres``.
-
-    Each b row is put into its cell and the eight around it, so that the join is an equality
-    on cells; the exact distance is computed on the pairs of a cell only.
-    """
+def _celled(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """a's rows under ``a_`` with their cell (y, x), and b's under ``b_``, each in its cell and the eight around it, so that a join is an equality on cells."""
     named = lambda df, p: df.toDF(*(f"{p}_{c}" for c in df.columns))
     cell = lambda p: (F.floor(F.col(f"{p}_lat") / LAT_STEP), F.floor(F.col(f"{p}_lng") / LNG_STEP))
     left = named(a, "a").withColumns(dict(zip(("y", "x"), cell("a"), strict=True)))
     right = named(b, "b")
     for name, c in zip(("y", "x"), cell("b"), strict=True):
         right = right.withColumn(name, F.explode(F.array(c - 1, c, c + 1)))
-    metres_apart = haversine_m(F.col("a_lat"), F.col("a_lng"), F.col("b_lat"), F.col("b_lng"))
-    beds = F.coalesce(F.col("a_beds") == F.col("b_beds"), F.lit(True))
-    price = F.coalesce(F.abs(F.col("a_price") - F.nullif(F.col("b_price"), F.lit(0.0))) <= price_limit, F.lit(True))
-    return left.join(right, ["y", "x"]).filter(beds & price & (metres_apart <= metres)).drop("y", "x").withColumn("metres", metres_apart)
+    return left, right
+
+
+def _fits(price_limit: float, metres: float, a: str = "a", b: str = "b") -> tuple[Column, Column]:
+    """Whether a pair of a cell matches, and its distance; ``a`` and ``b`` are the prefixes of the sides."""
+    apart = haversine_m(F.col(f"{a}_lat"), F.col(f"{a}_lng"), F.col(f"{b}_lat"), F.col(f"{b}_lng"))
+    beds = F.coalesce(F.col(f"{a}_beds") == F.col(f"{b}_beds"), F.lit(True))
+    price = F.coalesce(F.abs(F.col(f"{a}_price") - F.nullif(F.col(f"{b}_price"), F.lit(0.0))) <= price_limit, F.lit(True))
+    return beds & price & (apart <= metres), apart
+
+
+def _near(a: DataFrame, b: DataFrame, price_limit: float, metres: float) -> DataFrame:
+    """Rows of a and b (lat, lng, beds, price and others) that match: columns of a under ``a_``, of b under ``b_``, and ``metres``."""
+    left, right = _celled(a, b)
+    fits, apart = _fits(price_limit, metres)
+    return left.join(right, ["y", "x"]).filter(fits).drop("y", "x").withColumn("metres", apart)
+
+
+def _first_near(a: DataFrame, b: DataFrame, price_limit: float, metres: float, *, turned: bool = False) -> DataFrame:
+    """spot, key: for each spot of a (spot, lat, lng, beds, price) the smallest key of the b rows (lat, lng, beds, price, key) that match it.
+
+    The b rows of a cell have ranks by key.  A spot meets the first ``TRIES`` of its cell, and only
+    one that has found none meets the next ranks, ``TRIES`` times as many each round: where rows
+    stand close most spots soon find one, so pairs grow with the spots and not with all that
+    stands around them.  The last round ends with the last rank, so none is left out.  ``turned``:
+    a and b change places in what a match is (a price of nought is unknown on one side only).
+    """
+    left, right = _celled(a, b)
+    fits, _ = _fits(price_limit, metres, *("ba" if turned else "ab"))
+    open_ = kept(left, "spots")
+    ranked = kept(right.withColumn("rank", F.row_number().over(Window.partitionBy("y", "x").orderBy("b_key")) - 1), "ranked")
+    most = ranked.agg(F.max("rank")).first()[0]
+    found, low, high = [], 0, TRIES
+    while most is not None and low <= most:
+        near = open_.join(ranked.filter(F.col("rank").between(low, high - 1)), ["y", "x"]).filter(fits)
+        found.append(kept(near.groupBy("a_spot").agg(F.min("b_key").alias("key")), "first"))
+        low, high = high, high * TRIES
+        if low <= most:
+            open_ = kept(open_.join(found[-1], "a_spot", "left_anti"), "spots")
+    none = a.sparkSession.createDataFrame([], T.StructType([T.StructField("spot", T.StringType()), T.StructField("key", b.schema["key"].dataType)]))
+    return reduce(DataFrame.union, [f.select(F.col("a_spot").alias("spot"), "key") for f in found], none)
 
 
 def spatial_pairs(a: DataFrame, b: DataFrame, *, lat: str = "latitude", lng: str = "longitude", price_limit: float = fixed.MATCH_PRICE, metres: float = fixed.MATCH_METRES, key: str = "listing_id") -> DataFrame:
@@ -57,7 +96,7 @@ def first_matches(a: DataFrame, b: DataFrame, *, lat: str = "latitude", lng: str
     """
     left, right = _keyed(_side(a, lat, lng, key)), _side(b, lat, lng, key).groupBy(*PLACE).agg(F.min("key").alias("key"))
     spots = left.groupBy("spot").agg(*(F.first(c).alias(c) for c in PLACE))
-    best = _near(spots, right, price_limit, metres).groupBy(F.col("a_spot").alias("spot")).agg(F.min("b_key").alias("b_key"))
+    best = _first_near(spots, right, price_limit, metres).withColumnRenamed("key", "b_key")
     return left.select(F.col("key").alias("a_key"), "spot").join(best, "spot").select("a_key", "b_key")
 
 
@@ -65,7 +104,8 @@ def unmatched(a: DataFrame, b: DataFrame, *, lat: str = "latitude", lng: str = "
     """Rows of b that match no a row, by their spots."""
     right = _keyed(_side(b, lat, lng, key))
     spots = right.groupBy("spot").agg(*(F.first(c).alias(c) for c in PLACE))
-    met = _near(_side(a, lat, lng, key).select(*PLACE).distinct(), spots, price_limit, metres).select(F.col("b_spot").alias("spot")).distinct()
+    others = _side(a, lat, lng, key).groupBy(*PLACE).agg(F.min("key").alias("key"))
+    met = _first_near(spots, others, price_limit, metres, turned=True).select("spot")
     return b.join(right.join(met, "spot").select(F.col("key").alias(key)).distinct(), key, "left_anti")
 
 
