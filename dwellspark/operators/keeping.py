@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -26,28 +27,27 @@ def write_chunks(df: DataFrame, path: str, chunk: Column) -> DataFrame:
     """Write ``df`` in chunks below ``path``, and return the manifest: chunk, rows.
 
     A chunk is finished once the manifest names it; finished ones are skipped, so only the rest
-    of the rows is computed.  Rows go first, each chunk's folder replaced as a whole, then the
-    manifest: a run that stops in between leaves a torn chunk, which the next run writes again.
+    of the rows is computed.  Rows go first, into a folder of the run's own, then the manifest,
+    which says in whose folder a chunk is: what a run that stops in between has left is never
+    read, and the next run writes it again.  Chunks are a column, not folders, so that a run's
+    files grow with its tasks and not with its chunks.
     """
     spark = df.sparkSession
     rows = df.withColumn("chunk", chunk.cast("long"))
     done = _read(spark, f"{path}/manifest")
     if done is not None:
         rows = rows.join(done.select("chunk"), "chunk", "left_anti")
-    rows.repartition("chunk").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chunk").parquet(f"{path}/rows")
-    there = _read(spark, f"{path}/rows")
-    if there is None:
-        return spark.createDataFrame([], "chunk long, rows long")
-    new = there.groupBy(F.col("chunk").cast("long").alias("chunk")).agg(F.count("*").alias("rows"))
-    if done is not None:
-        new = new.join(done.select("chunk"), "chunk", "left_anti")
+    run = uuid.uuid4().hex
+    rows.repartition("chunk").write.parquet(f"{path}/runs/run={run}")
+    there = spark.read.schema(rows.schema).parquet(f"{path}/runs/run={run}")
+    new = there.groupBy("chunk").agg(F.count("*").alias("rows"), F.lit(run).alias("run"))
     new.write.mode("append").parquet(f"{path}/manifest")
-    return spark.read.parquet(f"{path}/manifest")
+    return spark.read.schema(new.schema).parquet(f"{path}/manifest").select("chunk", "rows")
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     """The rows of finished chunks."""
-    return spark.read.parquet(f"{path}/rows").join(F.broadcast(spark.read.parquet(f"{path}/manifest").select("chunk")), "chunk", "left_semi")  # a row for each chunk
+    return spark.read.option("basePath", f"{path}/runs").parquet(f"{path}/runs").join(spark.read.parquet(f"{path}/manifest").select("chunk", "run"), ["chunk", "run"], "left_semi").drop("run")
 
 
 def embedded_once(texts: DataFrame, path: str, embed: Callable[[Column], Column], *, text: str = "text") -> tuple[DataFrame, int]:
