@@ -2,35 +2,108 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import fixed, text, vectors
+from ..session import ship_package
 from .places import either_holds
 from .retrieval import bm25
 
 
+#: Rows of a block of vectors, and of queries.
+BLOCK = 2048
+
+
+def _blocks(df: DataFrame, number: str, name: str, n: int) -> DataFrame:
+    """``df`` (key, vector, tokens) dealt to n blocks by a hash of its key, a row for each block: its number and its rows."""
+    return df.withColumn(number, F.pmod(F.xxhash64("key"), F.lit(n)).cast("int")).groupBy(number).agg(F.collect_list(F.struct("key", "vector", "tokens")).alias(name))
+
+
+def _matrix(lists: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors as rows, filled up with zeros, and their lengths; -1 for those that are null or hold a null."""
+    out, sizes = np.zeros((len(lists), width)), np.full(len(lists), -1)
+    if lists.null_count == 0 and lists.flatten().null_count == 0 and len(lists.flatten()) == out.size:
+        if (lists.value_lengths().to_numpy() == width).all():
+            return lists.flatten().to_numpy().astype(np.float64).reshape(out.shape), np.full(len(lists), width)
+    for i, x in enumerate(lists.to_pylist()):
+        if x is not None and None not in x:
+            out[i, : len(x)], sizes[i] = x, len(x)
+    return out, sizes
+
+
+def _wanted(asked: pa.Array, held: pa.Array) -> np.ndarray:
+    """Which queries (rows) want which rows: those that share a token, or all, for a query without tokens."""
+    names: dict[str, int] = {}
+    number = lambda lists: [[names.setdefault(t, len(names)) for t in x or []] for x in lists.to_pylist()]
+    left, right = number(asked), number(held)
+    out = np.zeros((len(left), len(right)), bool)
+    rows: dict[int, list[int]] = {}
+    for i, x in enumerate(right):
+        for t in set(x):
+            rows.setdefault(t, []).append(i)
+    for i, x in enumerate(left):
+        if not x:
+            out[i] = True
+        for t in set(x):
+            out[i, rows.get(t, [])] = True
+    return out
+
+
+def _best_of_blocks(n: int):
+    """The n best rows of each query in a pair of blocks.
+
+    Products of matrices leave out what can't be among them; the rest is added up in the vectors'
+    order, as a fold does.  Vectors of other lengths or with nulls have no score, and go last.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                asked, held = batch.column("asked")[i].values, batch.column("held")[i].values
+                width = max([*asked.field("vector").value_lengths().drop_null().to_pylist(), *held.field("vector").value_lengths().drop_null().to_pylist()], default=0)
+                (q, q_size), (v, v_size) = (_matrix(x.field("vector"), width) for x in (asked, held))
+                wanted, known = _wanted(asked.field("tokens"), held.field("tokens")), (q_size[:, None] == v_size) & (q_size >= 0)[:, None]
+                with np.errstate(all="ignore"):
+                    near = q @ v.T
+                    near[np.isnan(near)] = np.inf  # the largest, in Spark's order
+                    near[~(wanted & known)] = -np.inf
+                    # sums in another order differ by no more than this
+                    slack = 4 * (width + 1) * np.finfo(np.float64).eps * np.linalg.norm(q, axis=1) * np.linalg.norm(v, axis=1).max(initial=0.0)
+                    last = np.partition(near, -n, axis=1)[:, -n] if near.shape[1] > n else np.full(len(q), -np.inf)
+                    at, to = np.nonzero(wanted & ~(near < (last - slack)[:, None]))
+                    score = np.zeros(len(at))
+                    for k in range(width):
+                        score += q[at, k] * v[to, k]
+                yield pa.RecordBatch.from_arrays([asked.field("key").take(pa.array(at)), held.field("key").take(pa.array(to)), pa.array(score, mask=~known[at, to])], names=["query", "key", "score"])
+
+    return run
+
+
 def filtered_vector_top(queries: DataFrame, rows: DataFrame, n: int) -> DataFrame:
     """query, rank, key, score: the n rows nearest to each query by inner product, among those that share a token with it.
 
-    ``queries``: query, vector, tokens; ``rows``: key, vector, tokens.  A query without tokens
-    takes all rows.  Queries find their rows by token; a row's vector is moved once, to the list
-    of the queries that want it, and only n rows of a query leave a task.  Ties go to the smaller key.
+    ``queries``: query, vector, tokens; ``rows``: key, vector, tokens.  A query without tokens takes all rows, so the work is queries times rows by nature.  Both are dealt
+    to blocks, every pair of blocks is a product of matrices in a task, and only the n best of
+    a query leave it (with those that rounding could put among them).  Ties go to the smaller key.
     """
-    asked = queries.select("query", F.explode("tokens").alias("token"))
-    held = rows.select("key", F.explode("tokens").alias("token"))
-    wanted = held.join(asked, "token").groupBy("key").agg(F.collect_set("query").alias("by_token"))
-    every = queries.filter((F.size("tokens") <= 0) | F.col("tokens").isNull()).agg(F.collect_set("query").alias("by_all"))  # one row: queries without a filter, each against all rows by definition
-    met = rows.select("key", F.col("vector").alias("v")).join(wanted, "key", "left").crossJoin(F.broadcast(every))
-    none = lambda c: F.coalesce(c, F.array().cast(T.ArrayType(queries.schema["query"].dataType)))
-    pairs = met.select("key", "v", F.explode(F.array_distinct(F.concat(none(F.col("by_token")), none(F.col("by_all"))))).alias("query"))
-    scored = pairs.join(queries.select("query", "vector"), "query").select("query", "key", vectors.dot(F.col("v"), F.col("vector")).alias("score"))
+    spark = rows.sparkSession
+    sized = lambda df: max(1, -(-df.count() // BLOCK))
+    many = sized(rows)
+    asked = _blocks(queries.filter("query is not null").withColumnRenamed("query", "key"), "_a", "asked", sized(queries))
+    held = _blocks(rows, "_b", "held", many)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    met = asked.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(many - 1)))).join(held, "_b")
+    ship_package(spark)
+    found = met.repartition(tasks, "_a", "_b").mapInArrow(_best_of_blocks(n), T.StructType([T.StructField("query", queries.schema["query"].dataType), T.StructField("key", rows.schema["key"].dataType), T.StructField("score", T.DoubleType())]))
     order = Window.partitionBy("query").orderBy(F.desc("score"), "key")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n).select("query", "rank", "key", "score")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n).select("query", "rank", "key", "score")
 
 
 def evidence(chunks: DataFrame, terms: Mapping[str, Sequence[str]], *, key: str, n: int = fixed.EVIDENCE_TOP) -> DataFrame:

@@ -5,7 +5,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from dwellspark.operators import keeping, matching
+from dwellspark.operators import answers, keeping, matching
 from dwellspark.plans.listing import listings
 
 from .compare import SF_DIR
@@ -38,3 +38,19 @@ def test_dense_spots_meet_few_rows_each_round(spark, monkeypatch):
         assert rows(matching.unmatched(a, b, price_limit=50.0).select("listing_id")) == rows(matching.without_duplicates(b, pairs).select("listing_id")) != []
     empty = a.limit(0)
     assert matching.first_matches(empty, b).count() == matching.first_matches(a, empty).count() == 0 and matching.unmatched(empty, b).count() == 170
+
+
+def test_blocks_of_vectors(spark, monkeypatch):
+    """Several blocks a side, ties, nulls, other lengths, as pairs scored one by one give them."""
+    rng = random.Random(4)
+    vector = lambda i: None if i % 31 == 5 else [float(rng.randint(-2, 2)) if i % 3 else rng.randint(-9, 9) / 8 for _ in range(3 if i % 17 == 3 else 4)] + ([None] if i % 29 == 7 else [])
+    rows = [(i, vector(i), [f"t{i % 6}", "u"][: i % 3]) for i in range(200)]
+    queries = [(i, vector(i), [[f"t{i % 6}"], None, ["u", "t1"], ["none"]][i % 4]) for i in range(60)]
+    monkeypatch.setattr(answers, "BLOCK", 16)
+    found = answers.filtered_vector_top(spark.createDataFrame(queries, "query long, vector array<double>, tokens array<string>"), spark.createDataFrame(rows, "key long, vector array<double>, tokens array<string>"), 9)
+    want = []
+    for q, v, tokens in queries:
+        score = lambda w: sum(a * b for a, b in zip(v, w, strict=True)) if v and w and None not in v + w and len(v) == len(w) else None  # noqa: B023, E731
+        held = sorted(((s is None, -(s or 0.0), k, s) for k, w, t in rows if not tokens or set(tokens) & set(t) for s in [score(w)]))
+        want += [(q, i + 1, k, s) for i, (*_, k, s) in enumerate(held[:9])]
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(want, key=repr)
