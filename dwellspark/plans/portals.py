@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as X
 from ..functions import text
-from ..session import kept
 from ..sources import elements as E
 from ..sources import portals as P
 from .listing import WITH_LISTING, listings
@@ -16,7 +15,7 @@ from .listing import WITH_LISTING, listings
 def page_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every raw page as a tree: its elements and items, its heading, the texts of its items. A reference that a cut left without its semicolon stays as it is."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html")
-    nodes = kept(E.elements(pages, closed=True), "nodes")
+    nodes = E.kept_elements(pages, closed=True)
     counts = nodes.groupBy("page_id").agg(F.count_if(~F.col("tag").startswith("#")).alias("n_elements"), F.count_if(F.col("tag") == "li").alias("n_items"))
     heads = E.with_texts(E.first_of(E.tags(nodes, "h1"), "page_id").select("page_id", "node", "last"), nodes, "page_id").select("page_id", F.array_join("texts", "").alias("heading"))
     said = E.with_texts(E.tags(nodes, "li").select("page_id", "node", "last"), nodes, "page_id").select("page_id", "node", F.array_join("texts", "").alias("t"))
@@ -49,9 +48,9 @@ def first_pages(df: DataFrame) -> DataFrame:
 
 def first_portal_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = first_pages(listings(spark, sf_dir))
-    nodes = kept(E.elements(pages, key="k"), "nodes")
+    nodes = E.kept_elements(pages, key="k")
     near = P.nearby_places(nodes, "k", {"stations": "nearest stations"})
-    out = P.first_portal(pages, nodes, "k").join(near, "k", "left")
+    out = P.first_portal(pages, nodes, "k").join(near.hint("merge"), "k", "left")
     shown = F.array_join(F.transform("stations", lambda s: F.concat_ws(" ", s["name"], F.format_string("%.1f", s["miles"]))), "|")
     return out.select("k", "title", "address", F.array_join("key_features", "|").alias("key_features"), "description", "property_type", "bedrooms", "added_date", shown.alias("stations"))
 
@@ -79,7 +78,7 @@ def second_pages(df: DataFrame) -> DataFrame:
 
 def second_portal_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = second_pages(listings(spark, sf_dir).withColumn("title", F.concat(F.lit("Near "), "title")))
-    got = P.second_portal(pages, kept(E.elements(pages, key="k"), "nodes"), "k")
+    got = P.second_portal(pages, E.kept_elements(pages, key="k"), "k")
     walk = F.array_join(F.transform("stations", lambda s: F.concat_ws(" ", s["name"], F.format_string("%.2f", s["miles"]))), "|")
     columns = ("price_pcm", "price_display", "deposit", "deposit_amount", "bills_included", "available_text", "min_tenancy", "pets_allowed", "families_allowed", "garden", "epc_rating", "furnish_type", "max_tenants", "bedrooms", "latitude", "longitude")
     return got.select("k", *columns, walk.alias("stations"), F.array_join("features", "|").alias("features"), F.col("extras")["cycle_store"].alias("cycle_store"), F.size("extras").alias("n_extras"))
@@ -88,7 +87,7 @@ def second_portal_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second portal's pages as a row for each label of a section."""
     pages = second_pages(listings(spark, sf_dir))
-    return P.section_rows(kept(E.elements(pages, key="k"), "nodes"), "k")
+    return P.section_rows(E.kept_elements(pages, key="k"), "k")
 
 
 QUERIES = {f.__name__: f for f in (page_outline, first_portal_fields, second_portal_fields, page_sections)}

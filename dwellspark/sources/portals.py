@@ -20,12 +20,17 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as X
 from ..functions import text
-from ..session import kept
+from .. import session
 from . import elements as E
 
 CELL = "struct<flag:boolean,text:string>"
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """Written once, and never broadcast: a table of pages' parts that is small on disk holds many rows."""
+    return session.kept(df, name).hint("merge")
+
+
 def joined(column: str, by: str) -> Column:
     return F.array_join(column, by)
 
@@ -117,7 +122,7 @@ def first_portal(pages: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
     title = E.with_texts(titles.select(key, (F.col("node") % (1 << 30)).cast("int").alias("node"), "last"), nodes, key).select(key, one_line(joined("texts", " ")).alias("title"))
     out = pages.select(key)
     for part in (title, address(nodes, key), description(nodes, key), key_features(nodes, key), specs(nodes, key)):
-        out = out.join(part, key, "left")
+        out = out.join(part.hint("merge"), key, "left")
     return out
 
 
@@ -406,7 +411,7 @@ def second_portal(pages: DataFrame, nodes: DataFrame, key: str, *, html: str = "
     shown = E.first_of(nodes.filter((c("tag") == E.TEXT) & c("text").rlike(r"£[\d,.]+")), key).select(key, c("text").alias("any_price"))
     out = pages.select(key, c(html).alias("html"))
     for part in (sections, texts, price, shown, rooms(nodes, key), longest_description(nodes, key), station_items(nodes, key)):
-        out = out.join(part, key, "left")
+        out = out.join(part.hint("merge"), key, "left")
     cell = lambda section, slug: F.get(F.array(c("sections")[section][slug]), F.lit(0))
     flag = lambda section, *slugs: F.coalesce(*(cell(section, s)["flag"] for s in slugs))
     said = lambda section, *slugs: F.coalesce(*(F.coalesce(cell(section, s)["text"], F.when(cell(section, s)["flag"], "True")) for s in slugs), F.lit(""))
