@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from . import wordhash as W
-from .components import connected_components
+from .components import connected_components, spanning_forest
 from .idset import maybe_in
 from .shared import Packed, write_shared
 from .workers import map_batches
@@ -172,30 +172,6 @@ def _pairs(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return np.unique(np.stack([np.minimum(left, right), np.maximum(left, right)], axis=1), axis=0) if len(left) else np.zeros((0, 2), np.int64)
 
 
-def _forest(left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
-    """Numbers of links that join what all links join (of places 0 to n - 1), without circles."""
-    root = np.arange(n)
-    kept: list[np.ndarray] = []
-    while True:
-        a, b = root[left], root[right]
-        between = np.flatnonzero(a != b)
-        if not len(between):
-            return np.unique(np.concatenate(kept)) if kept else np.zeros(0, np.int64)
-        first = np.full(n, len(left))  # each component's first link to another
-        np.minimum.at(first, a[between], between)
-        np.minimum.at(first, b[between], between)
-        chosen = np.unique(first[first < len(left)])
-        kept.append(chosen)
-        for _ in range(64):  # the chosen links' components get their smallest root
-            low = np.minimum(root[left[chosen]], root[right[chosen]])
-            before = root.copy()
-            np.minimum.at(root, before[left[chosen]], low)
-            np.minimum.at(root, before[right[chosen]], low)
-            root = root[root]
-            if (root == before).all():
-                break
-
-
 def _collide(radius: int, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A spanning forest (a < b) of the verified pairs of each variant's fingerprints; (fp, null) for those of a variant with more than ``most``."""
 
@@ -217,7 +193,7 @@ def _collide(radius: int, most: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
                 at = at[left[at] >= step]
             links = np.concatenate(found, axis=1)
             links = links[:, np.lexsort((links[1], links[0]))]
-            links = links[:, _forest(links[0], links[1], len(key))]
+            links = links[:, spanning_forest(links[0], links[1], len(key))]
             links = links[:, fp[links[0]] != fp[links[1]]]
             pairs = _pairs(fp[links[0]], fp[links[1]])
             hot = np.unique(fp[~small])
@@ -340,9 +316,12 @@ def _judged(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return write_shared(map_batches(both, _similar(similarity), "a long, b long, similar boolean"), "judged")[0]
 
 
-def _hub_pairs(edges: DataFrame) -> DataFrame:
+def _roots(edges: DataFrame) -> DataFrame:
+    return write_shared(connected_components(edges), "roots")[0]
+
+
+def _hub_pairs(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """Every node (a) with the hub of its component (b): the node of most edges, of several the smallest."""
-    roots, _ = write_shared(connected_components(edges), "roots")
     degree = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
     best = roots.join(degree, "node").groupBy("root").agg(F.max_by("node", F.struct("degree", -F.col("node"))).alias("b"))
     hubs, _ = write_shared(best, "hubs")
@@ -427,7 +406,7 @@ def _cross(heads: int, similarity: float) -> Callable[[Iterator[pa.RecordBatch]]
     return run
 
 
-def _judge_open(candidates: DataFrame, linked: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def _judge_open(candidates: DataFrame, linked: DataFrame, sets: DataFrame, similarity: float, ties: DataFrame | None = None) -> DataFrame:
     """``linked`` and further similar pairs, so that no similar pair of candidates lies between two components.
 
     Texts of candidates' components that aren't all linked meet under their rare
@@ -436,15 +415,15 @@ def _judge_open(candidates: DataFrame, linked: DataFrame, sets: DataFrame, simil
     other components.  There are four times as many heads in the next round, until none
     has pairs left.
     """
-    ties = connected_components(candidates).withColumnRenamed("root", "tie")
-    placed, _ = write_shared(ties.join(connected_components(linked), "node", "left").select("node", "tie", F.coalesce("root", "node").alias("root")), "placed")
+    ties = _roots(candidates) if ties is None else ties
+    joined = _roots(linked)
+    placed, _ = write_shared(ties.withColumnRenamed("root", "tie").join(joined, "node", "left").select("node", "tie", F.coalesce("root", "node").alias("root")), "placed")
     mixed = placed.groupBy("tie").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most")
     open_ = placed.join(mixed, "tie", "left_semi").select(F.col("node").alias("doc"))
     rare, _ = write_shared(_rare_shingles(sets.join(open_, "doc", "left_semi"), similarity), "rare")
     heads, unlike = HEADS, None
     while True:
-        roots = connected_components(linked).select(F.col("node").alias("doc"), "root")
-        own = rare.join(roots, "doc", "left").select("key", "doc", F.coalesce("root", "doc").alias("root"), "size", "rank")
+        own = rare.join(joined.select(F.col("node").alias("doc"), "root"), "doc", "left").select("key", "doc", F.coalesce("root", "doc").alias("root"), "size", "rank")
         between = own.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most")
         cells = own.join(between, "key", "left_semi").repartition("key").sortWithinPartitions("key")
         pairs, _ = write_shared(map_batches(cells, _cross(heads, similarity), "a long, b long").distinct(), "pairs")
@@ -453,6 +432,7 @@ def _judge_open(candidates: DataFrame, linked: DataFrame, sets: DataFrame, simil
         linked = linked.union(judged.filter("similar").select("a", "b"))
         if pairs.filter("a is null").isEmpty():
             return linked
+        joined = _roots(linked)
         old = judged.filter("not similar").select("a", "b")
         unlike = old if unlike is None else unlike.union(old)
         heads *= 4
@@ -483,9 +463,10 @@ def near_duplicate_ids(docs: DataFrame, *, n: int = NEAR_SHINGLE, similarity: fl
     members = edges.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
     _, maybe = maybe_in(docs, members)
     sets, _ = write_shared(map_batches(maybe.join(members, "doc").select("doc", "text"), _shingle_sets(n), "doc long, shingles binary").dropDuplicates(["doc"]), "shingles")
+    ties = _roots(edges)
     linked, left = None, edges
-    for _ in range(rounds):
-        judged = _judged(_hub_pairs(left), sets, similarity)
+    for k in range(rounds):
+        judged = _judged(_hub_pairs(left, _roots(left) if k else ties), sets, similarity)
         found = judged.filter("similar").select("a", "b")
         linked = found if linked is None else linked.union(found)
         open_ = judged.filter("not similar").select(F.col("a").alias("node"))
@@ -493,7 +474,7 @@ def near_duplicate_ids(docs: DataFrame, *, n: int = NEAR_SHINGLE, similarity: fl
         left, _ = write_shared(left.select("a", "b"), "candidates")
         if left.isEmpty():
             break
-    linked = _judge_open(edges, linked, sets, similarity)
+    linked = _judge_open(edges, linked, sets, similarity, ties)
     near = connected_components(linked).filter("node <> root").select(F.col("node").alias("doc"))
     gone = prints.join(nodes.select("k1", "k2", "id"), ["k1", "k2"]).filter("doc <> id").select("doc")
     return gone.union(near).distinct()

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from dwellspark.llm import simhash, workers
+from dwellspark.llm import components, simhash, workers
 from dwellspark.llm.components import connected_components
 from dwellspark.llm.lines import drop_boilerplate, host_of, without_boilerplate
 from dwellspark.llm.simhash import drop_near_duplicates, fingerprint_links, simhash_components
@@ -57,6 +57,17 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_dense_groups_are_thinned_before_rounds(spark, monkeypatch):
+    """All pairs of 400 nodes, a chain, and pairs: no round may join all edges of the dense group."""
+    read, state = [], components._state
+    monkeypatch.setattr(components, "_state", lambda edges: (read.append(edges.count()), state(edges))[1])
+    dense = [(a, b) for a in range(400) for b in range(a)]
+    rest = [(1000 + i, 1001 + i) for i in range(40)] + [(2000 + 2 * i, 2001 + 2 * i) for i in range(40)]
+    got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(dense + rest, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(400)} | {1000 + i: 1000 for i in range(41)} | {2000 + i: 2000 + i // 2 * 2 for i in range(80)}
+    assert read[0] <= 5 * len(got)
+
+
 def test_near_duplicates_leave_one_of_each_group(spark, docs, texts):
     kept = {r["doc_id"] for r in drop_near_duplicates(clashing(docs)).collect()}
     words = [brute.ALNUM.findall(brute.lower(t)) for t in texts]
