@@ -47,7 +47,7 @@ def recompress(words: np.ndarray, bounds: np.ndarray, rounds: int = ROUNDS) -> S
     """Symbols of all texts after the run round and ``rounds`` pair rounds, from their words' hashes."""
     n = len(words)
     at = np.arange(n)
-    s = Symbols(words, at, at + 1, at, at + 1, W.owner(bounds, at))
+    s = Symbols(words, at, at + 1, at, at + 1, np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)))
     if not n:
         return s
     before, after = _neighbour_bounds(s, bounds)

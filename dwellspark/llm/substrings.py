@@ -16,7 +16,8 @@ words are removed.  All runs are judged on the input.
 
 Hot names, passages and copies: counts are combined before shuffles, and joins are plain
 joins that Spark can split.  Texts are shuffled only for documents that need it: a bitmap
-of bounded size over hashed ids keeps nearly all others out of the joins.
+of bounded size over hashed ids keeps nearly all others out of the joins.  Chunks bound
+what a task holds, so arrays aren't given back one by one, which costs CPU time.
 
 Null and empty texts have no words.  Rows with null ids count as largest, as one id.  Rows
 that share an id are one document.  Other columns don't take part.
@@ -115,6 +116,24 @@ def _held(g1: np.ndarray, g2: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> np.
     return np.flatnonzero(out)
 
 
+def _joined(c: W.Chunk, keep: np.ndarray) -> list[bytes]:
+    """Each text's kept words, joined by single spaces."""
+    starts, ends = c.starts[keep], c.ends[keep]
+    bounds = np.concatenate([[0], np.cumsum(keep)])[c.bounds]
+    inside = W.cover(starts, ends - starts, len(c.data))
+    follows = np.ones(len(ends), bool)  # another kept word of the text, so white space stands behind this one
+    follows[bounds[1:][np.diff(bounds) > 0] - 1] = False
+    data = c.data.copy()
+    data[ends[follows]] = 0x20
+    inside[ends[follows]] = True
+    raw, sizes = data[inside].tobytes(), np.diff(bounds)
+    place = np.concatenate([[0], np.cumsum(inside)])
+    begin, end = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
+    some = sizes > 0
+    begin[some], end[some] = place[starts[bounds[:-1][some]]], place[ends[bounds[1:][some] - 1]]
+    return [raw[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+
+
 def _apply(window: int, with_text: bool):
     """n_words, n_removed and the kept words of documents with their repeated windows (or all of them)."""
 
@@ -126,21 +145,21 @@ def _apply(window: int, with_text: bool):
             for c in W.chunks(batch.column("text"), W.NON_SPACE_BYTES):
                 sizes = np.diff(c.bounds)
                 n_words[c.first : c.first + len(sizes)] = sizes
-                h, other = W.word_hashes(c), None
-                raw, starts, ends = c.data.tobytes(), c.starts.tolist(), c.ends.tolist()
+                h = other = None
+                gone = np.zeros(len(c.starts), bool)
                 for i, (a, b) in enumerate(zip(c.bounds[:-1], c.bounds[1:], strict=True)):
                     row = c.first + i
-                    removed = np.zeros(b - a, bool)
                     if whole[row] and b - a >= window:
-                        removed[:] = True
+                        gone[a:b] = True
                     elif b - a >= window and first[row].is_valid and len(first[row]):
+                        h = W.word_hashes(c) if h is None else h
                         other = W.word_hashes(c, 1) if other is None else other
                         known = [x[row].values.to_numpy().view(np.uint64) for x in (first, second)]
                         at = _held(W.gram_hashes(h[a:b], window), W.gram_hashes(other[a:b], window, 1), *known)
                         if len(at):
-                            removed = W.cover(at, window, b - a)
-                    n_removed[row] = removed.sum()
-                    kept[row] = b" ".join([raw[starts[k] : ends[k]] for k in (a + np.flatnonzero(~removed)).tolist()])
+                            gone[a:b] = W.cover(at, window, b - a)
+                n_removed[c.first : c.first + len(sizes)] = np.diff(np.concatenate([[0], np.cumsum(gone)])[c.bounds])
+                kept[c.first : c.first + len(sizes)] = _joined(c, ~gone)
             columns = [batch.column("doc_id"), pa.array(n_words), pa.array(n_removed)]
             columns.append(pa.array([k.decode() for k in kept]) if with_text else pa.array([hashlib.sha256(k).hexdigest() for k in kept]))
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_removed", "kept" if with_text else "kept_sha256"])
@@ -172,14 +191,14 @@ def dedup_substrings(docs: DataFrame, *, window: int = WINDOW, rounds: int = ROU
     copies, _ = write_shared(_copies(base), "copies")
     never, maybe = maybe_in(base.select("doc", "text", "k1", "k2"), copies.select("doc"))
     single = never.select("doc", "text").union(maybe.join(copies, ["doc", "k1", "k2"], "left_anti").select("doc", "text"))
-    named = map_batches(single, _names(window, rounds), "name long, doc long, sure boolean")
+    named = map_batches(single, _names(window, rounds), "name long, doc long, sure boolean", bounded=False)
     spread = named.filter("sure").groupBy("name").agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
     shared, shared_path = write_shared(spread.filter("least < most").select("name"), "names")
     touched = named.join(shared.withColumn("found", F.lit(True)), "name", "left").filter("found or not sure")
     touched, touched_path = write_shared(touched.groupBy("doc").agg(F.collect_list("name").alias("names")), "touched")
     drop_shared(docs.sparkSession, shared_path)
     _, near = maybe_in(single, touched.select("doc"))
-    windows, windows_path = write_shared(map_batches(near.join(touched, "doc").select("doc", "text", "names"), _candidates(window, rounds), "h1 long, h2 long, doc long"), "windows")
+    windows, windows_path = write_shared(map_batches(near.join(touched, "doc").select("doc", "text", "names"), _candidates(window, rounds), "h1 long, h2 long, doc long", bounded=False), "windows")
     drop_shared(docs.sparkSession, touched_path)
     first = _of_several(windows, "h1", "h2")
     repeated, _ = write_shared(windows.join(first, ["h1", "h2"]).filter("doc > least").groupBy("doc").agg(F.collect_list(F.struct("h1", "h2")).alias("p")).select("doc", F.col("p.h1").alias("h1"), F.col("p.h2").alias("h2")), "repeated")
@@ -189,4 +208,4 @@ def dedup_substrings(docs: DataFrame, *, window: int = WINDOW, rounds: int = ROU
     hit = hit.join(copies.withColumn("whole", F.lit(True)), ["doc", "k1", "k2"], "left").join(repeated, "doc", "left")
     hit = hit.select("doc_id", "text", "h1", "h2", F.coalesce("whole", F.lit(False)).alias("whole"))
     kind = dict(base.dtypes)["doc_id"]
-    return map_batches(clean.union(hit), _apply(window, with_text), f"doc_id {kind}, n_words long, n_removed long, {'kept' if with_text else 'kept_sha256'} string")
+    return map_batches(clean.union(hit), _apply(window, with_text), f"doc_id {kind}, n_words long, n_removed long, {'kept' if with_text else 'kept_sha256'} string", bounded=False)
