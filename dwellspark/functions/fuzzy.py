@@ -100,11 +100,11 @@ def alias_score(q: str, name: str) -> float:
     """The best of containment, edit distance and abbreviation, for compact forms."""
     if not q or not name:
         return 0.0
-    ratio = min(len(q), len(name)) / max(len(q), len(name))
-    scores = [0.88 + 0.10 * ratio] if q in name or name in q else []
+    less, more = sorted((len(q), len(name)))
+    scores = [0.88 + 0.10 * less / more] if q in name or name in q else []
     like = window_likeness(q, name)
     if like >= 1.0 - allowed_edits(max(len(q), min(len(name), len(q) + 1))) / len(q):
-        scores.append(0.68 + 0.20 * like + 0.12 * ratio)
+        scores.append(0.68 + 0.20 * like + 0.12 * less / more)
     if 3 <= len(q) <= 8:
         scores.append(subsequence(q, name))
     return max(scores, default=0.0)
@@ -128,7 +128,7 @@ def alias_scores(queries: Sequence[str], names: Sequence[str]) -> np.ndarray:
         if not q or not name:
             continue
         if q in name or name in q:
-            out[i] = 0.88 + 0.10 * (min(len(q), len(name)) / max(len(q), len(name)))
+            out[i] = 0.88 + 0.10 * min(len(q), len(name)) / max(len(q), len(name))
         if 3 <= len(q) <= 8:
             out[i] = max(out[i], subsequence(q, name))
         allowed[i] = allowed_edits(max(len(q), min(len(name), len(q) + 1))) / len(q)
@@ -143,7 +143,7 @@ def alias_scores(queries: Sequence[str], names: Sequence[str]) -> np.ndarray:
     for i in np.flatnonzero(like >= 0.0).tolist():
         q, name = queries[i], names[i]
         if like[i] >= 1.0 - allowed[i]:
-            out[i] = max(out[i], 0.68 + 0.20 * like[i] + 0.12 * (min(len(q), len(name)) / max(len(q), len(name))))
+            out[i] = max(out[i], 0.68 + 0.20 * like[i] + 0.12 * min(len(q), len(name)) / max(len(q), len(name)))
     return out
 
 

@@ -2,26 +2,31 @@
 
 The index has a row for each alias of a canonical name, and is kept as Parquet.  Typed names
 meet it by equality joins: on keys; on a needle's rarest run of up to three letters, where
-one text holds the other; on parts of a text of which one must be left untouched by few
-edits; or on what is left of a text when up to k letters are dropped.  What meets is verified.
+one text holds the other; on a needle's first letters; on the lengths of blocks of texts and names, which are
+compared letter by letter only as far as a text's best names found so far leave room; or on
+what is left of a text when up to k letters are dropped.  What meets is verified.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType
+from pyspark.sql.types import IntegerType
 
-from ..functions import fixed, fuzzy, text
+from ..functions import fixed, fuzzy, near, text
 from ..session import kept, ship_package
 
 #: Letters of the runs that texts are found by.
 GRAM = 3
-#: The longest part of a typed name (see ``_parts``).
-LONGEST_PART = 6
+#: The most letters of a needle's beginning by which it is looked up.
+LONGEST_START = 6
+#: Typed texts and names of a block, about.
+TEXTS, NAMES = 1024, 8192
 
 
 # ---- names, aliases, index
@@ -133,58 +138,90 @@ def region_of(keywords: DataFrame, regions: DataFrame, *, keyword: str = "keywor
 # ---- names within few edits of each other
 
 
-def _parts(typed: Column) -> Column:
-    """Parts of a typed name, of which one stands unchanged in whatever counts as near it, with their places.
-
-    Of k edits each touches one of k + 1 parts, but for a swap over a border, which touches two;
-    so each part comes with its first letter, its last, or both swapped over its borders too.
-    """
-    n = F.length(typed)
-    larger = F.when(n + 1 <= 6, 1).when(n + 1 <= 12, 2).otherwise(F.greatest(F.lit(2), F.bround((n + 1) * 0.2).cast("int")))
-    most = F.floor(larger * (n + 2) / n).cast("int")
-    count = F.least(most + 1, n)
-
-    def part(i: Column) -> Column:
-        a, b = F.floor(i * n / count).cast("int"), F.floor((i + 1) * n / count).cast("int")
-        own = F.substr(typed, a + 1, b - a)
-        before, after = F.substr(typed, a, F.lit(1)), F.substr(typed, b + 1, F.lit(1))
-        left = F.when(a > 0, F.concat(before, F.substr(own, F.lit(2)))).otherwise(own)
-        right = F.when(b < n, F.concat(F.substr(own, F.lit(1), b - a - 1), after)).otherwise(own)
-        both = F.when((a > 0) & (b < n) & (b - a > 1), F.concat(before, F.substr(own, F.lit(2), b - a - 2), after)).otherwise(own)
-        return F.transform(F.array_distinct(F.array(own, left, right, both)), lambda x: F.struct(x.alias("gram"), a.alias("at"), most.alias("most")))
-
-    return F.flatten(F.transform(F.sequence(F.lit(0), count - 1), part))
-
-
-def near_candidates(typed: DataFrame, names: DataFrame) -> DataFrame:
-    """typed, name (compact forms): a pair for whatever ``fuzzy.alias_score`` may score at 0.80 or more, and few others."""
-    grams = lambda n: F.transform(F.sequence(F.lit(1), F.length("name") - n + 1), lambda i: F.struct(F.substr("name", i, F.lit(n)).alias("gram"), (i - 1).alias("pos")))
-    runs = names.select("name", F.explode(F.concat(*(F.when(F.length("name") >= n, grams(n)).otherwise(F.array().cast("array<struct<gram:string,pos:int>>")) for n in range(1, LONGEST_PART + 1)))).alias("g")).select("name", "g.gram", "g.pos")
-    parts = typed.select("typed", F.explode(_parts(F.col("typed"))).alias("p")).select("typed", "p.*")
-    near_start = F.abs(F.col("pos") - F.col("at")) <= F.col("most") + 2
-    near_end = F.abs((F.length("name") - F.col("pos")) - (F.length("typed") - F.col("at"))) <= F.col("most") + 3
-    long_enough = F.length("name") >= F.length("typed") - F.col("most")
-    edited = parts.join(runs, "gram").filter((near_start | near_end) & long_enough).select("typed", "name")
-    # an abbreviation's letters all occur, so it is looked up by the one that the fewest names have
-    letters = runs.filter(F.length("gram") == 1).select("name", "gram").distinct()
-    frequent = letters.groupBy("gram").agg(F.count("*").alias("n"))
-    short = typed.filter(F.length("typed").between(3, 8))
-    wanted = short.select("typed", F.explode(F.array_distinct(F.split("typed", ""))).alias("gram"))
-    rarest = wanted.join(frequent, "gram").groupBy("typed").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
-    in_order = F.like("name", F.concat(F.regexp_replace("typed", "(.)", "%$1"), F.lit("%")))
-    abbreviated = rarest.join(letters, "gram").filter(in_order).select("typed", "name")
-    return either_holds(typed, names).union(edited).union(abbreviated).distinct()
-
-
 def _spread(pairs: DataFrame) -> DataFrame:
     """Pairs are few bytes but much work each, so they aren't left in as few tasks as their size asks for."""
     return pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-@F.pandas_udf(DoubleType())
-def _score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for a, b in batches:
-        yield pd.Series(fuzzy.alias_scores(a.tolist(), b.tolist()))
+def _ranked(found: DataFrame, n: int) -> DataFrame:
+    """The n best names of each typed text: a name has its best score, ties go to the shorter, then the smaller alias (``first``)."""
+    best = found.groupBy("typed", "name").agg(F.max("score").alias("score"), F.min("first").alias("first"))
+    order = Window.partitionBy("typed").orderBy(F.desc("score"), "first")
+    return best.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= n).drop("r")
+
+
+def containment_best(typed: DataFrame, names: DataFrame, n: int) -> DataFrame:
+    """typed, name, first, score: the n best names that hold a typed text (also as a window at an end), and that it holds.
+
+    ``typed``: (typed); ``names``: (name, first), as in ``_ranked``.  A needle is looked up by its first letters.
+    """
+    begin = lambda c: F.substring(c, 1, LONGEST_START)
+    runs = names.select("name", "first", F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.length("name"), F.lit(LONGEST_START))), lambda k: _grams(F.col("name"), k)))).alias("gram"))
+    forth = typed.select("typed", begin("typed").alias("gram")).join(runs, "gram").filter(F.contains("name", "typed")).select("typed", "name", "first")
+    held = typed.select("typed", F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.length("typed")), lambda k: _grams(F.col("typed"), k)))).alias("name")).join(names, "name").select("typed", "name", "first")
+    less, more = F.least(F.length("typed"), F.length("name")), F.greatest(F.length("typed"), F.length("name"))
+    ends = F.array(F.substr("name", F.lit(1), F.length("typed") + 2), F.substr("name", F.length("name") - F.length("typed") - 1))
+    window = (F.length("name") > F.length("typed") + 2) & F.exists(ends, lambda e: F.contains(e, F.col("typed")))
+    score = F.when(window, F.lit(0.68) + F.lit(0.20) + F.lit(0.12) * less / more).otherwise(F.lit(0.88) + F.lit(0.10) * less / more)
+    return _ranked(forth.union(held).withColumn("score", score), n)
+
+
+def _blocks(texts: DataFrame, column: str, order: Column, least: int) -> DataFrame:
+    """size, block, texts, floors, floor: texts of one length one after the other, ``least`` a block or so, and their ``floor``s."""
+    sized = texts.withColumn("size", F.length(column))
+    many = sized.groupBy("size").agg(F.ceil(F.count("*") / least).alias("many"))
+    dealt = sized.join(many, "size").withColumn("block", F.pmod(F.xxhash64(column), F.col("many")))
+    rows = F.sort_array(F.collect_list(F.struct(order.alias("order"), F.col(column).alias("text"), "floor")))
+    packed = dealt.groupBy("size", "block").agg(rows.alias("rows"), F.min("floor").alias("floor"))
+    return packed.select("size", "block", F.array_join(F.col("rows.text"), "").alias("texts"), F.col("rows.floor").alias("floors"), "floor")
+
+
+def _of_blocks(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                found = list(near.best_of_blocks(r["texts"], r["size"], np.array(r["floors"]), r["names"], r["length"], r["way"], n))
+                yield pa.RecordBatch.from_pydict({"typed": pa.array([f[0] for f in found], pa.string()), "name": pa.array([f[1] for f in found], pa.string()), "score": pa.array([f[2] for f in found], pa.float64())})
+
+    return best
+
+
+def block_best(typed: DataFrame, names: DataFrame, ways: Sequence[int], n: int) -> DataFrame:
+    """typed, name, score: by some ways of ``near``, whatever may be among the n best names of a typed text, of what scores its ``floor`` or more.
+
+    ``typed``: (typed, floor); ``names``: blocks of names.  A block of texts meets those blocks of
+    names whose length lets a score reach the least of its floors.
+    """
+    asked = kept(_blocks(typed, "typed", F.col("floor"), TEXTS), "asked")
+    size, length, reach = F.col("size"), F.col("length"), F.col("floor") - near.SPARE
+    likely = {
+        near.WHOLE: (length <= size + 2) & (size - length <= 2 + size / 5),
+        near.WINDOWS: (length > size + 2) & (0.88 + 0.12 * size / length - 0.20 / F.greatest(F.lit(3), size + 1) >= reach),
+        near.IN_ORDER: size.between(3, 8) & (length >= size) & (0.90 + 0.10 * size / length >= reach),
+    }
+    plan = asked.select("size", "block", "floor").crossJoin(F.broadcast(names.select("length", "part")))
+    plan = plan.select("size", "block", "length", "part", F.explode(F.array_compact(F.array(*(F.when(likely[w], w) for w in ways)))).alias("way"))
+    met = plan.join(asked.select("size", "block", "texts", "floors"), ["size", "block"]).join(names, ["length", "part"])
+    tasks = int(typed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return met.repartition(tasks, "size", "block", "length", "part", "way").mapInArrow(_of_blocks(n), "typed string, name string, score double")
+
+
+def near_best(typed: DataFrame, names: DataFrame, *, n: int, least: float) -> DataFrame:
+    """typed, name, score (compact forms): the n best names of each typed text by ``fuzzy.alias_score``, of ``least`` or more.
+
+    ``typed``: (typed); ``names``: (name, first).  Each way finds its own n best, among which those
+    of all ways are.  The n-th score found so far is a floor for the ways to come, so that few
+    edits are left to look for: first what holds the other, then edits of whole names, at last
+    windows and letters in order, which most names have.
+    """
+    blocks = kept(_blocks(names.withColumn("floor", F.lit(0.0)), "name", F.col("first"), NAMES).select(F.col("size").alias("length"), F.col("block").alias("part"), F.col("texts").alias("names")), "names")
+    found = kept(containment_best(typed, names, n), "held")
+    for ways in ((near.WHOLE,), (near.WINDOWS, near.IN_ORDER)):
+        known = found.groupBy("typed").agg(F.when(F.count("*") >= n, F.greatest(F.min("score"), F.lit(least))).alias("floor"))
+        floors = typed.join(known, "typed", "left").select("typed", F.coalesce("floor", F.lit(least)).alias("floor"))
+        more = block_best(floors, blocks, ways, n).join(names, "name").select("typed", "name", "score", "first")
+        found = kept(_ranked(found.select(more.columns).union(more), n), "near")
+    return found.filter(F.col("score") >= least).select("typed", "name", "score")
 
 
 def best_aliases(typed: DataFrame, index: DataFrame, *, limit: int = 8, least: float = 0.80) -> DataFrame:
@@ -204,8 +241,9 @@ def best_aliases(typed: DataFrame, index: DataFrame, *, limit: int = 8, least: f
     exact = kept(exact, "exact")
     left = kept(names.join(exact.select("typed").distinct(), "typed", "left_anti"), "typed")
     words = left.select(F.col("compact").alias("typed")).filter("typed <> ''").distinct()
-    compacts = index.select(F.col("compact").alias("name")).filter("name <> ''").distinct()
-    scored = _spread(near_candidates(words, compacts)).withColumn("score", _score("typed", "name")).filter(F.col("score") >= least)
+    words = kept(words, "words")
+    compacts = kept(index.filter("compact <> ''").groupBy(F.col("compact").alias("name")).agg(F.min(F.struct(F.length("alias").alias("n"), "alias")).alias("first")), "compacts")
+    scored = near_best(words, compacts, n=limit, least=least)
     found = left.select("typed", F.col("compact").alias("word")).join(scored.withColumnsRenamed({"typed": "word", "name": "compact"}), "word").join(index.select("compact", "alias").distinct(), "compact")
     near = found.select("typed", "alias", "score", F.lit(0).alias("family"))
     order = Window.partitionBy("typed").orderBy(F.desc("score"), "family", F.when(F.col("score") < 1.0, F.length("alias")), "alias")
