@@ -4,7 +4,8 @@ The index has a row for each alias of a canonical name, and is kept as Parquet.
 meet it by equality joins: on keys; on a needle's rarest run of up to three letters, where
 one text holds the other; on a needle's first letters; on the lengths of blocks of texts and names, which are
 compared letter by letter only as far as a text's best names found so far leave room; or on
-what is left of a text when up to k letters are dropped.  What meets is verified.
+what is left of a text when up to k letters are dropped.  What meets is verified.  Tables that are
+few bytes on disk give many rows once their runs of letters are listed, so joins say that they merge.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from ..session import kept, ship_package
 GRAM = 3
 #: The most letters of a needle's beginning by which it is looked up.
 LONGEST_START = 6
-#: Typed texts and names of a block, about.
-TEXTS, NAMES = 1024, 8192
+#: Typed texts of a task, and names of a block, about; and numbers that the beginnings of typed texts have.
+TEXTS, NAMES, SLOTS = 4096, 8192, 1 << 18
 
 
 # ---- names, aliases, index
@@ -53,7 +54,7 @@ def alias_index(phrases: DataFrame) -> DataFrame:
     named = phrases.withColumn("name", plain_name(F.col("canonical"))).filter("name <> ''")
     first = named.groupBy("name").agg(F.min_by("canonical", F.struct("place", "canonical")).alias("canonical"), F.min("place").alias("place"))
     said = named.select("name", F.explode(aliases_of(plain_name(F.col("phrase")))).alias("alias")).distinct()
-    return said.join(first, "name").select("name", "canonical", "place", "alias", text.slug(F.col("alias")).alias("slug"), text.compact(F.col("alias")).alias("compact"))
+    return said.join(first.hint("merge"), "name").select("name", "canonical", "place", "alias", text.slug(F.col("alias")).alias("slug"), text.compact(F.col("alias")).alias("compact"))
 
 
 def lookups(index: DataFrame) -> DataFrame:
@@ -154,11 +155,15 @@ def containment_best(typed: DataFrame, names: DataFrame, n: int) -> DataFrame:
     """typed, name, first, score: the n best names that hold a typed text (also as a window at an end), and that it holds.
 
     ``typed``: (typed); ``names``: (name, first), as in ``_ranked``.  A needle is looked up by its first letters.
+    Runs of names whose number no beginning has are left out before they are dealt; there are as many numbers at most as ``SLOTS``.
     """
     begin = lambda c: F.substring(c, 1, LONGEST_START)
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS)).cast("int")
+    starts = typed.select("typed", begin("typed").alias("gram"))
     runs = names.select("name", "first", F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.length("name"), F.lit(LONGEST_START))), lambda k: _grams(F.col("name"), k)))).alias("gram"))
-    forth = typed.select("typed", begin("typed").alias("gram")).join(runs, "gram").filter(F.contains("name", "typed")).select("typed", "name", "first")
-    held = typed.select("typed", F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.length("typed")), lambda k: _grams(F.col("typed"), k)))).alias("name")).join(names, "name").select("typed", "name", "first")
+    likely = runs.withColumn("slot", slot("gram")).join(F.broadcast(starts.select(slot("gram").alias("slot")).distinct()), "slot", "left_semi").drop("slot")
+    forth = starts.join(likely.hint("merge"), "gram").filter(F.contains("name", "typed")).select("typed", "name", "first")
+    held = typed.select("typed", F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.length("typed")), lambda k: _grams(F.col("typed"), k)))).alias("name")).join(names.hint("merge"), "name").select("typed", "name", "first")
     less, more = F.least(F.length("typed"), F.length("name")), F.greatest(F.length("typed"), F.length("name"))
     ends = F.array(F.substr("name", F.lit(1), F.length("typed") + 2), F.substr("name", F.length("name") - F.length("typed") - 1))
     window = (F.length("name") > F.length("typed") + 2) & F.exists(ends, lambda e: F.contains(e, F.col("typed")))
@@ -166,22 +171,42 @@ def containment_best(typed: DataFrame, names: DataFrame, n: int) -> DataFrame:
     return _ranked(forth.union(held).withColumn("score", score), n)
 
 
+def _packed(dealt: DataFrame, column: str, order: Column) -> DataFrame:
+    """size, block, texts, floors: a block's texts of one length one after the other, and their ``floor``s."""
+    rows = F.sort_array(F.collect_list(F.struct(order.alias("order"), F.col(column).alias("text"), "floor")))
+    packed = dealt.groupBy(F.length(column).alias("size"), "block").agg(rows.alias("rows"))
+    return packed.select("size", "block", F.array_join(F.col("rows.text"), "").alias("texts"), F.col("rows.floor").alias("floors"))
+
+
 def _blocks(texts: DataFrame, column: str, order: Column, least: int) -> DataFrame:
-    """size, block, texts, floors, floor: texts of one length one after the other, ``least`` a block or so, and their ``floor``s."""
+    """size, block, texts, floors: texts of one length one after the other, ``least`` a block or so, and their ``floor``s."""
     sized = texts.withColumn("size", F.length(column))
     many = sized.groupBy("size").agg(F.ceil(F.count("*") / least).alias("many"))
-    dealt = sized.join(many, "size").withColumn("block", F.pmod(F.xxhash64(column), F.col("many")))
-    rows = F.sort_array(F.collect_list(F.struct(order.alias("order"), F.col(column).alias("text"), "floor")))
-    packed = dealt.groupBy("size", "block").agg(rows.alias("rows"), F.min("floor").alias("floor"))
-    return packed.select("size", "block", F.array_join(F.col("rows.text"), "").alias("texts"), F.col("rows.floor").alias("floors"), "floor")
+    return _packed(sized.join(many.hint("merge"), "size").withColumn("block", F.pmod(F.xxhash64(column), F.col("many"))), column, order)
+
 
+def _of_blocks(ways: Sequence[int], n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def table(asked: list[near.Asked]) -> pa.RecordBatch:
+        found = [f for texts in asked for f in texts.best()]
+        return pa.RecordBatch.from_pydict({"typed": pa.array([f[0] for f in found], pa.string()), "name": pa.array([f[1] for f in found], pa.string()), "score": pa.array([f[2] for f in found], pa.float64())})
 
-def _of_blocks(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked: list[near.Asked] = []
+        block = None
         for batch in batches:
-            for r in batch.to_pylist():
-                found = list(near.best_of_blocks(r["texts"], r["size"], np.array(r["floors"]), r["names"], r["length"], r["way"], n))
-                yield pa.RecordBatch.from_pydict({"typed": pa.array([f[0] for f in found], pa.string()), "name": pa.array([f[1] for f in found], pa.string()), "score": pa.array([f[2] for f in found], pa.float64())})
+            for a in range(batch.num_rows):
+                r = batch.slice(a, 1).to_pylist()[0]
+                if r["block"] != block:
+                    yield table(asked)
+                    asked, block = [], r["block"]
+                if r["floors"] is not None:
+                    asked.append(near.Asked(r["texts"], r["size"], np.array(r["floors"]), n))
+                    continue
+                names = near.Names(r["texts"], r["size"])
+                for texts in asked:
+                    if able := [w for w in ways if texts.likely(names.length, w)]:
+                        texts.meet(names, able)
+        yield table(asked)
 
     return best
 
@@ -189,39 +214,34 @@ def _of_blocks(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
 def block_best(typed: DataFrame, names: DataFrame, ways: Sequence[int], n: int) -> DataFrame:
     """typed, name, score: by some ways of ``near``, whatever may be among the n best names of a typed text, of what scores its ``floor`` or more.
 
-    ``typed``: (typed, floor); ``names``: blocks of names.  A block of texts meets those blocks of
-    names whose length lets a score reach the least of its floors.
+    ``typed``: (typed, floor); ``names``: blocks of names.  A task has a share of the texts, whose
+    floors rise as the blocks of names go by, the shorter names, which score more, before the longer; so names
+    are dealt as often as there are shares, not with each block of texts.
     """
-    asked = kept(_blocks(typed, "typed", F.col("floor"), TEXTS), "asked")
-    size, length, reach = F.col("size"), F.col("length"), F.col("floor") - near.SPARE
-    likely = {
-        near.WHOLE: (length <= size + 2) & (size - length <= 2 + size / 5),
-        near.WINDOWS: (length > size + 2) & (0.88 + 0.12 * size / length - 0.20 / F.greatest(F.lit(3), size + 1) >= reach),
-        near.IN_ORDER: size.between(3, 8) & (length >= size) & (0.90 + 0.10 * size / length >= reach),
-    }
-    plan = asked.select("size", "block", "floor").crossJoin(F.broadcast(names.select("length", "part")))
-    plan = plan.select("size", "block", "length", "part", F.explode(F.array_compact(F.array(*(F.when(likely[w], w) for w in ways)))).alias("way"))
-    met = plan.join(asked.select("size", "block", "texts", "floors"), ["size", "block"]).join(names, ["length", "part"])
-    tasks = int(typed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return met.repartition(tasks, "size", "block", "length", "part", "way").mapInArrow(_of_blocks(n), "typed string, name string, score double")
+    spark = typed.sparkSession
+    tasks = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    shares = max(1, tasks, -(-typed.count() // TEXTS))
+    asked = _packed(typed.withColumn("block", F.pmod(F.xxhash64("typed"), F.lit(shares)).cast("int")), "typed", F.col("floor"))
+    every = names.select(F.col("length").alias("size"), F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("block"), F.col("names").alias("texts"), F.lit(None).cast("array<double>").alias("floors"))
+    dealt = asked.unionByName(every).repartitionById(shares, F.col("block")).sortWithinPartitions("block", F.col("floors").isNull(), "size")
+    return dealt.mapInArrow(_of_blocks(ways, n), "typed string, name string, score double")
 
 
 def near_best(typed: DataFrame, names: DataFrame, *, n: int, least: float) -> DataFrame:
     """typed, name, score (compact forms): the n best names of each typed text by ``fuzzy.alias_score``, of ``least`` or more.
 
     ``typed``: (typed); ``names``: (name, first).  Each way finds its own n best, among which those
-    of all ways are.  The n-th score found so far is a floor for the ways to come, so that few
-    edits are left to look for: first what holds the other, then edits of whole names, at last
-    windows and letters in order, which most names have.
+    of all ways are.  The n-th score found so far is a floor for what is to come, so that few
+    edits are left to look for: first what holds the other, then names of like length, at last
+    longer ones, whose windows and letters in order most names have.
     """
     blocks = kept(_blocks(names.withColumn("floor", F.lit(0.0)), "name", F.col("first"), NAMES).select(F.col("size").alias("length"), F.col("block").alias("part"), F.col("texts").alias("names")), "names")
     found = kept(containment_best(typed, names, n), "held")
-    for ways in ((near.WHOLE,), (near.WINDOWS, near.IN_ORDER)):
-        known = found.groupBy("typed").agg(F.when(F.count("*") >= n, F.greatest(F.min("score"), F.lit(least))).alias("floor"))
-        floors = typed.join(known, "typed", "left").select("typed", F.coalesce("floor", F.lit(least)).alias("floor"))
-        more = block_best(floors, blocks, ways, n).join(names, "name").select("typed", "name", "score", "first")
-        found = kept(_ranked(found.select(more.columns).union(more), n), "near")
-    return found.filter(F.col("score") >= least).select("typed", "name", "score")
+    known = found.groupBy("typed").agg(F.when(F.count("*") >= n, F.greatest(F.min("score"), F.lit(least))).alias("floor"))
+    floors = kept(typed.join(known.hint("merge"), "typed", "left").select("typed", F.coalesce("floor", F.lit(least)).alias("floor")), "floors")
+    more = kept(block_best(floors, blocks, (near.WHOLE, near.IN_ORDER, near.WINDOWS), n), "near")
+    more = more.join(names.hint("merge"), "name").select("typed", "name", "score", "first")
+    return _ranked(found.select(more.columns).union(more), n).filter(F.col("score") >= least).select("typed", "name", "score")
 
 
 def best_aliases(typed: DataFrame, index: DataFrame, *, limit: int = 8, least: float = 0.80) -> DataFrame:
@@ -235,16 +255,17 @@ def best_aliases(typed: DataFrame, index: DataFrame, *, limit: int = 8, least: f
     if least < 0.80:
         raise ValueError("candidates are whole for scores from 0.80 on")
     ship_package(typed.sparkSession)
+    index = index.hint("merge")
     names = typed.select("typed", typed_name(F.col("typed")).alias("plain")).filter("plain <> ''").distinct().withColumns({"slug": text.slug(F.col("plain")), "compact": text.compact(F.col("plain"))})
     keys = names.select("typed", F.explode(F.array(*(F.struct(F.lit(i).alias("family"), F.col(c).alias("key")) for i, c in enumerate(("plain", "slug", "compact"))))).alias("k")).select("typed", "k.*")
-    exact = keys.join(lookups(index), ["family", "key"]).groupBy("typed", "alias").agg(F.min("family").alias("family")).select("typed", "alias", F.lit(1.0).alias("score"), "family")
+    exact = keys.join(lookups(index).hint("merge"), ["family", "key"]).groupBy("typed", "alias").agg(F.min("family").alias("family")).select("typed", "alias", F.lit(1.0).alias("score"), "family")
     exact = kept(exact, "exact")
-    left = kept(names.join(exact.select("typed").distinct(), "typed", "left_anti"), "typed")
+    left = kept(names.join(exact.select("typed").distinct().hint("merge"), "typed", "left_anti"), "typed")
     words = left.select(F.col("compact").alias("typed")).filter("typed <> ''").distinct()
     words = kept(words, "words")
     compacts = kept(index.filter("compact <> ''").groupBy(F.col("compact").alias("name")).agg(F.min(F.struct(F.length("alias").alias("n"), "alias")).alias("first")), "compacts")
     scored = near_best(words, compacts, n=limit, least=least)
-    found = left.select("typed", F.col("compact").alias("word")).join(scored.withColumnsRenamed({"typed": "word", "name": "compact"}), "word").join(index.select("compact", "alias").distinct(), "compact")
+    found = left.select("typed", F.col("compact").alias("word")).join(scored.withColumnsRenamed({"typed": "word", "name": "compact"}).hint("merge"), "word").join(index.select("compact", "alias").distinct().hint("merge"), "compact")
     near = found.select("typed", "alias", "score", F.lit(0).alias("family"))
     order = Window.partitionBy("typed").orderBy(F.desc("score"), "family", F.when(F.col("score") < 1.0, F.length("alias")), "alias")
     return exact.unionByName(near).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).select("typed", "rank", "alias", "score")

@@ -61,3 +61,44 @@ def test_pairs_do_not_leave_their_blocks(spark, monkeypatch):
         got.setdefault(r["typed"], []).append((-r["score"], len(r["name"]), r["name"]))
     want = {t: sorted((-s, len(n), n) for n in names if (s := fuzzy.alias_score(t, n)) >= 0.80)[:3] for t in texts}
     assert {t: sorted(v) for t, v in got.items()} == {t: v for t, v in want.items() if v}
+
+
+def test_runs_of_letters_are_not_broadcast(spark, monkeypatch):
+    """Texts of few bytes give many runs of letters, which the driver must not hold: only numbers of beginnings are broadcast, of which there are SLOTS at most."""
+    monkeypatch.setattr(places, "SLOTS", 7, raising=False)
+    parts = "the and ing er on an th re ou en a".split()
+    texts = sorted({"".join(rng.choice(parts) for _ in range(rng.randint(1, 4))) for _ in range(60)})
+    names = sorted({"".join(rng.choice(parts) for _ in range(rng.randint(1, 6))) for _ in range(300)})
+    typed = spark.createDataFrame([(t,) for t in texts], "typed string")
+    held = spark.createDataFrame([(n,) for n in names], "name string").withColumn("first", F.struct(F.length("name").alias("n"), F.col("name").alias("alias")))
+    out = places.containment_best(typed, held, 10_000)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 1 == plan.count("BroadcastExchange") and "LeftSemi" in plan
+    assert {(r["typed"], r["name"]) for r in out.collect()} == {(t, n) for t in texts for n in names if t in n or n in t}
+
+
+@pytest.mark.parametrize("n", [1, 3])
+def test_floors_rise_as_blocks_go_by(n):
+    """A text's best names of many blocks, by all ways, with those that stand equal to the last of them."""
+    asked = sorted({word(7) for _ in range(12)})
+    texts = near.Asked("".join(asked), 7, np.full(len(asked), 0.80), n)
+    names = sorted({word(length) for length in (5, 6, 7, 8, 9, 10, 12, 15) for _ in range(40)} | {q[:3] + "t" + q[3:] + word(k) for q in asked for k in (1, 4)} | {word(3) + q[1:] for q in asked})
+    for length in sorted({len(x) for x in names}):
+        own = [x for x in names if len(x) == length]
+        for a in range(0, len(own), 20):
+            texts.meet(near.Names("".join(own[a : a + 20]), length), [w for w in range(3) if texts.likely(length, w)])
+    scores = {q: {x: s for x in names if (s := max(by_loops(q, x, near.WHOLE), by_loops(q, x, near.IN_ORDER))) >= 0.80} for q in asked}
+    got = {}
+    for q, x, s in texts.best():
+        if fuzzy.window_likeness(q, x) < 1.0:
+            got.setdefault(q, {})[x] = s
+    for q in asked:
+        least = sorted(scores[q].values())[-n:][0] if scores[q] else 1.0
+        want = {x: s for x, s in scores[q].items() if s >= least}
+        if any(fuzzy.window_likeness(q, x) == 1.0 for x in names):
+            continue
+        if len(scores[q]) >= n:
+            assert set(got.get(q, {}).items()) <= set(want.items()) and len(got[q]) >= n
+        else:
+            assert got.get(q, {}) == want
+    assert sum(map(len, got.values())) > n
