@@ -271,3 +271,33 @@ def test_texts_of_fields(spark):
     monthly, weekly, shown = P.price_of(F.col("p"))
     assert [tuple(r) for r in df.select(monthly, weekly, shown).collect()] == [(350, 350, "£350 pw £350 pcm"), (None, None, "ask agent"), (1200, None, "£1,200 pcm")]
     assert [r[0] for r in df.select(P.listing_id(F.trim("u"), "b")).collect()] == ["b:123", "b:b", "b:x"]
+
+
+def test_plain_pages_are_read_as_the_parser_reads_them():
+    """Pages of plain tags take a shorter way, all others the parser's."""
+    rng = random.Random(5)
+    plain = ["<p>", "</p>", "<div class='a b'>", "</div>", "text", " ", "a &amp; b", "&amp", "&lt;x", "&", "<br>", "<br/>", "<img src='/x.png' alt=\"y\">", "<svg class=\"or\"/>", "<li>", "</li>", "</span>", "<td\n a='1' a='2'>", "<template>", "</template>", "é ", "<p a=''>"]
+    odd = ["<!-- c -->", "<b x>", "< ", "<script>", "</script>", "<title>", "</>", "<P>", "<a href=\"/u?x=1&y\">", "<br / >"]
+    short = 0
+    for _ in range(3000):
+        html = "".join(rng.choice(plain if rng.random() < 0.97 else odd) for _ in range(rng.randint(0, 14)))
+        reader = E._Reader()
+        reader.feed(html)
+        reader.close()
+        reader._text()
+        reader._close(0)
+        assert E.read_nodes(html) == reader.rows
+        if (found := E.plain_nodes(html)) is not None:
+            short += 1
+            assert found == reader.rows
+    assert 1000 < short < 3000
+
+
+def test_texts_inside_meet_no_row_each(spark):
+    """A page's texts are one row: what stands inside an element is taken from it, and no row is made for each text."""
+    pages = spark.createDataFrame([(1, "<div>a<p>b</p><p></p>c</div>d"), (2, "<p></p>")], "page_id long, html string")
+    nodes = E.kept_elements(pages)
+    chosen = E.tags(nodes, "div", "p").select("page_id", "node", "last")
+    said = E.with_texts(chosen.union(chosen), nodes, "page_id")
+    assert sorted((r["page_id"], r["node"], r["texts"]) for r in said.collect()) == [(1, 0, ["a", "b", "c"]), (1, 2, ["b"]), (1, 4, []), (2, 0, [])]
+    assert "collect_set" not in said._jdf.queryExecution().optimizedPlan().toString()
